@@ -15,7 +15,7 @@ from . import common as C
 #: 64-bit words of a document's bitmap.
 WORDS = 8
 #: Of 256: share of all shingles, chosen by hash, that the census counts.
-CENSUS = 86
+CENSUS = 144
 _STEP = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -92,7 +92,7 @@ def census(spark: SparkSession, docs: DataFrame, scratch: C.Scratch, words: int,
 
         part, k = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in C.pieces(whole, "text", 4 * C.CHUNK_BYTES):
+            for batch in C.pieces(whole, "text", 2 * C.CHUNK_BYTES):
                 value, bounds = shingles(batch.column("text"), words)
                 n = np.diff(bounds)
                 owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
@@ -229,7 +229,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     near = told.where("near").select("id")
     full = scratch.write(sets(docs.join(near, "id"), words), "sets")
     classes = scratch.write(full.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n_same")), "classes")
-    reps = full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "items")
+    reps = scratch.write(full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "items"), "reps")
+    full = full.drop("items")
     tokens = scratch.write(prefixes(reps, percent), "tokens")
     hub = tokens.groupBy("token").agg(F.min(F.struct("id", "n", "bits")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", "h.*")
     pairs = tokens.alias("t").join(hub.alias("h"), F.expr("t.token = h.token and t.id <> h.id and " + bounded("t", "h", percent)))
@@ -241,8 +242,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     labelled = scratch.write(labelled.join(mixed, "token", "left_semi"), "mixed")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
     left = labelled.withColumn("band", band)
-    right = labelled.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
-    on = "l.token = r.token and l.band = r.band and l.id < r.id and l.component <> r.component and " + bounded("l", "r", percent)
+    right = labelled.withColumn("band", F.explode(F.array(band - 1, band)))  # to its own band and to that of the smaller sets
+    on = "l.token = r.token and l.band = r.band and (l.n < r.n or l.n = r.n and l.id < r.id) and l.component <> r.component and " + bounded("l", "r", percent)
     pairs = left.alias("l").join(right.alias("r"), F.expr(on)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     more = scratch.write(verified(pairs, reps, percent), "tile-links")
     all_links = links.unionByName(more)
