@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: 64-bit words of a document's bitmap.
-WORDS = 8
+#: 64-bit words of a document's bitmap, and of the wide one that pairs are held to next.
+WORDS, WIDE = 8, 64
 #: Of 256: share of all shingles, chosen by hash, that the census counts.
 CENSUS = 144
 _STEP = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -66,9 +66,9 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(owner, np.arange(len(count) + 1))
 
 
-def bitmap(value: np.ndarray) -> np.ndarray:
+def bitmap(value: np.ndarray, words: int = WORDS) -> np.ndarray:
     """Of each bit the parity of how many shingles fall on it: sets differ in at least as many shingles as bitmaps in bits."""
-    bits = (np.bincount((value >> np.uint64(40)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1).astype(np.uint8)
+    bits = (np.bincount((value >> np.uint64(40)).astype(np.int64) % (64 * words), minlength=64 * words) & 1).astype(np.uint8)
     return np.packbits(bits).view(np.int64)
 
 
@@ -183,8 +183,28 @@ def prefixes(reps: DataFrame, percent: int) -> DataFrame:
     return reps.select("id", "items").mapInArrow(run, "token long, id long, n long, bits array<long>")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough, by exact intersection of the sorted arrays."""
+def wide_bitmaps(reps: DataFrame) -> DataFrame:
+    """(id, n, bits) of every set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value, bounds = C.flat(batch.column("items"))
+            value, bounds = value.view(np.uint64), bounds // 8
+            bits = [bitmap(value[a:b], WIDE).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(bounds)), pa.array(bits, pa.binary())], ["id", "n", "bits"])
+
+    return reps.select("id", "items").mapInArrow(run, "id long, n long, bits binary")
+
+
+def verified(pairs: DataFrame, wide: DataFrame, reps: DataFrame, percent: int, scratch: C.Scratch, name: str) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar enough: first by wide bitmaps, then by exact intersection of the sorted arrays."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (C.flat(batch.column(k))[0].view(np.uint64).reshape(len(batch), WIDE) for k in ("x", "y"))
+            n = np.asarray(batch.column("n").to_numpy(zero_copy_only=False))
+            keep = (100 + percent) * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= (100 - percent) * n
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,8 +215,15 @@ def verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x, y = (reps.select(F.col("id").alias(k), F.col("items").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    x, y = (wide.select(F.col("id").alias(k), F.col("bits").alias(v), F.col("n").alias(f"n{v}")).hint("merge") for k, v in (("a", "x"), ("b", "y")))
+    close = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", (F.col("nx") + F.col("ny")).alias("n"))
+    close = scratch.write(close.mapInArrow(bound, "a long, b long"), f"{name}-close")
+    asked = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
+    items = scratch.write(reps.join(asked.hint("merge"), "id", "left_semi"), f"{name}-items")
+    x, y = (items.select(F.col("id").alias(k), F.col("items").alias(v)).hint("merge") for k, v in (("a", "x"), ("b", "y")))
+    links = scratch.write(close.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), f"{name}-links")
+    scratch.drop(f"{name}-items")
+    return links
 
 
 def bounded(a: str, b: str, percent: int):
@@ -218,8 +245,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     4. Classes that share a prefix token and are not joined yet meet in tiles of a token and a size band; bit counts of
        the bitmaps bound the overlap, and what passes is held against each other exactly.
 
-    Null and empty texts, and texts of white space, have no shingles and stand alone. Ids must be unique; rows with a
-    null id are dropped. Ties (equal sets) are one component. Columns besides id and text are ignored.
+    Null and empty texts, and texts of white space, have no shingles and stand alone. Rows with a null id are
+    dropped, repeated ids give repeated rows with one component. Ties (equal sets) are one component. Columns besides id and text are ignored.
     """
     spark = docs.sparkSession
     scratch = C.Scratch(spark, "jaccard")
@@ -227,14 +254,16 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     told = census(spark, docs, scratch, words, percent)
     scratch.drop("census")
     near = told.where("near").select("id")
-    full = scratch.write(sets(docs.join(near, "id"), words), "sets")
+    full = scratch.write(sets(docs.join(near.hint("merge"), "id"), words), "sets")
     classes = scratch.write(full.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n_same")), "classes")
-    reps = scratch.write(full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "items"), "reps")
-    full = full.drop("items")
+    reps = scratch.write(full.join(classes.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").select("id", "items"), "reps")
+    full = scratch.write(full.drop("items"), "digests")
+    scratch.drop("sets")
+    wide = scratch.write(wide_bitmaps(reps), "wide")
     tokens = scratch.write(prefixes(reps, percent), "tokens")
     hub = tokens.groupBy("token").agg(F.min(F.struct("id", "n", "bits")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", "h.*")
     pairs = tokens.alias("t").join(hub.alias("h"), F.expr("t.token = h.token and t.id <> h.id and " + bounded("t", "h", percent)))
-    links = scratch.write(verified(pairs.select(F.col("h.id").alias("a"), F.col("t.id").alias("b")).distinct(), reps, percent), "hub-links")
+    links = verified(pairs.select(F.col("h.id").alias("a"), F.col("t.id").alias("b")).distinct(), wide, reps, percent, scratch, "hub")
     joined = C.components(spark, links, scratch, "hub")
 
     labelled = tokens.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -245,12 +274,13 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     right = labelled.withColumn("band", F.explode(F.array(band - 1, band)))  # to its own band and to that of the smaller sets
     on = "l.token = r.token and l.band = r.band and (l.n < r.n or l.n = r.n and l.id < r.id) and l.component <> r.component and " + bounded("l", "r", percent)
     pairs = left.alias("l").join(right.alias("r"), F.expr(on)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    more = scratch.write(verified(pairs, reps, percent), "tile-links")
+    more = verified(pairs, wide, reps, percent, scratch, "tile")
     all_links = links.unionByName(more)
     labels = C.components(spark, all_links, scratch, "all")
 
     rep = full.select("id", "digest").join(classes, "digest").select("id", "rep", "n_same")
     label = rep.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n_same", F.coalesce("component", "rep").alias("component"))
+    label = label.groupBy("id").agg(F.max("n_same").alias("n_same"), F.min("component").alias("component"))
     return (
         told.join(label, "id", "left")
         .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("n_same", F.lit(1)).alias("n_same"), "near")
