@@ -1,24 +1,90 @@
-"""The queries of this subpackage: one opN_<name> for each operator."""
+"""The queries of this subpackage: one opN_<name> for each operator, over its whole table."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import digest_rows
+
+    return digest_rows(table(spark, sf_dir, "documents"), length=200)
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand as files source/lang/doc_id.txt."""
+    from .licenses import scan
+
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return scan(table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op5_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"), min_revisit=1000)
+
+
+def op6_embedding_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .descent import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    scored = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("kept"), "votes", "posterior")
+
+
+def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import Limits, pack, whole_texts
+
+    pieces = pack(table(spark, sf_dir, "documents"), whole_texts(tokenizer("word_bpe_49k.json"), last=1), Limits(tokens=2048, segments=256, loss_tokens=2048))
+    return pieces.withColumnRenamed("id", "doc_id")
+
+
+def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode
+
+    return encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), digest=True).withColumnRenamed("id", "doc_id")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_ngram_jaccard": op4_ngram_jaccard,
-}
+    f.__name__: f
+    for f in (op1_pivot_topk, op2_suffix_dedup, op3_license_scan, op4_ngram_jaccard, op5_warc_normalise, op6_embedding_descent, op7_weak_quality, op8_vector_packing, op9_piece_encoding, op10_toxicity)
+}
 
 ORACLES: dict[str, str] = {}

@@ -162,8 +162,8 @@ def parts(batch: pa.RecordBatch, column: str, length: int) -> Iterator[tuple[np.
             yield cut, np.array([0, len(cut)]), rows, np.array([a])
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, spans, kept) of every row: the byte spans that strings of `length` bytes cover which also start elsewhere, and the other bytes.
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 40, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """(id, n_bytes, spans, kept and a struct `carried` of the columns to carry) of every row: the byte spans that strings of `length` bytes cover which also start elsewhere, and the other bytes.
 
     Every string belongs to one anchor, its gram with the smallest hash, and equal strings to equal anchors. Anchors that
     occur once are dropped. Of the others, runs of strings with their bytes, the contexts, are gathered by anchor; equal
@@ -172,12 +172,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 40, id_col: s
     contexts is split by longer grams, at last by whole strings, of which equal ones are one context.
 
     Strings are judged on the input: overlaps and matches within a document count, and all copies go, the first too. Null
-    and empty texts have no bytes and no spans; rows with a null id are dropped, ids must be unique. Other columns are
+    and empty texts have no bytes and no spans. With as_text, kept is a string without the characters that a cut leaves in
+    halves; rows with a null id are dropped, ids must be unique. Other columns are
     ignored.
     """
     spark = docs.sparkSession
     scratch = C.Scratch(spark, "suffix")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null")
+    carried = F.struct(*(docs[c] for c in carry)) if carry else F.lit(None).cast("boolean")
+    full = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), carried.alias("carried")).where("id is not null")
+    docs = full.select("id", "text")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,11 +288,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 40, id_col: s
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])) if own else text)
             n = [None if not t.is_valid else len(t.as_buffer()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([x or 0 for x in n], pa.int64()), pa.array(merged, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(kept, pa.binary())],
-                ["id", "n_bytes", "spans", "kept"],
+                [batch.column("id"), pa.array([x or 0 for x in n], pa.int64()), pa.array(merged, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), batch.column("carried")],
+                ["id", "n_bytes", "spans", "kept", "carried"],
             )
 
-    return docs.join(per_doc, "id", "left").select("id", "text", "spans").mapInArrow(cut, "id long, n_bytes long, spans array<struct<a: long, b: long>>, kept binary")
+    form = f"id long, n_bytes long, spans array<struct<a: long, b: long>>, kept {'string' if as_text else 'binary'}, carried {full.schema['carried'].dataType.simpleString()}"
+    return full.join(per_doc, "id", "left").select("id", "text", "spans", "carried").mapInArrow(cut, form)
 
 
 def digest_rows(docs: DataFrame, length: int = 200) -> DataFrame:

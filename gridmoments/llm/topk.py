@@ -16,6 +16,8 @@ from .vectors import matrix, rows_of
 PIVOTS, SAMPLE, ANNULI, PASS_BYTES = 64, 8192, 16, 16 << 20
 #: Integer components above this could overflow sums; such vectors are compared in Python integers.
 LARGE = float(1 << 22)
+#: Below every score.
+LOW = -(1 << 63) + 1
 
 
 def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -23,7 +25,7 @@ def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     if max(np.abs(queries).max(initial=0), np.abs(rows).max(initial=0)) < LARGE and rows.shape[1] <= 512:
         return np.rint(queries @ rows.T).astype(np.int64)  # below 2**53
     whole = np.array([[int(x) for x in q] for q in queries], object).reshape(queries.shape) @ np.array([[int(x) for x in r] for r in rows], object).reshape(rows.shape).T
-    return np.clip(whole, -(1 << 63) + 1, (1 << 63) - 1).astype(np.int64)
+    return np.clip(whole, LOW + 1, (1 << 63) - 1).astype(np.int64)
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -102,7 +104,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
             dq = distances(wide, pivots)
             reach = (q * q).sum(1) + length
             mine = dq.argmin(1)
-            best_score = np.full((len(q), k), np.iinfo(np.int64).min)
+            best_score = np.full((len(q), k), LOW)
             best_id = np.full((len(q), k), np.iinfo(np.int64).max)
             bound = kth.copy()
             for batch in batches:
@@ -122,7 +124,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
                             if not len(part):
                                 continue
                             score = _scores(q[part], m[a:b])
-                            score[ids[part][:, None] == who[a:b]] = np.iinfo(np.int64).min
+                            score[ids[part][:, None] == who[a:b]] = LOW
                             score = np.concatenate([best_score[part], score], 1)
                             label = np.concatenate([best_id[part], np.broadcast_to(who[a:b], (len(part), b - a))], 1)
                             if score.shape[1] > 4 * k:
@@ -133,7 +135,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
                             order = np.lexsort((label, -score), axis=1)[:, :k]
                             best_score[part], best_id[part] = np.take_along_axis(score, order, 1), np.take_along_axis(label, order, 1)
                             bound[part] = np.maximum(bound[part], best_score[part, k - 1])
-            some = (best_score > np.iinfo(np.int64).min) & (best_score >= kth[:, None])
+            some = (best_score > LOW) & (best_score >= kth[:, None])
             row, col = np.nonzero(some)
             yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best_id[row, col]), pa.array(best_score[row, col])], ["query_id", "vec_id", "score"])
 
@@ -147,11 +149,10 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
         own = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
         ids = np.array([r["id"] for r in own], np.int64)
         q = np.array([np.frombuffer(r["m"], np.float64) for r in own]).reshape(len(own), widest)
-        low = np.iinfo(np.int64).min
-        first = spark.sparkContext.broadcast((ids, q, np.full(len(ids), low)))
+        first = spark.sparkContext.broadcast((ids, q, np.full(len(ids), LOW)))
         seeds = index.mapInArrow(search(first, True), out)
         kth = dict(seeds.withColumn("r", F.row_number().over(by)).where(F.col("r") == k).select("query_id", "score").toLocalIterator())
-        second = spark.sparkContext.broadcast((ids, q, np.array([kth.get(i, low) for i in ids.tolist()], np.int64)))
+        second = spark.sparkContext.broadcast((ids, q, np.array([kth.get(i, LOW) for i in ids.tolist()], np.int64)))
         found.append(scratch.write(index.mapInArrow(search(second, False), out).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k), f"found{b}"))
         first.destroy()
         second.destroy()
