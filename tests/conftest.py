@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
 
     root = tmp_path_factory.mktemp("shared")
     s = (
-        SparkSession.builder.master("local[4]").appName("tests").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        SparkSession.builder.master("local[2]").appName("tests").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", f"file://{root}/checkpoints").config("spark.sql.warehouse.dir", f"file://{root}/warehouse").getOrCreate()
     )
