@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a numeric kernel handles at once; its temporary arrays are some 60 times as large.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +50,11 @@ class Scratch:
         p = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of finished jobs now; else they stay until the driver happens to collect garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def _quiet_drop(self) -> None:
         try:
             self.drop()

@@ -115,6 +115,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
                 gap = np.maximum(np.maximum(low - dq[:, pivot], dq[:, pivot] - high), 0)
                 most = (reach[:, None] - gap * gap) / 2
                 most += 1 + 1e-9 * np.abs(reach[:, None])  # rounding of the distances
+                most = np.maximum(most, float(LOW))  # as scores are kept within 64 bits
                 for j in np.argsort(gap.min(0, initial=np.inf), kind="stable"):
                     active = mine == pivot[j]
                     active = np.flatnonzero((active if home else np.ones_like(active)) & (most[:, j] >= bound))
