@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,13 +43,14 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
-    return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_pages
 
-    return archive_pages(table(spark, sf_dir, "pages"), min_revisit=1000)
+    read = archive_pages(table(spark, sf_dir, "pages"), min_revisit=1000)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_embedding_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_pivot_topk, op2_suffix_dedup, op3_license_scan, op4_ngram_jaccard, op5_warc_normalise, op6_embedding_descent, op7_weak_quality, op8_vector_packing, op9_piece_encoding, op10_toxicity)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_pivot_topk": oracles.TOP_K, "op4_ngram_jaccard": oracles.JACCARD, "op5_warc_normalise": oracles.ARCHIVES, "op6_embedding_descent": oracles.NEAR_VECTORS}
