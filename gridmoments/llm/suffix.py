@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Bytes of context that a suffix array covers, and contexts of one anchor beyond which the anchor is split.
-BUCKET_BYTES, HEAVY = 1 << 21, 4096
+BUCKET_BYTES, HEAVY = 1 << 20, 2048
 
 
 def suffix_order(text: np.ndarray, begin: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +190,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 40, id_col: s
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(who[rows[text]]), pa.array((start - at[text] + base[text]).astype(np.int64)), pa.array(n.astype(np.int32))], ["h", "id", "s", "n"])
 
     marks = scratch.write(docs.mapInArrow(mark, "h long, id long, s long, n int"), "marks")
-    shared = marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    per_doc = marks.join(shared, "h").groupBy("id").agg(F.collect_list(F.struct("h", "s", "n")).alias("marks"))
+    # written, so that both sides of the join are dealt anew and Spark can split a gram that very many strings have
+    shared = scratch.write(marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared")
+    per_doc = scratch.write(marks.join(shared, "h").groupBy("id").agg(F.collect_list(F.struct("h", "s", "n")).alias("marks")), "lists")
+    scratch.drop("marks")
+    scratch.release()
 
     def digest(x: bytes) -> bytes:
         return hashlib.blake2b(x, digest_size=16).digest()
@@ -212,14 +215,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 40, id_col: s
                     c.append(k)
                     held.append(None if k in seen else x)
                     seen.add(k)
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 who = batch.column("id").take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c, pa.binary()), who, pa.array(s), pa.array(n), pa.array(held, pa.binary())], ["h", "c", "id", "s", "n", "x"])
 
     form = "h long, c binary, id long, s long, n int, x binary"
     met = scratch.write(docs.join(per_doc, "id").mapInArrow(contexts, form), "met0")
-    scratch.drop("marks")
+    scratch.drop("lists")
+    scratch.release()
 
     def split(longer: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +268,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 40, id_col: s
         bucket = F.pmod("h", F.lit(size // BUCKET_BYTES + 1))
         found = light_texts.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(sort, "h long, c binary, a long, b long")
         found = scratch.write(found, f"found{level}")
+        scratch.release()
         spans.append(light_met.select("h", "c", "id", "s").join(found, ["h", "c"]).select("id", (F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") + length - 1).alias("b")))
         if again is None:
             break
