@@ -7,6 +7,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Words that a worker keeps, the longest that it keeps, and examples that are packed together.
-CACHE, LONGEST, GROUP = 600_000, 64, 1024
+CACHE, LONGEST, GROUP = 1_500_000, 64, 1024
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,7 @@ class WordEncoder:
         self.ends = np.zeros(max(names.values()) + 1, bool)
         for name, i in names.items():
             self.ends[i] = name.endswith("</w>")
-        self.odd = re.compile("[^\t-\r -~\xa0-ɏ]|[²³¹¼½¾İ\x1c-\x1f]|<\\|")
+        self.odd = re.compile("[^\t-\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]")  # no fractions, superscripts and dotted I
         letter = "a-zªµºÀ-ÖØ-öø-ɏ"
         self.token = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letter}]+|[0-9]|[^\\s0-9{letter}]+")
         self._reset()
@@ -60,7 +61,8 @@ class WordEncoder:
             self.start, self.length = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64)
         for a in range(0, len(words), 1000):
             some = words[a : a + 1000]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            (coded,) = self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(coded.ids, np.uint32)
             tokens = np.cumsum([len(self.token.findall(w)) for w in some])
             ends = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
             bounds = np.append(0, ends[tokens])
@@ -76,14 +78,17 @@ class WordEncoder:
             self.used += len(ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if self.odd.search(t) else t.lower().split() for t in texts]
-        words = [w for s in split if s for w in s]
-        new = {w for w in words if w not in self.slot}
-        if len(self.slot) + len(new) > CACHE:
-            self._reset()
-            new = set(words)
-        self._learn(sorted(new))
-        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        split = [None if "<|" in t or self.odd.search(t) else t.lower().split() for t in texts]
+        words = list(chain.from_iterable(s for s in split if s))
+        found = list(map(self.slot.get, words))
+        new = {w for w, k in zip(words, found) if k is None} if None in found else set()
+        if new:
+            if len(self.slot) + len(new) > CACHE:
+                self._reset()
+                new = set(words)
+            self._learn(sorted(new))
+            found = list(map(self.slot.__getitem__, words))
+        slots = np.array(found, np.int64)
         length = self.length[slots]
         total = np.cumsum(np.append(0, length))
         flat = self.ids[np.repeat(self.start[slots] - total[:-1], length) + np.arange(total[-1])]
