@@ -68,6 +68,19 @@ def level_chunks(nz: int, chunk: int, levels: range) -> list[tuple[int, int]]:
     return [(max(a, levels.start), min(a + size, levels.stop)) for a in range(0, nz, size) if a < levels.stop and a + size > levels.start]
 
 
+def extent(f: Filter) -> tuple[int | None, int | None] | None:
+    """The half-open range of integers that a filter leaves, if it tells one."""
+    if isinstance(f, In):
+        return min(f.value), max(f.value) + 1
+    if isinstance(f, EqualTo):
+        return f.value, f.value + 1
+    if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+        return f.value + isinstance(f, GreaterThan), None
+    if isinstance(f, (LessThan, LessThanOrEqual)):
+        return None, f.value + isinstance(f, LessThanOrEqual)
+    return None
+
+
 @dataclass
 class Slab(InputPartition):
     t: int
@@ -85,13 +98,11 @@ class GridReader(DataSourceReader):
         """Ranges of time steps and levels narrow what is read; all filters are still applied behind."""
         for f in filters:
             name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else ""
-            if name in self.bounds:
-                low, high = {
-                    EqualTo: lambda v: (v, v + 1), GreaterThan: lambda v: (v + 1, None), GreaterThanOrEqual: lambda v: (v, None), LessThan: lambda v: (None, v), LessThanOrEqual: lambda v: (None, v + 1),
-                }.get(type(f), lambda v: (None, None))(f.value) if not isinstance(f, In) else (min(f.value), max(f.value) + 1)
-                b = self.bounds[name]
-                b[0] = max(b[0], low) if low is not None else b[0]
-                b[1] = high if b[1] is None else b[1] if high is None else min(b[1], high)
+            if name in self.bounds and (found := extent(f)):
+                for side, best in ((0, max), (1, min)):
+                    if found[side] is not None:
+                        own = self.bounds[name][side]
+                        self.bounds[name][side] = found[side] if own is None else best(own, found[side])
             yield f
 
     def partitions(self) -> list[Slab]:
