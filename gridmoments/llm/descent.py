@@ -14,6 +14,8 @@ from .vectors import matrix, rows_of
 
 #: Neighbours of a list, rounds at most, rows of a block, audited vectors, audited recall that ends the search.
 LIST, ROUNDS, BLOCK, AUDIT, RECALL = 12, 6, 512, 256, 0.995
+#: Bytes of the vectors of a block that meets others in tiles.
+BLOCK_BYTES = 1 << 20
 EDGE = "a long, b long, sim double"
 
 
@@ -34,8 +36,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     3. Each round joins a vector's neighbours with one another and keeps the best of each list, until hardly any new link
        appears; a sample of vectors, held against all of their label, then audits the links' recall, and while it is below
        RECALL new planes and more rounds follow.
-    4. A list whose last neighbour is still a link is saturated: it is enlarged to all members of its component. Their
-       links are counted in tiles of two blocks, of which only counts are sent.
+    4. The components found so far only order each label's vectors into blocks. Every two blocks of a label meet in a
+       tile, unless the boxes of their components are further apart than a link is long: there all links are counted,
+       and those between components join them. Lists thus decide which tiles are skipped, never which links count.
+
+    The work of step 4 grows with the square of a label's vectors where boxes overlap. One row for each block, with its
+    box, reaches the driver.
     """
     spark = vectors.sparkSession
     scratch = C.Scratch(spark, "descent")
@@ -162,34 +168,78 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         else:
             links = scratch.write(_symmetric(graph, threshold), "links")
             labels = C.components(spark, links.where("a < b"), scratch, "labels")
-    component = scratch.write(reps.join(labels, "id").select("id", "copies", "component", "u"), "component")
-    full = links.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") >= LIST).select(F.col("a").alias("id"))
-    saturated = component.join(full, "id", "left_semi").select("component").distinct()
-    weights = reps.select(F.col("id").alias("b"), "copies")
-    few = links.join(component.select(F.col("id").alias("a"), "component"), "a").join(saturated, "component", "left_anti").join(weights, "b").groupBy("a").agg(F.sum("copies").alias("linked"))
-
-    sized = component.join(component.groupBy("component").agg(F.count("*").alias("size")).join(saturated, "component", "left_semi"), "component")
-    blocks = (F.floor((F.col("size") - 1) / BLOCK) + 1).cast("long")
-    sized = sized.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    tiles = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = tiles.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "copies", "u")
+    alone = F.col("component").isNull()
+    order = reps.join(labels, "id", "left").select("id", "label", "copies", "u", alone.alias("alone"), F.coalesce("component", "id").alias("component"))
+    place = ["label", "alone", "component", "id"]
+    order = order.repartitionByRange(C.parallelism(spark), *place).sortWithinPartitions(*place)
+    rows_most = max(256, BLOCK_BYTES // (8 * max(widest, 1)))
+    part = "ids binary, copies binary, components binary, u binary"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            code = np.asarray(batch.column("label").dictionary_encode().indices)
+            edge = np.append(np.flatnonzero(np.append(True, code[1:] != code[:-1])), len(code)) if len(code) else np.zeros(0, np.int64)
+            for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                for a in range(x, y, rows_most):
+                    some = batch.slice(a, min(rows_most, y - a))
+                    u = _unit(some.column("u"), widest)
+                    held = [np.asarray(some.column(c)).tobytes() for c in ("id", "copies", "component")] + [u.tobytes(), u.min(0).tobytes(), u.max(0).tobytes()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([number]), pa.array([some.column("label")[0].as_py()]), *(pa.array([h], pa.binary()) for h in held)], ["block", "label", "ids", "copies", "components", "u", "low", "high"]
+                    )
+                    number += 1
+
+    blocks = scratch.write(order.mapInArrow(cut, f"block long, label string, {part}, low binary, high binary"), "blocks")
+    boxes: dict[str, list[tuple[int, bytes, bytes]]] = {}
+    for r in blocks.select("block", "label", "low", "high").toLocalIterator():
+        boxes.setdefault(r["label"], []).append((r["block"], bytes(r["low"]), bytes(r["high"])))
+    stacked = {k: (np.array([b for b, _, _ in v]), *(np.frombuffer(b"".join(x[c] for x in v)).reshape(len(v), widest) for c in (1, 2))) for k, v in boxes.items()}
+    shared = spark.sparkContext.broadcast(stacked)
+    far = 2 - 2 * threshold + 1e-9  # squared distance of unit vectors that are no link
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for label, low, high in zip(*(batch.column(c).to_pylist() for c in ("label", "low", "high"))):
+                who, lows, highs = shared.value[label]
+                gap = np.maximum(0, np.maximum(lows - np.frombuffer(high), np.frombuffer(low) - highs))
+                out.append(who[(gap * gap).sum(1) <= far])
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.list_(pa.int64()))], ["block", "other"])
+
+    near = blocks.select("block", "label", "low", "high").mapInArrow(partners, "block long, other array<long>").select("block", F.explode("other").alias("other"))
+    tiles = blocks.select("block", "ids", "copies", "components", "u").join(near, "block")
+    tiles = tiles.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "ids", "copies", "components", "u")
 
     def count(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        who, copies, own, i, j = (np.asarray(table.column(c)) for c in ("id", "copies", "own", "i", "j"))
-        u = _unit(table.column("u").combine_chunks(), widest)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        total = np.zeros(len(who), np.int64)
-        for a in range(0, len(left), 2048):
-            part = left[a : a + 2048]
-            hit = (u[part] @ u[right].T >= threshold) & (who[part][:, None] != who[right])
-            total[part] += hit @ copies[right]
-            if i[0] != j[0]:
-                total[right] += copies[part] @ hit
-        return pa.table({"a": who, "linked": total})
-
-    many = tiles.groupBy("component", "i", "j").applyInArrow(count, "a long, linked long").groupBy("a").agg(F.sum("linked").alias("linked"))
-    linked = scratch.write(few.unionByName(many), "linked")
+        table = table.sort_by("block")
+        held = [[np.frombuffer(table.column(c)[k].as_py(), np.int64) for c in ("ids", "copies", "components")] + [np.frombuffer(table.column("u")[k].as_py()).reshape(-1, widest)] for k in range(len(table))]
+        (who, copies, group, u), (other, weight, to, v) = held[0], held[-1]
+        total, across = np.zeros(len(who), np.int64), np.zeros(len(other), np.int64)
+        joins = [np.zeros((0, 2), np.int64)]
+        for a in range(0, len(who), BLOCK):
+            part = slice(a, a + BLOCK)
+            hit = (u[part] @ v.T >= threshold) & (who[part][:, None] != other)
+            total[part] += hit @ weight
+            across += copies[part] @ hit
+            row, col = np.nonzero(hit & (group[part][:, None] != to))
+            joins.append(np.unique(np.stack([group[part][row], to[col]], 1), axis=0))
+        if len(held) == 2:
+            who, total = np.concatenate([who, other]), np.concatenate([total, across])
+        some, joined = total > 0, np.unique(np.concatenate(joins), axis=0)
+        return pa.table({
+            "a": pa.array(np.concatenate([who[some], joined[:, 0]])),
+            "b": pa.concat_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(np.ascontiguousarray(joined[:, 1]))]),
+            "linked": pa.concat_arrays([pa.array(total[some]), pa.nulls(len(joined), pa.int64())]),
+        })
+
+    counted = scratch.write(tiles.groupBy("i", "j").applyInArrow(lambda t: count(t), "a long, b long, linked long"), "counted")
+    linked = counted.where("b is null").groupBy("a").agg(F.sum("linked").alias("linked"))
+    merged = C.components(spark, counted.where("b is not null").select("a", "b"), scratch, "merged")
+    labels = order.select("id", "component").join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    labels = labels.select("id", F.coalesce("to", "component").alias("component"))
     of_class = units.select("id", *key).join(classes, ["label", "u"]).select("id", "rep", "copies")
     of_class = of_class.join(linked.withColumnRenamed("a", "rep"), "rep", "left").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     result = of_class.select("id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))

@@ -75,6 +75,21 @@ def test_near_duplicates_against_brute_force(spark):
     assert descent.near_duplicates(table(spark, rows).where("false")).count() == 0
 
 
+def circle(angles):
+    """Vectors at angles on a circle, each with a slight share of its own in another direction."""
+    return [[float(np.cos(a)), float(np.sin(a)), *(0.004 * (k == i % 14) for k in range(14))] for i, a in enumerate(angles)]
+
+
+def test_near_duplicates_link_two_dense_groups(spark):
+    rows = [(i, v, 1) for i, v in enumerate(circle([0.0005 * i for i in range(30)] + [0.19 + 0.0005 * i for i in range(30)]))]
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hit = (x @ x.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    assert hit[:30, :30].sum() == 30 * 29 and 0 < hit[:30, 30:].sum() < 900
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in descent.near_duplicates(table(spark, rows)).collect()}
+    assert got == {i: (int(hit[i].sum()), 0, i == 0) for i in range(60)}
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
