@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from . import common as C
 from .vectors import matrix, rows_of
 
-#: Neighbours of a list, rounds at most, rows of a block, audited vectors, audited recall that ends the search.
-LIST, ROUNDS, BLOCK, AUDIT, RECALL = 12, 6, 512, 256, 0.995
+#: Neighbours of a list, rounds at most, rows of a block.
+LIST, ROUNDS, BLOCK = 12, 6, 512
 #: Bytes of the vectors of a block that meets others in tiles.
 BLOCK_BYTES = 1 << 20
 EDGE = "a long, b long, sim double"
@@ -34,8 +34,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     1. Equal vectors of a label are one class; its copies are counted, not paired.
     2. Lists of LIST neighbours start from blocks of vectors that fall on the same side of random planes.
     3. Each round joins a vector's neighbours with one another and keeps the best of each list, until hardly any new link
-       appears; a sample of vectors, held against all of their label, then audits the links' recall, and while it is below
-       RECALL new planes and more rounds follow.
+       appears or ROUNDS have run. What they miss, step 4 finds.
     4. The components found so far only order each label's vectors into blocks. Every two blocks of a label meet in a
        tile, unless the boxes of their components are further apart than a link is long: there all links are counted,
        and those between components join them. Lists thus decide which tiles are skipped, never which links count.
@@ -131,25 +130,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         return near.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets))).groupBy("bucket").applyInArrow(lambda t: pairs(t.select(["a", "b", "u", "last"])), EDGE)
 
     number = reps.count()
-    sample = reps.where("label is not null").orderBy(F.xxhash64("id")).limit(AUDIT).select("id", "label", "u").collect() if number else []
-    probes = spark.sparkContext.broadcast(([r["id"] for r in sample], [r["label"] for r in sample], np.array([np.frombuffer(r["u"], np.float64) for r in sample])))
-
-    def audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, labels, u = probes.value
-        for batch in batches:
-            who, label = np.asarray(batch.column("id")), np.asarray(batch.column("label").to_pylist(), object)
-            for at in range(0, len(who), 4096):
-                hit = u @ _unit(batch.column("u").slice(at, 4096), widest).T >= threshold
-                row, col = np.nonzero(hit)
-                good = [(ids[r], int(who[at + c])) for r, c in zip(row, col) if labels[r] == label[at + c] and ids[r] != who[at + c]]
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], ["a", "b"])
-
-    links = spark.createDataFrame([], EDGE)
     labels = spark.createDataFrame([], "id long, component long")
     if number > 1:
-        truth = scratch.write(reps.select("id", "label", "u").mapInArrow(audit, "a long, b long"), "truth")
         graph = scratch.write(best(planes(0).unionByName(planes(1)), LIST), "graph0")
-        found, k = graph.where(F.col("sim") >= threshold).count(), 0
+        found = graph.where(F.col("sim") >= threshold).count()
         for k in range(1, ROUNDS + 1):
             more = joined(graph, number)
             if k > 1 and k % 2:
@@ -158,16 +142,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
             scratch.drop(f"graph{k - 1}")
             now = graph.where(F.col("sim") >= threshold).count()
             if now - found <= 0.002 * now:
-                links = scratch.write(_symmetric(graph, threshold), f"links{k}")
-                labels = C.components(spark, links.where("a < b"), scratch, f"labels{k}")
-                reached = truth.join(labels.select(F.col("id").alias("a"), F.col("component").alias("x")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("component").alias("y")), "b", "left")
-                n = reached.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("x") == F.col("y")).cast("long")), F.lit(0)).alias("hit")).first()
-                if n["hit"] >= RECALL * n["n"]:
-                    break
+                break
             found = now
-        else:
-            links = scratch.write(_symmetric(graph, threshold), "links")
-            labels = C.components(spark, links.where("a < b"), scratch, "labels")
+        close = graph.where(F.col("sim") >= threshold).select("a", "b")
+        labels = C.components(spark, close, scratch, "labels")
     alone = F.col("component").isNull()
     order = reps.join(labels, "id", "left").select("id", "label", "copies", "u", alone.alias("alone"), F.coalesce("component", "id").alias("component"))
     place = ["label", "alone", "component", "id"]
@@ -247,8 +225,3 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     return rows.select("id").join(result, "id", "left").select(
         F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (F.col("id") == own).alias("kept")
     )
-
-
-def _symmetric(graph: DataFrame, threshold: float) -> DataFrame:
-    close = graph.where(F.col("sim") >= threshold)
-    return close.select("a", "b").unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()

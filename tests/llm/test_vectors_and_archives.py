@@ -90,6 +90,18 @@ def test_near_duplicates_link_two_dense_groups(spark):
     assert got == {i: (int(hit[i].sum()), 0, i == 0) for i in range(60)}
 
 
+def test_near_duplicates_do_not_depend_on_the_descent(spark, monkeypatch):
+    monkeypatch.setattr(descent, "ROUNDS", 1)
+    monkeypatch.setattr(descent, "LIST", 1)
+    monkeypatch.setattr(descent, "BLOCK", 4)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 16))
+    x[200:] = x[:200] + 0.02 * rng.standard_normal((200, 16))
+    rows = [(int(k), [float(c) for c in x[k]], 1) for k in range(400)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in descent.near_duplicates(table(spark, rows)).collect()}
+    assert got == {k: (1, k % 200) for k in range(400)}
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
