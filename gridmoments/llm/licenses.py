@@ -59,32 +59,73 @@ def candidates(text: str) -> Iterator[str]:
             paragraph = []
 
 
-def matcher(idf: dict[str, float], rare: float):
-    """A function from a text to (licence, cosine, share of the text's words in the notice) of its best notice."""
-    names, rows = [], []
+def matcher(idf: dict[str, float], rare: float, threshold: float = 0.6, strange: set[str] | None = None):
+    """A function from a text to (licence, cosine, share of the text's words in the notice) of its best notice.
+
+    Notices are held to each line and paragraph whole, and to each window of their own number of words in it. Of equal
+    cosines the longer notice counts. The share is that of the largest line, paragraph or window that reaches the
+    threshold for the licence. Terms without idf weigh rare; those of what reaches the threshold are put into strange.
+    """
+    names, rows, sizes = [], [], []
     for name, notices in TEMPLATES.items():
         for n in notices:
             names.append(name)
             rows.append(_weights(terms(n), idf, rare))
+            sizes.append(sum(terms(n).values()))
     index: dict[str, list[tuple[int, float]]] = {}
     for k, row in enumerate(rows):
         for t, w in row.items():
             index.setdefault(t, []).append((k, w))
+    place = {t: i for i, t in enumerate(index)}
+    squares = np.zeros((len(names), len(place) + 1))
+    for k, row in enumerate(rows):
+        for t, w in row.items():
+            squares[k, place[t]] = w * w
+    floor = threshold * threshold - 1e-9
+
+    def spans(c: str) -> Iterator[tuple[int, float, int]]:
+        """(notice, cosine, words) of the line or paragraph, and of its windows that can reach the threshold."""
+        words = TERM.findall(c.lower())
+        counted = Counter(words)
+        score = np.zeros(len(names))
+        for t, w in _weights(counted, idf, rare).items():
+            for k, v in index.get(t, ()):
+                score[k] += v * w
+        if strange is not None and score.max() >= threshold:
+            strange.update(t for t in counted if t not in idf)
+        for k in np.flatnonzero(score > 0).tolist():
+            yield k, float(score[k]), len(words)
+        # By Cauchy and Schwarz, a cosine is at most the norm of the notice's weights of the terms that both hold.
+        at = np.array([place[t] for t in counted if t in place], np.int64)
+        hopeful = np.flatnonzero(squares[:, at].sum(1) >= floor)
+        if not len(hopeful):
+            return
+        code = np.array([place.get(t, len(place)) for t in words])
+        for k in hopeful.tolist():
+            n = sizes[k]
+            if n >= len(words):
+                continue
+            total = np.cumsum(np.append(0, squares[k, code]))
+            for x in np.flatnonzero(total[n:] - total[:-n] >= floor).tolist():
+                part = Counter(words[x : x + n])
+                s = sum(rows[k].get(t, 0.0) * w for t, w in _weights(part, idf, rare).items())
+                if s >= threshold:
+                    if strange is not None:
+                        strange.update(t for t in part if t not in idf)
+                    yield k, float(s), n
 
     def best(text: str) -> tuple[str | None, float, float]:
-        found, top, share = None, 0.0, 0.0
-        total = None
+        top, found = (0.0, 0), -1
+        most: dict[str, int] = {}
         for c in candidates(text):
-            score = np.zeros(len(names))
-            counted = terms(c)
-            for t, w in _weights(counted, idf, rare).items():
-                for k, v in index.get(t, ()):
-                    score[k] += v * w
-            k = int(score.argmax())
-            if score[k] > top:
-                total = total if total is not None else sum(terms(text).values())
-                found, top, share = names[k], float(score[k]), sum(counted.values()) / max(total, 1)
-        return found, top, share
+            for k, s, n in spans(c):
+                if s >= threshold:
+                    most[names[k]] = max(most.get(names[k], 0), n)
+                if (round(s, 9), sizes[k]) > top:
+                    top, found, score, words = (round(s, 9), sizes[k]), k, s, n
+        if found < 0:
+            return None, 0.0, 0.0
+        return names[found], score, most.get(names[found], words) / max(sum(terms(text).values()), 1)
 
     return best
 
@@ -98,34 +139,54 @@ def _weights(counted: Counter[str], idf: dict[str, float], rare: float) -> dict[
 def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.6, file_share: float = 0.5) -> DataFrame:
     """(id, path, license, score, origin, source_path) of every row.
 
-    A file's own licence is that of the template with the largest TF-IDF cosine to one of its lines or paragraphs, if it
-    reaches the threshold. Idf comes from how many of all texts hold a template's term; other terms weigh as one that no
-    text holds. A file named as a licence file, or of which a notice makes up file_share, declares its directory's
+    A file's own licence is that of the template with the largest TF-IDF cosine to one of its lines or paragraphs, or to
+    as many successive words in one as the template has, if it reaches the threshold. Idf comes from how many of all
+    texts hold a term. A file named as a licence file, or of which a notice makes up file_share, declares its directory's
     licence; of several the best score, then the smallest path. A file without its own takes that of the nearest
     directory above, by joins on the directories of its path. origin is own, inherited or null.
 
     Null and empty texts have no own licence, a null path no directory; repeated rows give repeated rows; other columns
-    are ignored. Only counts of the templates' terms reach the driver.
+    are ignored. Only counts of the templates' terms, and of those that stand beside what may be a notice, reach the driver.
     """
     spark = files.sparkSession
     scratch = C.Scratch(spark, "licenses")
     kind = files.schema[id_col].dataType.simpleString()
     rows = files.select(F.col(id_col).alias("id"), path.cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, held = 0, Counter()
-        known = set(VOCABULARY)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                n += 1
-                if text:
-                    held.update(known.intersection(text.lower().replace(".", " ").replace(",", " ").split()))
-        yield pa.RecordBatch.from_arrays([pa.array(["", *held]), pa.array([n, *held.values()], pa.int64())], ["term", "n"])
+    def holders(known: set[str]) -> dict[str, int]:
+        """How many texts hold each of the terms; the empty one stands for all texts."""
 
-    counts = dict(rows.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n")).toLocalIterator())
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, held = 0, Counter()
+            for batch in batches:
+                for text in batch.column("text").to_pylist():
+                    n += 1
+                    if text:
+                        held.update(known.intersection(TERM.findall(text.lower())))
+            yield pa.RecordBatch.from_arrays([pa.array(["", *held]), pa.array([n, *held.values()], pa.int64())], ["term", "n"])
+
+        return dict(rows.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n")).toLocalIterator())
+
+    def weighed(counts: dict[str, int], held: list[str]) -> dict[str, float]:
+        return {t: float(np.log((number + 1) / (counts.get(t, 0) + 1)) + 1) for t in held}
+
+    counts = holders(set(VOCABULARY))
     number = counts.get("", 0)
-    idf = {t: float(np.log((number + 1) / (counts.get(t, 0) + 1)) + 1) for t in VOCABULARY}
-    shared = spark.sparkContext.broadcast((idf, float(np.log(number + 1) + 1)))
+    idf = weighed(counts, VOCABULARY)
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strange: set[str] = set()
+        best = matcher(idf, 1.0, threshold, strange)  # no term weighs less: what fails now fails with all counts
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                if t:
+                    best(t)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(strange), pa.string())], ["term"])
+
+    strange = [r["term"] for r in rows.select("text").mapInArrow(beside, "term string").distinct().toLocalIterator()]
+    if strange:
+        idf |= weighed(holders(set(strange)), strange)
+    shared = spark.sparkContext.broadcast((idf, float(np.log(number + 1) + 1), threshold))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = matcher(*shared.value)

@@ -143,6 +143,18 @@ def test_licences_and_inheritance(spark):
         assert all(best(n)[1] > 0.99 for n in notices) and best(notices[0])[0] == name
 
 
+def test_licences_among_other_words(spark):
+    notices = ["Copyright 2021 Jane Doe. Released under the MIT License.", "This project is released under the MIT License.", "// foo.c, Released under the MIT License.", "Copyright 2020 A. All rights reserved.\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."]
+    common = ["it was released under the bridge", "a license plate", "the hammer of mit"]
+    rows = [(i, common[i % 3] + " of words" * 9, f"d{i}/x") for i in range(10, 400)] + [(i, t, f"d{i}/x") for i, t in enumerate(notices)] + [(5, "you have the rights and permission to enter", "e/x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    got = {r["id"]: r["license"] for r in licenses.scan(df, F.col("path")).collect() if r["id"] < 10}
+    assert got == {0: "MIT", 1: "MIT", 2: "MIT", 3: "BSD-3-Clause", 5: None}
+    idf = {t: 8.0 for t in licenses.VOCABULARY}  # a rarer word, as in a larger corpus, hides no notice
+    found = [licenses.matcher(idf, 40.0)(t) for t in notices[:3]]
+    assert all(f[0] == "MIT" and f[1] > 0.99 for f in found)
+
+
 def test_pieces_are_the_librarys(spark):
     path = P.path("piece_bpe_32k.model")
     texts = corpus(4, 30) + [(100 + k, t) for k, t in enumerate([" a", "a ", "a  b", "\n\n", "a \n b", "▁", "日本語\n😀", "<s> x", "é ﬁ", "\0x"])]
