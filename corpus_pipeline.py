@@ -29,8 +29,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links join, the one with the smallest id stays; those without an id stay too."""
-    groups = jaccard_components(docs)
+    """Of documents that near-duplicate links join (at least 80 % of their five-word shingles shared), the one with the smallest id stays; those without an id stay too."""
+    groups = jaccard_components(docs, words=5, percent=80)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 

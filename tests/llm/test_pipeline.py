@@ -42,3 +42,14 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in pieces.collect()} == kept[3]
     assert jaccard and quality and suffix
+
+
+def words(n, mark):
+    return [f"{mark}{k}" for k in range(n)]
+
+
+def test_near_copies_from_four_fifths_on(spark):
+    a, b, c = words(100, "a"), words(100, "b"), words(100, "c")
+    texts = [a, a + words(20, "x"), b, [*b[:30], "y", *b[31:60], "z", *b[61:]], c, c + words(30, "w")]  # 0.828, 0.811 and 0.762 of five-word shingles
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.keep_one_of_group(spark, docs, "").collect()} == {0, 2, 4, 5}
