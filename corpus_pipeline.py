@@ -48,8 +48,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences."""
-    pieces = pack(docs, whole_texts(tokenizer("word_bpe_49k.json"), last=1), Limits())
+    """Packs the documents' tokens into sequences; ids holds the tokens of each piece, all of which bear loss."""
+    pieces = pack(docs, whole_texts(tokenizer("word_bpe_49k.json"), last=1), Limits(), with_ids=True)
     return pieces.withColumnRenamed("id", "doc_id")
 
 

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from gridmoments.llm import jaccard, quality, suffix
+from gridmoments.llm import jaccard, packing, quality, suffix
 
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
@@ -53,3 +53,13 @@ def test_near_copies_from_four_fifths_on(spark):
     texts = [a, a + words(20, "x"), b, [*b[:30], "y", *b[31:60], "z", *b[61:]], c, c + words(30, "w")]  # 0.828, 0.811 and 0.762 of five-word shingles
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.keep_one_of_group(spark, docs, "").collect()} == {0, 2, 4, 5}
+
+
+def test_packed_pieces_hold_their_tokens(spark):
+    texts = {1: "some words of a text", 2: "other words " * 1500, 3: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    pieces = corpus_pipeline.pack_sequences(spark, docs, "").collect()
+    encode = packing.whole_texts(corpus_pipeline.tokenizer("word_bpe_49k.json"), last=1)
+    for i, t in texts.items():
+        mine = sorted((p["start"], p["ids"]) for p in pieces if p["doc_id"] == i)
+        assert [k for _, ids in mine for k in ids] == encode([t])[0][0].tolist()
