@@ -15,6 +15,13 @@ from gridmoments.llm.toxicity import score, train
 
 #: Scores at which a document is toxic, and below which it is of poor quality.
 TOXIC, POOR = 0.7, 0.5
+#: The column that tells rows apart where their ids do not.
+ROW = "_row"
+
+
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The documents with a number of each row, written so that every read finds the same numbers."""
+    return Scratch(spark, "numbered").write(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,18 +36,24 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links join (at least 80 % of their five-word shingles shared), the one with the smallest id stays; those without an id stay too."""
-    groups = jaccard_components(docs, words=5, percent=80)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """Of documents that near-duplicate links join (at least 80 % of their five-word shingles shared), the one with the smallest id stays; those without an id stay too.
+
+    Rows of one id and text are one document; rows of one id with different texts are different documents.
+    """
+    rows = numbered(spark, docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    groups = jaccard_components(rows, words=5, percent=80, id_col=ROW)
+    groups = groups.select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, "doc_id"), ROW)
+    kept = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", ROW)).alias("first")).select(f"first.{ROW}")
+    return rows.join(kept, ROW, "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes bytes that 200-byte strings cover which also start elsewhere; characters cut in two go, n_chars follows. A text may end up empty."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = remove_repeats(docs, carry=rest, as_text=True)
+    rows = numbered(spark, docs.where("doc_id is not null"))  # ids may repeat with different texts
+    cut = remove_repeats(rows, id_col=ROW, carry=("doc_id", *rest), as_text=True)
     changed = F.size("spans") > 0
-    rows = cut.select(F.col("id").alias("doc_id"), F.col("kept").alias("text"), *(F.col(f"carried.{c}").alias(c) for c in rest), changed.alias("_changed"))
+    rows = cut.select(F.col("carried.doc_id").alias("doc_id"), F.col("kept").alias("text"), *(F.col(f"carried.{c}").alias(c) for c in rest), changed.alias("_changed"))
     if "n_chars" in rest:
         kind = docs.schema["n_chars"].dataType
         rows = rows.withColumn("n_chars", F.when(F.col("_changed"), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))

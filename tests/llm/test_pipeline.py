@@ -63,3 +63,13 @@ def test_packed_pieces_hold_their_tokens(spark):
     for i, t in texts.items():
         mine = sorted((p["start"], p["ids"]) for p in pieces if p["doc_id"] == i)
         assert [k for _, ids in mine for k in ids] == encode([t])[0][0].tolist()
+
+
+def test_texts_of_one_id_are_different_documents(spark):
+    a, b = " ".join(words(100, "a")), " ".join(words(100, "b"))
+    docs = spark.createDataFrame([(1, a), (1, a), (1, b), (0, b + " end"), (3, a + " end")], "doc_id long, text string")
+    kept = corpus_pipeline.keep_one_of_group(spark, docs, "")
+    assert sorted(map(tuple, kept.collect())) == [(0, b + " end"), (1, a)]
+    two = spark.createDataFrame([(1, a), (1, b), (None, "x")], "doc_id long, text string")
+    assert sorted((tuple(r) for r in corpus_pipeline.cut_repeats(spark, two, "").collect()), key=str) == [(1, a), (1, b), (None, "x")]
+    assert corpus_pipeline.keep_one_of_group(spark, two, "").count() == 3
