@@ -111,7 +111,7 @@ def window_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH c AS (SELECT DISTINCT l_linenumber * l_linenumber * 1.0::DOUBLE AS x FROM lineitem), o AS (SELECT x, lag(x) OVER (ORDER BY x) AS p, lead(x) OVER (ORDER BY x) AS n FROM c)
 SELECT (x + n) / 2 AS edge FROM o WHERE n IS NOT NULL UNION ALL SELECT x - (n - x) / 2 FROM o WHERE p IS NULL UNION ALL SELECT x + (x - p) / 2 FROM o WHERE n IS NULL""")
 def centers_to_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    centers = [x[0] for x in table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") * F.col("l_linenumber")).cast("double")).distinct().limit(1000).collect()]
+    centers = [x[0] for x in table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") * F.col("l_linenumber")).cast("double")).distinct().collect()]
     return spark.createDataFrame([(e,) for e in S.centers_to_edges(sorted(centers))], "edge double")
 
 

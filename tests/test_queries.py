@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gridmoments.plans.registry import ORACLES, QUERIES
 
@@ -40,3 +41,8 @@ def test_entry_without_optional_parts():
     import __spark_entry__ as e
 
     assert set(QUERIES) <= set(e.queries()) and set(ORACLES) <= set(e.oracle_sql())
+
+
+def test_edges_of_many_centers(spark, tmp_path):
+    spark.range(1, 1201).select(F.col("id").alias("l_linenumber")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert QUERIES["centers_to_edges"](spark, str(tmp_path)).count() == 1201
