@@ -24,9 +24,13 @@ def latest(lines: DataFrame, text: str = "value", order: str = "line") -> DataFr
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Parts are read in the order of their names, lines in their order within one."""
-    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_name").alias("f"), F.monotonically_increasing_id().alias("n")).alias("line"))
-    return latest(lines)
+    """Parts count in the order of the times in their folders' names, then by path; lines in their order within one.
+
+    Only parts of one file share a Spark partition with certainty, so the running number orders lines of one block alone.
+    """
+    place = F.col("_metadata.file_path")
+    order = F.struct(F.regexp_extract(place, "/at=([^/]+)/", 1).alias("at"), place.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    return latest(spark.read.text(path).select("value", order.alias("line")))
 
 
 def append(spark: SparkSession, path: str, cases: list[tuple[int, int, str, str, int, int]]) -> None:
