@@ -53,6 +53,33 @@ def test_top_k_of_few_ties_and_nothing(spark):
     assert [r["vec_id"] for r in topk.top_k(large).orderBy("rank").collect()] == [1, 2]
 
 
+def test_top_k_skips_annuli_and_takes_repeated_rows(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    centres = 20 * rng.standard_normal((12, 600))
+    rows = [(i % 1900, [float(c) for c in centres[i % 12] + 0.1 * rng.standard_normal(600)]) for i in range(2000)]
+    have = [(i, np.floor(1024 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    monkeypatch.setattr(topk, "PASS_BYTES", 40_000)
+    search = topk.TopK(df, 5, 100, 1024)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in search.result().collect())
+    want = []
+    matrix = np.stack([v for _, v in have])
+    for n, (q, v) in enumerate(have):
+        if q % 100 == 0:
+            near = sorted((-int(s), i) for m, (s, (i, _)) in enumerate(zip(matrix @ v, have)) if m != n)[:5]
+            want += [(q, k, i, -s) for k, (s, i) in enumerate(near, 1)]
+    assert got == sorted(want)
+    assert 0 < search.met < 0.5 * search.pairs
+
+
+@pytest.mark.parametrize("size", [1 << 10, 1 << 24, 1 << 30, 1 << 40])
+def test_scores_are_exact_at_any_size(size):
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(-size, size, (4, 900)) for _ in range(2))
+    want = [[max(min(sum(int(x) * int(y) for x, y in zip(p, q)), (1 << 63) - 1), topk.LOW + 1) for q in b] for p in a]
+    assert topk._scores(a.astype(np.float64), b.astype(np.float64)).tolist() == want
+
+
 def test_near_duplicates_against_brute_force(spark):
     rows = vectors()
     have, label = usable(rows), {i: l for i, _, l in rows}
@@ -90,10 +117,10 @@ def test_near_duplicates_link_two_dense_groups(spark):
     assert got == {i: (int(hit[i].sum()), 0, i == 0) for i in range(60)}
 
 
-def test_near_duplicates_do_not_depend_on_the_descent(spark, monkeypatch):
-    monkeypatch.setattr(descent, "ROUNDS", 1)
-    monkeypatch.setattr(descent, "LIST", 1)
-    monkeypatch.setattr(descent, "BLOCK", 4)
+def test_near_duplicates_where_no_audit_passes(spark, monkeypatch):
+    """The descent is crippled, so that the exact tiles of all blocks must count the links."""
+    for name, value in (("ROUNDS", 1), ("MOST_ROUNDS", 2), ("LIST", 1), ("BLOCK", 4), ("BLOCK_BYTES", 1)):
+        monkeypatch.setattr(descent, name, value)
     rng = np.random.default_rng(5)
     x = rng.standard_normal((400, 16))
     x[200:] = x[:200] + 0.02 * rng.standard_normal((200, 16))
@@ -102,6 +129,20 @@ def test_near_duplicates_do_not_depend_on_the_descent(spark, monkeypatch):
     assert got == {k: (1, k % 200) for k in range(400)}
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    rows = [(5, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (3, [1.0, 0.01], 1), (9, [0.0, 1.0], 2), (None, [1.0, 0.0], 1)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in descent.near_duplicates(table(spark, rows)).collect())
+    assert got == [(3, 2, 3, True), (5, 0, 5, True), (5, 2, 3, False), (5, 2, 3, False), (9, 0, 9, True)]
+
+
+def test_audit_counts_links_between_components(spark):
+    d = descent.Descent(spark.createDataFrame([(i, "a", [1.0, 0.001 * i]) for i in range(20)], "id long, label string, v array<double>"), 0.98)
+    alone = d.blocks(None)
+    assert d.audit(alone) == 0.0
+    state, blocks, passed = d.search()
+    assert passed and d.recall == 1.0 and blocks.count() >= 1
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
