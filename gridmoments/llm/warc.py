@@ -39,11 +39,12 @@ def header_value(value: object) -> str:
 
 
 def record(kind: str, page: int, url: str | None, payload: bytes, digest: bytes, size: int, refers_to: int | None) -> bytes:
-    """A WARC/1.1 record. A revisit has no payload but tells the full payload's digest and size and the record it refers to."""
+    """A WARC/1.1 record, named by page and payload. A revisit has no payload but tells the full payload's digest and size and the record it refers to."""
+    name = lambda p: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{p}:{digest.hex()}')}>"
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>",
+        f"WARC-Record-ID: {name(page)}",
         f"WARC-Date: {EPOCH}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}",
         f"X-Page-ID: {page}",
@@ -53,7 +54,7 @@ def record(kind: str, page: int, url: str | None, payload: bytes, digest: bytes,
     if url is not None:
         lines.append(f"WARC-Target-URI: {header_value(url)}")
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"X-Refers-To-Page: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
         payload = b""
     lines.append(f"Content-Length: {len(payload)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
@@ -147,8 +148,8 @@ def archive_pages(pages: DataFrame, min_revisit: int = 1000, id_col: str = "page
 
     Of records with equal payloads of at least min_revisit bytes, that with the largest id is a response, the others
     revisit it; smaller ones are responses. Payloads are equal when SHA-1 and size are. A null payload is empty, a null
-    url is left out; ids must be unique, rows with a null id are dropped. Repeated pages, ties and other columns are
-    harmless; an empty table gives no archive and no row.
+    url is left out; rows with a null id are dropped. Rows of a repeated id have a record each: of equal payloads all rows
+    of the largest id are responses. Other columns are ignored; an empty table gives no archive and no row.
 
     The response of a group is found by an aggregate over digests, so a page that a third of the rows repeat is no
     burden. Each task writes monolithic gzip files of ROLL payload bytes (parts, renamed when whole, so a task that runs
@@ -161,8 +162,8 @@ def archive_pages(pages: DataFrame, min_revisit: int = 1000, id_col: str = "page
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")).where("page is not null")
     keys = rows.select("page", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("size"))
     chosen = keys.where(F.col("size") >= min_revisit).groupBy("sha", "size").agg(F.max("page").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = keys.join(chosen, ["sha", "size"]).where("page <> response").select("page", "response")
-    planned = rows.join(revisits, "page", "left")
+    revisits = keys.join(chosen, ["sha", "size"]).where("page <> response").select("page", "sha", "size", "response").distinct()
+    planned = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload")).join(revisits, ["page", "sha", "size"], "left").drop("sha", "size")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
