@@ -14,6 +14,8 @@ from . import common as C
 
 #: Bytes of context that a suffix array covers, and contexts of one anchor beyond which the anchor is split.
 BUCKET_BYTES, HEAVY = 1 << 20, 2048
+#: Low bits of an anchor's key that hold its place in a piece of text; the others are its hash, in every piece alike.
+PLACE_BITS = 22
 
 
 def suffix_order(text: np.ndarray, begin: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +127,9 @@ def anchored(raw: np.ndarray, at: np.ndarray, gram: int, length: int) -> tuple[n
         return z, z, z, z
     s = C.rolling(raw)
     h = C.mixed((s[gram:] - s[:-gram]) * C.powers(len(raw) + 1)[1][:n])
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = np.uint64(PLACE_BITS)
+    if n > 1 << PLACE_BITS:
+        raise ValueError(f"a piece of {n} places is too long")
     key = ((h >> bits) << bits) | np.arange(n, dtype=np.uint64)
     blocks = -(-n // width)
     grid = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
@@ -173,13 +177,17 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 40, id_col: s
 
     Strings are judged on the input: overlaps and matches within a document count, and all copies go, the first too. Null
     and empty texts have no bytes and no spans. With as_text, kept is a string without the characters that a cut leaves in
-    halves; rows with a null id are dropped, ids must be unique. Other columns are
-    ignored.
+    halves; rows with a null id are dropped. Rows of a repeated id are documents of their own (where ids repeat, rows are
+    numbered and written first). Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = C.Scratch(spark, "suffix")
     carried = F.struct(*(docs[c] for c in carry)) if carry else F.lit(None).cast("boolean")
-    full = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), carried.alias("carried")).where("id is not null")
+    full = docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).cast("binary").alias("text"), carried.alias("carried")).where("own is not null")
+    if full.groupBy("own").count().where("count > 1").isEmpty():
+        full = full.withColumn("id", F.col("own"))
+    else:
+        full = scratch.write(full.withColumn("id", F.monotonically_increasing_id()), "numbered")
     docs = full.select("id", "text")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,12 +301,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 40, id_col: s
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])) if own else text)
             n = [None if not t.is_valid else len(t.as_buffer()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([x or 0 for x in n], pa.int64()), pa.array(merged, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), batch.column("carried")],
+                [batch.column("own"), pa.array([x or 0 for x in n], pa.int64()), pa.array(merged, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), batch.column("carried")],
                 ["id", "n_bytes", "spans", "kept", "carried"],
             )
 
     form = f"id long, n_bytes long, spans array<struct<a: long, b: long>>, kept {'string' if as_text else 'binary'}, carried {full.schema['carried'].dataType.simpleString()}"
-    return full.join(per_doc, "id", "left").select("id", "text", "spans", "carried").mapInArrow(cut, form)
+    return full.join(per_doc, "id", "left").select("own", "text", "spans", "carried").mapInArrow(cut, form)
 
 
 def digest_rows(docs: DataFrame, length: int = 200) -> DataFrame:
