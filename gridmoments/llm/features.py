@@ -63,21 +63,27 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit(place: np.ndarray, value: np.ndarray, bounds: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float, pairs: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, fairness: float = 0.0, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic model by full-batch Adam: mean weighted cross-entropy, ridge * |w|^2 and fairness times the mean squared product with the rows of pairs."""
-    used, inner = np.unique(np.concatenate([place, pairs[0]]) if pairs else place, return_inverse=True)
+def fit(place: np.ndarray, value: np.ndarray, bounds: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float, twin: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, fairness: float = 0.0, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model by full-batch Adam: mean weighted cross-entropy, ridge * |w|^2 and fairness times the mean squared difference of a row's score from its twin's."""
+    used, inner = np.unique(np.concatenate([place, twin[0]]) if twin else place, return_inverse=True)
     own, other = inner[: len(place)], inner[len(place) :]
     row = np.repeat(np.arange(len(target)), np.diff(bounds))
+    far = np.repeat(np.arange(len(target)), np.diff(twin[2])) if twin else row
     w, b = np.zeros(len(used)), float(np.log((target @ weight + 1) / ((1 - target) @ weight + 1)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     total = weight.sum()
     for t in range(1, steps + 1):
-        error = weight * (sigmoid(dot(w, own, value, bounds) + b) - target) / total
+        score = sigmoid(dot(w, own, value, bounds) + b)
+        error = weight * (score - target) / total
+        if twin and len(target):
+            changed = sigmoid(dot(w, other, twin[1], twin[2]) + b)
+            slope = 2 * fairness / len(target) * (score - changed)
+            error, back = error + slope * score * (1 - score), slope * changed * (1 - changed)
         g = np.bincount(own, value * error[row], minlength=len(used)) + 2 * ridge * w
-        if pairs and len(pairs[2]) > 1:
-            change = dot(w, other, pairs[1], pairs[2])
-            g += 2 * fairness / len(change) * np.bincount(other, pairs[1] * np.repeat(change, np.diff(pairs[2])), minlength=len(used))
         gb = error.sum()
+        if twin and len(target):
+            g -= np.bincount(other, twin[1] * back[far], minlength=len(used))
+            gb -= back.sum()
         rate = 0.1 * (1 - (t - 1) / steps)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb

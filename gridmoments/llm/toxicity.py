@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,8 @@ from pyspark.sql import types as T
 from . import common as C
 from .features import PLACES, chosen, dot, fit, sigmoid, word_features
 
-#: Labelled documents of the training sample at most, features, weight of a toxic document, strengths of the penalties.
-SAMPLE, FEATURES, TOXIC_WEIGHT, RIDGE, FAIRNESS = 8192, 1024, 3.0, 1e-5, 1.0
+#: Labelled documents of the training sample at most and their bytes, features, weight of a toxic document, strengths of the penalties.
+SAMPLE, SAMPLE_BYTES, FEATURES, TOXIC_WEIGHT, RIDGE, FAIRNESS = 8192, 32 << 20, 1024, 3.0, 1e-5, 8.0
 #: Bytes of word heads that count as features beside words.
 HEADS = (5, 6, 7)
 # Terms of groups that texts may mention, one group a line; terms of a line are swapped for one another.
@@ -36,11 +37,12 @@ NEXT = {word: line[(k + 1) % len(line)] for line in IDENTITY for k, word in enum
 TERM = re.compile(r"\b(" + "|".join(sorted(map(re.escape, NEXT), key=len, reverse=True)) + r")\b", re.IGNORECASE)
 
 
-def swapped(text: str, number: int) -> str:
-    """The text with every identity term replaced by the next of its line; a text without any gets one at its end."""
+def swapped(text: str) -> str:
+    """The text with every identity term replaced by the next of its line; a text without any gets one at its end, which its checksum chooses."""
     out, n = TERM.subn(lambda m: NEXT[m[0].lower()], text)
     if n:
         return out
+    number = zlib.crc32(text.encode())
     line = IDENTITY[number % len(IDENTITY)]
     return f"{text} {line[number // len(IDENTITY) % len(line)]}"
 
@@ -52,9 +54,8 @@ def values(count: np.ndarray, bounds: np.ndarray, words: np.ndarray) -> np.ndarr
 
 def telling(place: np.ndarray, count: np.ndarray, bounds: np.ndarray, target: np.ndarray, most: int) -> np.ndarray:
     """A mask of the places whose counts differ most, by the G statistic, and are more frequent in toxic texts."""
-    owner = np.repeat(np.arange(len(target)), np.diff(bounds))
-    c = np.minimum(count, 6)
-    a, z = (np.bincount(place, c * (target[owner] == t), minlength=PLACES) for t in (1, 0))
+    toxic = np.repeat(target == 1, np.diff(bounds))
+    a, z = (np.bincount(place[side], np.minimum(count[side], 6), minlength=PLACES) for side in (toxic, ~toxic))
     expected = (a + z) * a.sum() / max(a.sum() + z.sum(), 1)
     with np.errstate(all="ignore"):
         g = a * np.log(np.where(a > 0, a / expected, 1)) + z * np.log(np.where(z > 0, z / np.maximum(a + z - expected, 1e-9), 1))
@@ -68,42 +69,50 @@ def telling(place: np.ndarray, count: np.ndarray, bounds: np.ndarray, target: np
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
     """Weights and bias, from at most `sample` labelled documents whose crc32(id as text) mod 3 is not 1, those with the smallest hashes of the id.
 
-    Each sampled text counts with its counterfactual, in which identity terms are swapped or, if it has none, one is
-    added; the squared change of the score is penalised. Without a toxic or without a harmless example all weights are 0.
+    Of these, a document that would bring the sample above SAMPLE_BYTES of text is passed over, so that long texts cannot
+    fill the driver. Each sampled text counts with its counterfactual, in which identity terms are swapped or, if it has
+    none, one is added; the squared change of the score is penalised. Of a repeated id all texts count. Without a toxic
+    or without a harmless example all weights are 0.
     """
-    spark = documents.sparkSession
     rows = labels.where(f"{label_col} in (0, 1) and {id_col} is not null").groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).alias("y"))
     rows = rows.where(F.crc32(F.col("id").cast("string")) % 3 != 1).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    order = F.xxhash64("id")
+    sizes = texts.join(F.broadcast(rows), "id").groupBy("id", "y").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n"), F.min(order).alias("h")).orderBy("h", "id").collect()
+    held, kept = 0, []
+    for r in sizes:
+        if held + r["n"] <= SAMPLE_BYTES:
+            held += r["n"]
+            kept.append((r["id"], int(r["y"])))
+    spark = documents.sparkSession
+    wanted = spark.createDataFrame(kept, "id long, y int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in C.pieces(whole, "text"):
                 own = batch.column("text").fill_null("")
-                other = pa.array([swapped(t, i) for t, i in zip(own.to_pylist(), batch.column("id").to_pylist())], pa.string())
-                out = [batch.column("id"), batch.column("y").cast(pa.int32())]
+                other = pa.array([swapped(t) for t in own.to_pylist()], pa.string())
+                out = [batch.column("id"), batch.column("y")]
                 for t in (own, other):
                     place, count, bounds, words = word_features(t, HEADS)
                     out += [C.binaries(place.astype(np.int32), bounds), C.binaries(np.minimum(count, 6).astype(np.uint8), bounds), pa.array(words)]
                 yield pa.RecordBatch.from_arrays(out, ["id", "y", "p0", "c0", "n0", "p1", "c1", "n1"])
 
     form = "id long, y int, p0 binary, c0 binary, n0 long, p1 binary, c1 binary, n1 long"
-    got = texts.join(F.broadcast(rows), "id").mapInArrow(run, form).toLocalIterator()
-    read = sorted(((r["id"], r["y"], *(np.frombuffer(r[k], t) for k, t in (("p0", np.int32), ("c0", np.uint8), ("p1", np.int32), ("c1", np.uint8))), r["n0"], r["n1"]) for r in got), key=lambda r: r[0])
+    got = texts.join(F.broadcast(wanted), "id").mapInArrow(run, form).toLocalIterator()
+    read = sorted(((r["id"], r["y"], bytes(r["p0"]), bytes(r["c0"]), bytes(r["p1"]), bytes(r["c1"]), r["n0"], r["n1"]) for r in got), key=lambda r: r[:4])
     y = np.array([r[1] for r in read], np.float64)
     if not (0 < y.sum() < len(y)):
         return np.zeros(PLACES), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    sides = []
+    keep, sides = None, []
     for k, n in ((2, 6), (4, 7)):
-        place, count = np.concatenate([r[k] for r in read]).astype(np.int64), np.concatenate([r[k + 1] for r in read]).astype(np.int64)
-        bounds = np.cumsum([0, *(len(r[k]) for r in read)])
-        sides.append((place, count, bounds, np.array([r[n] for r in read])))
-    keep = telling(*sides[0][:3], y, FEATURES)
-    (p0, v0, b0), (p1, v1, b1) = (chosen(p, values(c, b, n), b, keep) for p, c, b, n in sides)
-    row = np.concatenate([np.repeat(np.arange(len(y)), np.diff(b)) for b in (b0, b1)])
-    order = np.argsort(row, kind="stable")
-    pairs = (np.concatenate([p0, p1])[order], np.concatenate([v0, -v1])[order], b0 + b1)
-    return fit(p0, v0, b0, y, np.where(y > 0, TOXIC_WEIGHT, 1.0), RIDGE, pairs, FAIRNESS)
+        place, count = (np.frombuffer(b"".join(r[c] for r in read), t) for c, t in ((k, np.int32), (k + 1, np.uint8)))
+        bounds = np.cumsum([0, *(len(r[k + 1]) for r in read)])
+        if keep is None:
+            keep = telling(place, count, bounds, y, FEATURES)
+        place, count, bounds = chosen(place, count, bounds, keep)
+        sides.append((place.astype(np.int64), values(count, bounds, np.array([r[n] for r in read])), bounds))
+    return fit(*sides[0], y, np.where(y > 0, TOXIC_WEIGHT, 1.0), RIDGE, sides[1], FAIRNESS)
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -281,4 +281,6 @@ def test_toxicity_held_out_and_fair(spark):
     assert by[2002]["score"] < 0.3 and abs(by[2002]["score"] - by[2003]["score"]) < 0.1
     assert toxicity.toxicity(docs.where("false"), table).count() == 0
     assert len({r["score"] for r in toxicity.toxicity(docs, table.where("toxic = 0")).collect()}) == 1
-    assert toxicity.swapped("A Muslim man", 0) == "A christian girls" or toxicity.swapped("A Muslim man", 0) != "A Muslim man"
+    assert toxicity.swapped("A Muslim man") == "A christian female"
+    plain = toxicity.swapped("some words")
+    assert plain.startswith("some words ") and plain[11:] in toxicity.NEXT and plain == toxicity.swapped("some words")
