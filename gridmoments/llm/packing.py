@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -195,8 +196,37 @@ def whole_texts(path: str, last: int = 1) -> Tokens:
     return lambda texts: [(np.append(x, np.uint32(last)).astype("<u4"), None) for x in encoder(path).encode(texts)]
 
 
+def turns_of(conversations: DataFrame, most: int = 64, id_col: str = "conv_id") -> DataFrame:
+    """(conv_id, text): the turns of each conversation in their order as JSON, [[role, text], ...], at most `most` numbers of turns in a row of the result.
+
+    Null roles and texts count as empty, rows with a null id or turn are dropped, of turns of one number all stay. A
+    longer conversation gives several rows, so no group grows with it unless one turn repeats.
+    """
+    rows = conversations.where(F.col(id_col).isNotNull() & F.col("turn").isNotNull())
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    held = rows.groupBy(id_col, F.floor(F.col("turn") / most).alias("_part")).agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    return held.select(id_col, F.to_json(F.transform("t", lambda t: F.array(t.role, t.text))).alias("text"))
+
+
+def chat(path: str, last: int = 1, taught: str = "assistant") -> Tokens:
+    """Ids of the turns that turns_of() gives, each ended by a last id; only those of the taught role bear loss."""
+
+    def run(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray | None]]:
+        turns = [json.loads(t) if t else [] for t in texts]
+        coded = iter(encoder(path).encode([text for own in turns for _, text in own]))
+        out = []
+        for own in turns:
+            ids = [np.append(next(coded), np.uint32(last)) for _ in own]
+            bears = [np.full(len(x), role == taught) for x, (role, _) in zip(ids, own)]
+            flat = np.concatenate([np.zeros(0, np.uint32), *ids]).astype("<u4")
+            out.append((flat, np.append(0, np.cumsum(np.concatenate([np.zeros(0, bool), *bears])))))
+        return out
+
+    return run
+
+
 def pack(examples: DataFrame, tokens: Tokens, limits: Limits = Limits(), cut: bool = True, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of every piece of every example.
+    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens[, ids]) of every piece of every example.
 
     Examples are packed in groups of at most GROUP neighbouring rows, each in one task and without a shuffle; a group's
     sequences are filled as place() tells, so that with cut none is padded. sequence_id holds the partition and a number
@@ -218,7 +248,9 @@ def pack(examples: DataFrame, tokens: Tokens, limits: Limits = Limits(), cut: bo
             i, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces)) if pieces else [np.zeros(0, np.int64)] * 5
             crc = [zlib.crc32(coded[k][0][a : a + n]) for k, a, n in zip(i.tolist(), start.tolist(), length.tolist())]
             columns = [pa.array([who[k] for k in i.tolist()], pa.int64()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array([len(coded[k][0]) for k in i.tolist()], pa.int64()), pa.array(base + done + sequence), pa.array(offset)]
-            names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+            bears = [n if (y := coded[k][1]) is None else int(y[a + n] - y[a]) for k, a, n in zip(i.tolist(), start.tolist(), length.tolist())]
+            columns.append(pa.array(bears, pa.int64()))
+            names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
             if with_ids:
                 columns.append(pa.array([coded[k][0][a : a + n].astype(np.int64) for k, a, n in zip(i.tolist(), start.tolist(), length.tolist())], pa.list_(pa.int64())))
                 names.append("ids")
@@ -237,5 +269,5 @@ def pack(examples: DataFrame, tokens: Tokens, limits: Limits = Limits(), cut: bo
         if who:
             yield close()
 
-    form = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
+    form = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long" + ", ids array<long>" * with_ids
     return rows.mapInArrow(run, form)

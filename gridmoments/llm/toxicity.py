@@ -16,7 +16,7 @@ from . import common as C
 from .features import PLACES, chosen, dot, fit, sigmoid, word_features
 
 #: Labelled documents of the training sample at most and their bytes, features, weight of a toxic document, strengths of the penalties.
-SAMPLE, SAMPLE_BYTES, FEATURES, TOXIC_WEIGHT, RIDGE, FAIRNESS = 8192, 32 << 20, 1024, 3.0, 1e-5, 8.0
+SAMPLE, SAMPLE_BYTES, FEATURES, TOXIC_WEIGHT, RIDGE, FAIRNESS = 8192, 32 << 20, 1024, 3.0, 1e-5, 32.0
 #: Bytes of word heads that count as features beside words.
 HEADS = (5, 6, 7)
 # Terms of groups that texts may mention, one group a line; terms of a line are swapped for one another.

@@ -99,6 +99,14 @@ def test_suffix_removal_against_brute_force(spark, monkeypatch, heavy):
     assert suffix.digest_rows(documents(spark, texts).where("false")).count() == 0
 
 
+def test_suffix_removal_of_repeated_ids(spark):
+    rnd = random.Random(12)
+    a, b = ("".join(rnd.choice("abcdefgh ") for _ in range(900)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, "z" + a[300:650]), (3, b), (3, b)]
+    got = sorted((r["doc_id"], r["n_removed"], r["n_spans"]) for r in suffix.digest_rows(documents(spark, rows)).collect())
+    assert got == [(1, 350, 1), (1, 900, 1), (2, 350, 1), (3, 900, 1), (3, 900, 1)]
+
+
 def test_suffix_order_is_right():
     rnd = random.Random(2)
     for _ in range(40):
@@ -212,6 +220,41 @@ def test_packing_is_a_partition_without_padding(spark):
     assert packing.pack(documents(spark, texts).where("false"), packing.whole_texts(path)).count() == 0
 
 
+def test_turns_of_conversations_fill_all_three_limits(spark):
+    path = P.path("word_bpe_49k.json")
+    rnd = random.Random(9)
+    rows = []
+    for c in range(160):
+        kind = c % 4  # many short turns, long questions, long answers, and a conversation of many turns
+        turns = 150 if c == 7 else 1 if kind == 0 else 3
+        for k in range(turns):
+            role = ("user", "assistant")[k % 2] if kind else "user"
+            n = rnd.randint(1, 3) if kind == 0 or c == 7 else rnd.randint(60, 90) if (kind == 2) == (role == "assistant") else rnd.randint(2, 9)
+            rows.append((c, k, role, " ".join(rnd.choice(["some", "plain", "words", "here"]) for _ in range(n)), "x"))
+    rows += [(200, 0, None, None, "x"), (200, 1, "assistant", "", "x"), (None, 0, "user", "lost", "x"), (201, None, "user", "lost", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, id string").repartition(3)
+    held = packing.turns_of(df)
+    assert held.where("conv_id = 7").count() == 3 and held.where("conv_id in (201) or conv_id is null").isEmpty()
+    limits = packing.Limits(tokens=512, segments=12, loss_tokens=160)
+    pieces = packing.pack(held.coalesce(1), packing.chat(path), limits, cut=False, id_col="conv_id").collect()
+    e, want = packing.WordEncoder(path), Counter()
+    for c, k, role, text, _ in rows:
+        if c is not None and k is not None:
+            n = len(e.library.encode(text or "", add_special_tokens=False).ids) + 1
+            want[c, "tokens"] += n
+            want[c, "loss"] += n * (role == "assistant")
+    got, sequences = Counter(), {}
+    for p in pieces:
+        got[p["id"], "tokens"] += p["length"]
+        got[p["id"], "loss"] += p["loss_tokens"]
+        sequences.setdefault(p["sequence_id"], []).append(p)
+    assert +got == +want
+    used = [(sum(p["length"] for p in own), len(own), sum(p["loss_tokens"] for p in own)) for own in sequences.values()]
+    assert all(n <= 512 and k <= 12 and loss <= 160 for n, k, loss in used)
+    most = [max(u[x] for u in used) for x in range(3)]
+    assert most[0] > 490 and most[1] == 12 and most[2] > 140, most
+
+
 @pytest.mark.parametrize("cut", [False, True])
 def test_all_limits_hold(cut):
     rnd = random.Random(6)

@@ -189,6 +189,13 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.archive_pages(df.where("false")).count() == 0
 
 
+def test_archives_of_repeated_pages(spark):
+    x, y = "x" * 1200, "y" * 1300
+    df = spark.createDataFrame([(1, "u", x), (1, "u", x), (9, "u", x), (9, "u", x), (9, "u", y), (4, "u", y), (4, "u", "s"), (4, "u", "s")], "page_id long, url string, html string").repartition(3)
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_pages(df).collect())
+    assert got == [(1, 1200, "revisit", 9), (1, 1200, "revisit", 9), (4, 1, "response", None), (4, 1, "response", None), (4, 1300, "revisit", 9), (9, 1200, "response", None), (9, 1200, "response", None), (9, 1300, "response", None)]
+
+
 def test_streams_of_one_and_of_many_members():
     one = warc.record("response", 1, "u", b"x" * 100, hashlib.sha1(b"x" * 100).digest(), 100, None)
     two = warc.record("revisit", 2, "u", b"y" * 9, hashlib.sha1(b"y" * 9).digest(), 9, 1)
