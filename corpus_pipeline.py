@@ -25,13 +25,17 @@ def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose toxicity score is at least TOXIC."""
+    """Rejects documents whose toxicity score is at least TOXIC.
+
+    A null text scores as an empty one, rows with a null id are scored too, equal texts stay or go together. Without
+    labelled examples of both kinds all documents have one score, the share of toxic labels.
+    """
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")), score_col="_toxicity")
     return scored.where(F.col("_toxicity") < TOXIC).select(docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose quality score is below POOR."""
+    """Rejects documents whose quality score is below POOR. Null texts count as empty, rows with a null id are scored too, equal texts stay or go together."""
     return quality(docs, prefix="_quality_").where(F.col("_quality_score") >= POOR).select(docs.columns)
 
 
@@ -48,12 +52,13 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes bytes that 200-byte strings cover which also start elsewhere; characters cut in two go, n_chars follows. A text may end up empty."""
+    """Removes bytes that 200-byte strings cover which also start elsewhere; characters cut in two go, n_chars follows. A text may end up empty.
+
+    Null texts become empty ones, equal rows lose what they share, rows with a null id pass unchanged.
+    """
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    rows = numbered(spark, docs.where("doc_id is not null"))  # ids may repeat with different texts
-    cut = remove_repeats(rows, id_col=ROW, carry=("doc_id", *rest), as_text=True)
-    changed = F.size("spans") > 0
-    rows = cut.select(F.col("carried.doc_id").alias("doc_id"), F.col("kept").alias("text"), *(F.col(f"carried.{c}").alias(c) for c in rest), changed.alias("_changed"))
+    cut = remove_repeats(docs.where("doc_id is not null"), carry=rest, as_text=True)  # rows of one id are told apart there
+    rows = cut.select(F.col("id").alias("doc_id"), F.col("kept").alias("text"), *(F.col(f"carried.{c}").alias(c) for c in rest), (F.size("spans") > 0).alias("_changed"))
     if "n_chars" in rest:
         kind = docs.schema["n_chars"].dataType
         rows = rows.withColumn("n_chars", F.when(F.col("_changed"), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
@@ -61,7 +66,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences; ids holds the tokens of each piece, all of which bear loss."""
+    """Packs the documents' tokens into sequences; ids holds the tokens of each piece, all of which bear loss.
+
+    A null text is an empty one, which has its end token alone; rows with a null id and repeated rows are packed like others.
+    """
     pieces = pack(docs, whole_texts(tokenizer("word_bpe_49k.json"), last=1), Limits(), with_ids=True)
     return pieces.withColumnRenamed("id", "doc_id")
 
