@@ -196,6 +196,30 @@ def test_normaliser_with_a_character_map():
     assert text == "▁Ab".encode() and source.tolist() == [0, 0, 0, 0, 3, 4]
 
 
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_spans_through_a_character_map_are_the_librarys(spark, tmp_path, squeeze):
+    """The public model with another normalisation: its ids and offsets, taken from the library as they are."""
+    import sentencepiece
+
+    rule = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, remove_extra_whitespaces=squeeze, escape_whitespaces=True)
+    spec = dict(pieces.fields(rule.serialized_model_proto()))[3]
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        parts = [(k, v) for k, v in pieces.fields(f.read()) if k != 3]
+    path = tmp_path / "mapped.model"
+    path.write_bytes(pieces.message([*parts, (3, spec)]))
+    e = pieces.Encoder(str(path))
+    assert e.normaliser.units and e.normaliser.squeeze == squeeze
+    texts = [*(t or "" for _, t in corpus(11, 24)), "ＡＢＣ ｱｲｳ x", "①②  ③", "ﬁn  ½ é ", "　 a　　b　", "Ⅷ ㍿ ok", "a\tb\n c", "é́ é", "x\u200by", "  lead", "trail  ", "한국어 😀 zz", "e\u0301a", "\u00ad", "ｶﾞ gas"]
+    got = {r["id"]: r for r in pieces.encode(documents(spark, list(enumerate(texts))), str(path)).collect()}
+    for i, t in enumerate(texts):
+        want = e.library.encode(t, return_type="proto")
+        assert got[i]["ids"] == [p.id for p in want.pieces] == e.library.encode(t)
+        assert got[i]["decoded"] == e.library.decode(got[i]["ids"])
+        spans, theirs = list(zip(got[i]["begins"], got[i]["ends"])), [(p.begin, p.end) for p in want.pieces]
+        whole = [not e.library.is_byte(p.id) for p in want.pieces]  # bytes of one character share its span there
+        assert [s for s, w in zip(spans, whole) if w] == [s for s, w in zip(theirs, whole) if w], t
+
+
 def test_packing_is_a_partition_without_padding(spark):
     path = P.path("word_bpe_49k.json")
     texts = corpus(5, 40) + [(100, "word " * 6000), (101, "<|endoftext|> It's 12 é́"), (None, "lost id")]
