@@ -1,6 +1,7 @@
 """Operators on documents against brute force on small tables with nulls, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -146,7 +147,7 @@ def test_licences_and_inheritance(spark):
         (7, "GPL-3.0", "own", "a/b/c/COPYING"), (7, "GPL-3.0", "own", "a/b/c/COPYING"), (8, "-", "-", "-"),
     ]
     assert licenses.scan(df.where("false"), F.col("path")).count() == 0
-    best = licenses.matcher({t: 1.0 for t in licenses.VOCABULARY}, 2.0)
+    best = licenses.Matcher({t: 1.0 for t in licenses.VOCABULARY}, 2.0)
     for name, notices in licenses.TEMPLATES.items():
         assert all(best(n)[1] > 0.99 for n in notices) and best(notices[0])[0] == name
 
@@ -159,10 +160,91 @@ def test_licences_among_other_words(spark):
     got = {r["id"]: r["license"] for r in licenses.scan(df, F.col("path")).collect() if r["id"] < 10}
     assert got == {0: "MIT", 1: "MIT", 2: "MIT", 3: "BSD-3-Clause", 5: None}
     idf = {t: 8.0 for t in licenses.VOCABULARY}  # a rarer word, as in a larger corpus, hides no notice
-    found = [licenses.matcher(idf, 40.0)(t) for t in notices[:3]]
+    found = [licenses.Matcher(idf, 40.0)(t) for t in notices[:3]]
     assert all(f[0] == "MIT" and f[1] > 0.99 for f in found)
 
 
+def plain_best(text, idf, rare, threshold):
+    """The rule of licenses.Matcher with every line, paragraph and window held to every notice."""
+
+    def vector(words):
+        row = {t: (1 + math.log(n)) * idf.get(t, rare) for t, n in Counter(words).items()}
+        norm = math.sqrt(sum(w * w for w in row.values()))
+        return {t: w / norm for t, w in row.items()} if norm else {}
+
+    hits = []
+    blocks = [b.split("\n") for b in re.split(r"\n(?:[^\S\n]*\n)+", text)]
+    lines = [line for b in blocks for line in b if line.strip()] + [" ".join(x for x in b if x.strip()) for b in blocks if sum(bool(x.strip()) for x in b) > 1]
+    for name, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            mine = licenses.TERM.findall(notice.lower())
+            row = vector(mine)
+            for at, line in enumerate(lines):
+                words = licenses.TERM.findall(line.lower())
+                for x, y in [(0, len(words)), *((a, a + len(mine)) for a in range(len(words) - len(mine) + 1) if len(words) > len(mine))]:
+                    s = sum(w * row.get(t, 0) for t, w in vector(words[x:y]).items())
+                    if s >= threshold:
+                        hits.append((round(s, 9), len(mine), name, set(row), at, x, y))
+    if not hits:
+        return None
+    top = max(h[:2] for h in hits)
+    name = next(h[2] for h in hits if h[:2] == top)  # of equal ones the first template
+    mine = next(h[3] for h in hits if h[:2] == top)
+    first = [h for h in hits if h[:2] == top and h[2] == name and h[3] == mine]
+    for s, _, other, its, at, x, y in hits:
+        if other != name and s > top[0] - licenses.MARGIN and not its < mine and any(h[4] == at and h[5] < y and x < h[6] for h in first):
+            return None
+    return name
+
+
+def test_licences_against_brute_force(spark):
+    """Cosines without any filter, with document frequencies counted here, then directories climbed one by one."""
+    rnd = random.Random(13)
+    notices = [(name, n) for name, own in licenses.TEMPLATES.items() for n in own]
+    filler = ["ta", "ne", "the", "free", "use", "of", "this", "version", "file", "copy", "2", "and", "to", "lo"]
+    rows = []
+    for i in range(150):
+        body = [" ".join(rnd.choice(filler) for _ in range(rnd.randint(0, 12))) for _ in range(rnd.randint(0, 4))]
+        if rnd.random() < 0.5:
+            words = rnd.choice(notices)[1].split()
+            for _ in range(rnd.randint(0, 3)):
+                words[rnd.randrange(len(words))] = rnd.choice(filler)
+            body.insert(rnd.randint(0, len(body)), " ".join([*(rnd.choice(filler) for _ in range(rnd.randint(0, 3))), *words]))
+        path = "/".join([rnd.choice("abc") for _ in range(rnd.randint(0, 3))] + [rnd.choice(["LICENSE", "x.py", "COPYING.txt", "y"]) + (str(i) if rnd.random() < 0.8 else "")])
+        rows.append((i, rnd.choice(["\n", "\n\n"]).join(body), path))
+    held = Counter(t for _, text, _ in rows for t in set(licenses.TERM.findall(text.lower())))
+    idf = {t: math.log((len(rows) + 1) / (n + 1)) + 1 for t, n in held.items()}
+    rare = math.log(len(rows) + 1) + 1
+    own = {i: plain_best(text, idf, rare, 0.6) for i, text, _ in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string").repartition(3)
+    got = {r["id"]: r for r in licenses.scan(df, F.col("path")).collect()}
+    assert {i: r["license"] if r["origin"] == "own" else None for i, r in got.items()} == own
+    assert sum(v is not None for v in own.values()) > 40
+    by_path = {}
+    for r in got.values():
+        if r["origin"] == "own":
+            by_path.setdefault(r["path"].rpartition("/")[0], []).append(r)
+    for i, r in got.items():
+        if own[i] is None and r["origin"] == "inherited":
+            folder = r["path"].rpartition("/")[0]
+            source = r["source_path"].rpartition("/")[0]
+            assert source == "" or folder == source or folder.startswith(source + "/")
+            assert r["license"] in {x["license"] for x in by_path[source] if x["path"] == r["source_path"]}
+            between = folder
+            while between != source:  # no licence file in a nearer folder
+                assert not any(re.search(licenses.FILE_NAME, x["path"]) for x in by_path.get(between, []))
+                between = between.rpartition("/")[0]
+
+
+def test_licences_that_were_taken_for_others():
+    best = licenses.Matcher({t: 6.0 if t not in ("the", "of", "to", "and", "this") else 1.5 for t in licenses.VOCABULARY}, 9.0)
+    for text, name in {
+        "Licensed under the Eclipse Public License, version 2.0.": "EPL-2.0", "Licensed under the zlib License": "Zlib", "licensed under the Artistic License 2.0": "Artistic-2.0", "Distributed under Apache 2.0, see file.": "Apache-2.0",
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1", "Licensed under the BSD 2-Clause License.": "BSD-2-Clause", "Licensed under the GNU General Public License": None, "Some words of prose, and no licence at all.": None,
+    }.items():
+        assert best(text)[0] == name, (text, best(text))
+
+
 def test_pieces_are_the_librarys(spark):
     path = P.path("piece_bpe_32k.model")
     texts = corpus(4, 30) + [(100 + k, t) for k, t in enumerate([" a", "a ", "a  b", "\n\n", "a \n b", "▁", "日本語\n😀", "<s> x", "é ﬁ", "\0x"])]
