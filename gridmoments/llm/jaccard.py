@@ -76,44 +76,73 @@ def ids(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray(batch.column("id").to_numpy(zero_copy_only=False), np.int64)
 
 
+def place_kind(texts: int) -> type:
+    """The numbers that hold a place among so many texts."""
+    return np.uint16 if texts <= 1 << 16 else np.uint32
+
+
+def census_bits(size: int) -> int:
+    """The binary logarithm of the number of buckets for so many bytes of text: some 2 ** 18 shingles in each while there are few buckets, 2 ** 22 beyond."""
+    log = math.ceil(math.log2(size / 18 + 2))
+    return max(6, min(9, log - 18), log - 22)
+
+
+def chunk_bytes(bits: int) -> int:
+    """Bytes of text that a task sends to the buckets at once: so many that a bucket gets 64 shingles or more of them, within the memory of a task."""
+    return min(max(2 * C.CHUNK_BYTES, 64 * 18 * 256 // CENSUS << bits), 128 << 20)
+
+
 def census(spark: SparkSession, docs: DataFrame, scratch: C.Scratch, words: int, percent: int) -> DataFrame:
     """(id, n, near) of every document: its set's size, and whether it can have a partner.
 
     A partner lacks at most (100 - percent) % of a set, so a set with more shingles that no other document has, even
-    counting only those in a share of all hashes, has none. Shingles travel as packed numbers: each batch of documents
-    sends one row to each bucket of hashes, and a bucket returns, for each batch, how many of a document's it alone has.
-    A shingle of very many documents is one number for each batch.
+    counting only those in a share of all hashes, has none. Shingles travel as packed numbers: each chunk of documents
+    sends one row to each bucket of hashes, and a bucket returns, for each chunk, the places of the documents that alone
+    have a shingle, once for each. Both grow with the number of shingles, whatever the number of buckets. A shingle of
+    very many documents is one number for each of them in one bucket.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = max(6, math.ceil(math.log2(size / 18 + 2)) + 10 - 32)
+    bits = census_bits(size)
+    most = chunk_bytes(bits)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, k = TaskContext.get().partitionId(), 0
+        part, k, held, values, owners, who, sizes = TaskContext.get().partitionId(), 0, 0, [], [], [], []
+
+        def sent() -> pa.RecordBatch:
+            value, owner, n = np.concatenate(values), np.concatenate(owners), np.concatenate(sizes)
+            order = np.argsort(value, kind="stable")
+            value, owner = value[order], owner[order]
+            bucket = (value >> np.uint64(32)).astype(np.int64)
+            which, first = np.unique(bucket, return_index=True)
+            cut = np.append(first, len(bucket))
+            rows = len(which) + 1
+            none = pa.array([b""])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(rows, (part << 40) + k)), pa.array(np.append(which, -1)), pa.array(np.full(rows, len(n), np.int32)),
+                 pa.chunked_array([C.binaries(value.astype(np.uint32), cut), none]).combine_chunks(),
+                 pa.chunked_array([C.binaries(owner, cut), pa.array([np.concatenate(who).tobytes()])]).combine_chunks(),
+                 pa.array([b""] * len(which) + [n.astype(np.int32).tobytes()])],
+                ["chunk", "bucket", "texts", "value", "owner", "n"],
+            )
+
         for whole in batches:
             for batch in C.pieces(whole, "text", 2 * C.CHUNK_BYTES):
                 value, bounds = shingles(batch.column("text"), words)
                 n = np.diff(bounds)
-                owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
+                owner = np.repeat(sum(map(len, sizes)) + np.arange(len(n), dtype=np.int32), n).astype(np.int32)
                 counted = (value & np.uint64(0xFF)) < CENSUS
-                value, owner = value[counted] >> np.uint64(64 - 32 - bits), owner[counted]
-                order = np.argsort(value, kind="stable")
-                value, owner = value[order], owner[order]
-                bucket = (value >> np.uint64(32)).astype(np.int64)
-                which, first = np.unique(bucket, return_index=True)
-                cut = np.append(first, len(bucket))
-                rows = len(which) + 1
-                key = pa.array(np.full(rows, (part << 40) + k))
-                none = pa.array([b""])
-                yield pa.RecordBatch.from_arrays(
-                    [key, pa.array(np.append(which, -1)), pa.array(np.full(rows, len(n), np.int32)),
-                     pa.chunked_array([C.binaries(value.astype(np.uint32), cut), none]).combine_chunks(),
-                     pa.chunked_array([C.binaries(owner, cut), pa.array([ids(batch).tobytes()])]).combine_chunks(),
-                     pa.array([b""] * len(which) + [n.astype(np.int32).tobytes()])],
-                    ["chunk", "bucket", "texts", "value", "owner", "n"],
-                )
-                k += 1
+                values.append(value[counted] >> np.uint64(64 - 32 - bits))
+                owners.append(owner[counted])
+                who.append(ids(batch))
+                sizes.append(n)
+                held += batch.column("text").nbytes
+                if held >= most:
+                    yield sent()
+                    k, held, values, owners, who, sizes = k + 1, 0, [], [], [], []
+        if sizes:
+            yield sent()
 
     schema = "chunk long, bucket long, texts int, value binary, owner binary, n binary"
     rows = scratch.write(docs.select("id", "text").mapInArrow(packed, schema), "census")
@@ -122,17 +151,16 @@ def census(spark: SparkSession, docs: DataFrame, scratch: C.Scratch, words: int,
         values = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("value")]
         owners = [np.frombuffer(x.as_buffer(), np.int32) for x in table.column("owner")]
         texts = table.column("texts").to_numpy()
-        shift = np.cumsum(np.append(0, texts))
-        value = np.concatenate(values)
-        owner = np.concatenate([o + s for o, s in zip(owners, shift)])
+        chunk = np.repeat(np.arange(len(values)), [len(v) for v in values])
+        value, owner = np.concatenate(values), np.concatenate(owners)
         order = np.argsort(value, kind="stable")
-        value, owner = value[order], owner[order]
-        new = np.append(True, value[1:] != value[:-1])
-        end = np.append(np.flatnonzero(new)[1:], len(value))
-        start = np.flatnonzero(new)
-        single = start[np.diff(np.append(start, len(value))) == 1] if len(end) else start
-        counts = np.bincount(owner[single], minlength=shift[-1]).astype(np.int32)
-        return pa.table({"chunk": table.column("chunk"), "alone": C.binaries(counts, shift)})
+        new = np.append(True, value[order][1:] != value[order][:-1]) if len(value) else np.zeros(0, bool)
+        single = np.sort(order[new & np.append(new[1:], True)])  # back in the order of the chunks
+        chunk, owner = chunk[single], owner[single]
+        cut = np.searchsorted(chunk, np.arange(len(values) + 1))
+        kinds = [place_kind(t) for t in texts.tolist()]
+        held = [np.sort(owner[a:b]).astype(k).tobytes() for a, b, k in zip(cut[:-1].tolist(), cut[1:].tolist(), kinds)]
+        return pa.table({"chunk": table.column("chunk"), "alone": pa.array(held, pa.binary())})
 
     counted = rows.where("bucket >= 0").select("chunk", "bucket", "texts", "value", "owner")
     counted = counted.groupBy("bucket").applyInArrow(alone, "chunk long, alone binary").groupBy("chunk").agg(F.collect_list("alone").alias("alone"))
@@ -142,7 +170,7 @@ def census(spark: SparkSession, docs: DataFrame, scratch: C.Scratch, words: int,
         for batch in batches:
             for row in batch.to_pylist():
                 who, n = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["n"], np.int32).astype(np.int64)
-                single = sum((np.frombuffer(x, np.int32).astype(np.int64) for x in row["alone"] or []), np.zeros(len(who), np.int64))
+                single = np.bincount(np.frombuffer(b"".join(row["alone"] or []), place_kind(len(who))), minlength=len(who))
                 yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(n), pa.array((n > 0) & (100 * single <= (100 - percent) * n))], ["id", "n", "near"])
 
     return scratch.write(heads.join(counted, "chunk", "left").mapInArrow(told, "id long, n long, near boolean"), "told")

@@ -71,6 +71,37 @@ def test_jaccard_against_brute_force(spark):
     assert len(set(want.values())) < len(want) - 5
 
 
+@pytest.mark.parametrize("bits", [6, 9, 14])
+def test_census_at_any_number_of_buckets(spark, monkeypatch, bits):
+    """The same result, and what a bucket returns grows with the shingles alone."""
+    monkeypatch.setattr(jaccard, "census_bits", lambda size: bits)
+    texts = corpus(3)
+    s = sets(texts)
+    scratch = common.Scratch(spark, "census")
+    docs = documents(spark, texts).select(F.col("doc_id").alias("id"), "text")
+    kept = {}
+    write = scratch.write
+    monkeypatch.setattr(scratch, "write", lambda df, name: kept.setdefault(name, write(df, name)))
+    told = {r["id"]: r for r in jaccard.census(spark, docs, scratch, 4, 85).collect()}
+    assert {i: r["n"] for i, r in told.items()} == {i: len(v) for i, v in s.items()}
+    for a, b in combinations(s, 2):
+        both = len(s[a] & s[b])
+        if s[a] and 100 * both >= 85 * (len(s[a]) + len(s[b]) - both):
+            assert told[a]["near"] and told[b]["near"]
+    sent = kept["census"].where("bucket >= 0").selectExpr("sum(octet_length(value)) v", "sum(octet_length(owner)) o").first()
+    assert sent["v"] == sent["o"] <= 4 * sum(map(len, s.values()))
+
+
+def test_census_by_its_own_formulas():
+    """From 0.5 GB to 100 TB: shingles in a bucket, and rows of a chunk and bucket for each shingle."""
+    for size in (5e8, 3e10, 1e12, 1e14):
+        bits = jaccard.census_bits(int(size))
+        bucket = size / 18 / 2**bits
+        assert bucket <= 1 << 22
+        of_row = jaccard.chunk_bytes(bits) / 18 * jaccard.CENSUS / 256 / 2**bits
+        assert of_row >= (60 if size <= 1e12 else 1)
+
+
 def test_jaccard_of_repeated_rows_and_of_nothing(spark):
     df = documents(spark, [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "A b c d e")])
     assert sorted((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(df).collect()) == [(1, 1), (1, 1), (2, 1)]
