@@ -15,7 +15,7 @@ from .vectors import matrix, rows_of
 #: Neighbours of a list, rounds of joins before an audit and in all, rows of a block of first neighbours.
 LIST, ROUNDS, MOST_ROUNDS, BLOCK = 12, 5, 15, 512
 #: Bytes of the vectors that a neighbour join holds, of a block that meets others in tiles, and of an audit's probes.
-JOIN_BYTES, BLOCK_BYTES, PROBE_BYTES = 32 << 20, 1 << 20, 16 << 20
+JOIN_BYTES, BLOCK_BYTES, PROBE_BYTES = 4 << 20, 1 << 20, 16 << 20
 #: An audit's first number of probes, the links that it wants to see, and the share of them that must have been found.
 PROBES, LINKS, RECALL = 256, 400, 0.995
 EDGE = "a long, b long, sim double"
