@@ -26,7 +26,7 @@ def group_reduce_many(df: DataFrame, by: list[str], values: list[str], reducer:
     return df.groupBy(*by).agg(*(reducer(only_finite(v)).alias(f"{v}_reduced") for v in values))
 
 
-def heatmap_matrix(df: DataFrame, x: str, y: str, value: str, reducer: Reducer = F.avg) -> DataFrame:
+def heatmap_matrix(df: DataFrame, x: str, y: str, value: str, reducer: Reducer = F.median) -> DataFrame:
     """(y, x, value, n) of every pair of known coordinates; NaN where a pair has no finite value."""
     cells = df.groupBy(x, y).agg(reducer(only_finite(value)).alias("value"), F.count(F.lit(1)).alias("n"))
     xs, ys = (cells.select(c).distinct() for c in (x, y))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.physics import cloudy, col, present, tke
-from ..schedules import Triple, starts
-from ..schema import COVARIANCES, DIAGNOSTICS, MEAN_OF, SHORT, THRESHOLD, VARIANCES
+from ..schedules import Triple, seeds_of, starts
+from ..schema import COVARIANCES, DIAGNOSTICS, FIELDS, MEAN_OF, SHORT, THRESHOLD, VARIANCES
 from .masks import all_finite
 
 Keys = list[str]
@@ -63,40 +63,80 @@ def scales(triples: list[Triple]) -> Column:
     return F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("fx", "fy", "fz"), t))) for t in triples))
 
 
-def emitted(cells: DataFrame, keys: Keys, threshold: float = THRESHOLD) -> DataFrame:
-    """Cells with condensate at the threshold or more, of levels whose largest exceeds it, and with finite diagnostics."""
+def emitted(cells: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Whole cells with condensate above the threshold and with finite diagnostics; a level without such a cell gives none."""
     q = F.col("q_liq") + F.col("q_ice")
-    level = Window.partitionBy(*keys, "fx", "fy", "fz", "kc")
-    top = F.max(F.when(~F.isnan(q), q)).over(level)
-    return cells.withColumn("_top", top).where((F.col("_top") > threshold) & (q >= threshold) & ~F.isnan(q) & all_finite(DIAGNOSTICS)).drop("_top")
+    return cells.where((F.col("n") == F.col("fx") * F.col("fy") * F.col("fz")) & (q > threshold) & ~F.isnan(q) & all_finite(DIAGNOSTICS)).drop("n")
 
 
-def blocks(voxels: DataFrame, schedule: Column, nx: int, ny: int, nz: Column | int, keys: Keys, k: str = "k") -> DataFrame:
-    """Diagnostics of every block of every scale (fx, fy, fz) of the array column `schedule`, in one aggregation.
+#: Fields whose means a block keeps beside its diagnostics, so that larger blocks can be merged from it.
+WIND = ["ua", "va"]
 
-    Each voxel meets only the scales whose whole blocks hold it, so no join is planned.
-    """
-    nz = nz if isinstance(nz, Column) else F.lit(nz)
-    fits = F.filter(schedule, lambda s: (F.col("i") < nx - F.lit(nx) % s.fx) & (F.col("j") < ny - F.lit(ny) % s.fy) & (F.col(k) < nz - nz % s.fz))
-    cells = voxels.withColumn("s", F.explode(fits))
-    place = [F.floor(F.col(a) / F.col(f"s.{f}")).cast("int").alias(n) for a, f, n in (("i", "fx", "ic"), ("j", "fy", "jc"), (k, "fz", "kc"))]
-    return cells.groupBy(*keys, *(F.col(f"s.{f}").alias(f) for f in ("fx", "fy", "fz")), *place).agg(*moment_aggregates())
 
+def parts_of(voxels: DataFrame) -> list[Column]:
+    """Aggregates of a block from which larger ones can be merged. A null counts as NaN, so that no block is of fewer values than it says."""
+    return [F.count(F.lit(1)).alias("n"), *moment_aggregates(), *(F.avg(col(f)).alias(f"_{f}") for f in WIND)]
 
-def windows(voxels: DataFrame, triples: list[Triple], nx: int, ny: int, nz: int, keys: Keys, outputs: Triple = (2, 2, 2), strides: tuple[int | None, int | None, int | None] = (None, None, None), aggregates: Agg | None = None) -> DataFrame:
-    """Aggregates of sliding windows without padding: (keys, fx, fy, fz, ic, jc, kc), the last three the windows' starts.
 
-    Starts are anchors, or at strides if any is given (then 1 where it is not). A voxel finds its windows in short arrays
-    of starts; a window larger than the data raises ValueError.
+def merged() -> list[Column]:
+    """The same of blocks of equal size: means of means, and mean (co)variances with the (co)variances of the means."""
+    mean_of = {"qt": "qt", "ql": "q_liq", "qi": "q_ice", "w": "w", "h": "theta_li"}
+    out = [F.sum("n").alias("n"), *(F.avg(c).alias(c) for c in [*MEAN_OF, "liq_fraction", "ice_fraction", "cloud_fraction"])]
+    out.append((F.avg("tke") + 0.5 * (F.var_pop("_ua") + F.var_pop("_va") + F.var_pop("w"))).alias("tke"))
+    out += [(F.avg(c) + F.var_pop(mean_of[c[4:]])).alias(c) for c in VARIANCES]
+    return out + [(F.avg(c) + F.covar_pop(*(F.col(mean_of[p]) for p in c[4:].split("_")))).alias(c) for c in COVARIANCES]
+
+
+def blocks(voxels: DataFrame, triples: list[Triple], nx: int, ny: int, nz: Column | int, keys: Keys, k: str = "k", deepest: Column | None = None) -> DataFrame:
+    """(keys, fx, fy, fz, ic, jc, kc, n, diagnostics) of every block of every scale; n is how many voxels it has.
+
+    Two aggregations, no join: voxels meet the few sizes from which all others can be merged (seeds_of), one level deep;
+    these blocks meet the scales that they are part of. With `deepest`, a column, scales of more levels do not count.
     """
-    some = any(strides)
-    sizes = []
+    nz = nz if isinstance(nz, Column) else F.lit(nz)
+    of = seeds_of(sorted({t[:2] for t in triples}))
+    seeds = F.array(*(F.struct(F.lit(a).alias("sx"), F.lit(b).alias("sy")) for a, b in sorted(set(of.values()))))
+    fits = F.filter(seeds, lambda s: (F.col("i") < nx - F.lit(nx) % s.sx) & (F.col("j") < ny - F.lit(ny) % s.sy))
+    held = [c for c in voxels.columns if c not in keys and c not in ("i", "j", k)]
+    whole_ = voxels.select(*keys, "i", "j", k, *(F.coalesce(col(c), F.lit(float("nan"))).alias(c) for c in held if c in FIELDS), F.explode(fits).alias("s"))
+    place = [F.floor(F.col(a) / F.col(f"s.{f}")).cast("int").alias(n) for a, f, n in (("i", "sx", "ib"), ("j", "sy", "jb"))]
+    base = whole_.groupBy(*keys, F.col("s.sx").alias("sx"), F.col("s.sy").alias("sy"), *place, F.col(k).alias("kb")).agg(*parts_of(whole_))
+    table = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("fx", "fy", "fz", "ax", "ay"), (*t, *of[t[:2]])))) for t in triples))
+    fits = F.filter(
+        table,
+        lambda t: (t.ax == F.col("sx")) & (t.ay == F.col("sy")) & (F.col("ib") * t.ax < nx - F.lit(nx) % t.fx) & (F.col("jb") * t.ay < ny - F.lit(ny) % t.fy) & (F.col("kb") < nz - nz % t.fz)
+        & (F.lit(True) if deepest is None else t.fz <= deepest),
+    )
+    cells = base.withColumn("t", F.explode(fits))
+    place = [F.floor(F.col(a) * F.col(f"t.{s}") / F.col(f"t.{f}")).cast("int").alias(n) for a, s, f, n in (("ib", "ax", "fx", "ic"), ("jb", "ay", "fy", "jc"))]
+    place.append(F.floor(F.col("kb") / F.col("t.fz")).cast("int").alias("kc"))
+    return cells.groupBy(*keys, *(F.col(f"t.{f}").alias(f) for f in ("fx", "fy", "fz")), *place).agg(*merged())
+
+
+def window_sizes(triples: list[Triple], nx: int, ny: int, nz: int, outputs: Triple = (2, 2, 2), strides: tuple[int | None, int | None, int | None] = (None, None, None)) -> list[tuple[int, int, int, list[int], list[int], list[int]]]:
+    """(fx, fy, fz, starts along x, y and z) of each window; starts are anchors, or at strides if any is given (then 1 where it is not). A window larger than the data raises ValueError."""
+    some, sizes = any(strides), []
     for t in triples:
-        at = [starts(n, w, k, (s or 1) if some else None) for n, w, k, s in zip((nx, ny, nz), t, outputs, strides)]
+        at = [starts(n, w, k, (s or 1) if some else None) if w <= n else [] for n, w, k, s in zip((nx, ny, nz), t, outputs, strides)]
         if not all(at):
             raise ValueError(f"window {t} exceeds the data")
-        sizes.append(F.struct(*(F.lit(v).alias(n) for n, v in zip(("fx", "fy", "fz"), t)), *(F.array(*map(F.lit, a)).alias(n) for n, a in zip(("xs", "ys", "zs"), at))))
-    cells = voxels.withColumn("s", F.explode(F.array(*sizes)))
-    for axis, all_starts, size, name in (("i", "xs", "fx", "ic"), ("j", "ys", "fy", "jc"), ("k", "zs", "fz", "kc")):
+        sizes.append((*t, *at))
+    return sizes
+
+
+#: The form of one window of window_sizes() in a column.
+WINDOW = "struct<fx: int, fy: int, fz: int, xs: array<int>, ys: array<int>, zs: array<int>>"
+
+
+def in_windows(voxels: DataFrame, sizes: Column, keys: Keys, aggregates: Agg, k: str = "k") -> DataFrame:
+    """Aggregates of the windows of an array column: (keys, fx, fy, fz, ic, jc, kc), the last three the windows' starts. A voxel finds its windows in short arrays of starts."""
+    cells = voxels.withColumn("s", F.explode(sizes))
+    for axis, all_starts, size, name in (("i", "xs", "fx", "ic"), ("j", "ys", "fy", "jc"), (k, "zs", "fz", "kc")):
         cells = cells.withColumn(name, F.explode(F.filter(F.col(f"s.{all_starts}"), lambda a: (a <= F.col(axis)) & (F.col(axis) < a + F.col(f"s.{size}")))))
-    return cells.groupBy(*keys, *(F.col(f"s.{f}").alias(f) for f in ("fx", "fy", "fz")), "ic", "jc", "kc").agg(*(aggregates or moment_aggregates()))
+    return cells.groupBy(*keys, *(F.col(f"s.{f}").alias(f) for f in ("fx", "fy", "fz")), "ic", "jc", "kc").agg(*aggregates)
+
+
+def windows(voxels: DataFrame, triples: list[Triple], nx: int, ny: int, nz: int, keys: Keys, outputs: Triple = (2, 2, 2), strides: tuple[int | None, int | None, int | None] = (None, None, None), aggregates: Agg | None = None) -> DataFrame:
+    """Aggregates of sliding windows without padding, of one grid for all voxels; see window_sizes() and in_windows()."""
+    sizes = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("fx", "fy", "fz"), w)), *(F.array(*map(F.lit, v)).alias(n) for n, v in zip(("xs", "ys", "zs"), w[3:]))) for w in window_sizes(triples, nx, ny, nz, outputs, strides)))
+    return in_windows(voxels, sizes, keys, aggregates or [F.count(F.lit(1)).alias("n"), *moment_aggregates()])

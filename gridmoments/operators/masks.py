@@ -25,6 +25,14 @@ def empty_levels(voxels: DataFrame, q: Column | str, keys: Keys, threshold: floa
     return voxels.groupBy(*keys, "k").agg((top <= threshold).alias("empty"))
 
 
+def level_tops(voxels: DataFrame, q: str, nx: int, ny: int, keys: Keys) -> DataFrame:
+    """(keys, k, top, block_top): each level's largest value and its largest 2 x 2 block mean, in one pass; NaN does not count."""
+    block = [F.floor(F.col(c) / 2).alias(f"{c}2") for c in ("i", "j")]
+    inside = (F.col("i") < nx - nx % 2) & (F.col("j") < ny - ny % 2)
+    cells = voxels.groupBy(*keys, "k", *block).agg(F.max(F.when(~F.isnan(col(q)), col(q))).alias("top"), F.avg(F.when(inside, col(q))).alias("m"))
+    return cells.groupBy(*keys, "k").agg(F.max("top").alias("top"), F.max(F.when(~F.isnan("m"), F.col("m"))).alias("block_top"))
+
+
 def keep_levels(levels: DataFrame, keys: Keys, z_factor: int, future: list[int]) -> DataFrame:
     """(keys, k, keep): levels that are not empty; if coarser factors follow, also the first, the last and those within z_factor of one that is not."""
     full = ~F.col("empty")

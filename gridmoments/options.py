@@ -7,7 +7,6 @@ from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
 
 MODES = {"hybrid": "hybrid", "default": "hybrid", "block": "block", "block_truncated": "block", "sliding": "sliding"}
-STRATEGIES = ("auto", "per_span", "sparse", "minimal", "full", "full_timestep")
 PREFIX = "GRIDMOMENTS_"
 
 
@@ -18,16 +17,6 @@ def checked_mode(mode: str) -> str:
         raise ValueError(f"unknown coarsening mode {mode!r}; use hybrid, block or sliding") from None
 
 
-def checked_strategy(strategy: str) -> str:
-    if strategy.strip().lower() not in STRATEGIES:
-        raise ValueError(f"unknown load strategy {strategy!r}; use one of {', '.join(STRATEGIES)}")
-    return strategy.strip().lower()
-
-
-def loads_full_timestep(strategy: str) -> bool:
-    return checked_strategy(strategy) in ("full", "full_timestep")
-
-
 def parse_bool(text: str | None, default: bool) -> bool:
     return default if not (text or "").strip() else text.strip().lower() in ("1", "true", "yes", "y", "on")
 
@@ -40,12 +29,6 @@ def parse_ints(text: str | None, default: list[int]) -> list[int]:
 @dataclass(frozen=True)
 class BuildOptions:
     coarsening_mode: str = "hybrid"
-    load_strategy: str = "auto"
-    z_chunk_merge: bool = True
-    fuse_span_reads: bool = True
-    single_fused_load: bool = True
-    full_case_bytes: int = 1_000_000_000
-    force_full_case: bool = True
     check_finite: bool = True
     min_h: float = 200.0
     max_dz: float = 400.0
@@ -59,7 +42,10 @@ class BuildOptions:
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "coarsening_mode", checked_mode(self.coarsening_mode))
-        object.__setattr__(self, "load_strategy", checked_strategy(self.load_strategy))
+
+    def placing(self) -> tuple[tuple[int, int, int], tuple[int | None, int | None, int | None]]:
+        """Windows' outputs and strides along x, y and z."""
+        return (self.outputs_h, self.outputs_v, self.outputs_z), (self.stride_h, self.stride_v, self.stride_z)
 
     def having(self, **changes: object) -> BuildOptions:
         return replace(self, **changes)

@@ -12,7 +12,7 @@ from ..functions.physics import partition_condensate
 from ..operators import block as B
 from ..operators import masks as M
 from ..options import BuildOptions
-from ..schema import COLUMNS, DIAGNOSTICS, METADATA, OUTPUT
+from ..schema import COLUMNS, DIAGNOSTICS, METADATA, OUTPUT, THRESHOLD
 
 
 @dataclass(frozen=True)
@@ -60,65 +60,91 @@ def table(cells: DataFrame, geometry: Geometry, first_level: Column | int = 0, w
 
 def coarsen_chunk(voxels: DataFrame, geometry: Geometry, options: BuildOptions = BuildOptions(), keys: tuple[str, ...] = ("timestep",), triples: list[S.Triple] | None = None) -> DataFrame:
     """The table of whole columns: blocks, windows or both, as the options' mode says. `triples` replaces the block schedule."""
-    g, keys = geometry, list(keys)
-    dz = float(sum(g.dz) / g.nz)
-    arguments = (g.nx, g.ny, g.nz, g.dx, options.min_h, dz, options.max_dz, options.budget)
-    keys += [c for c in METADATA if c in voxels.columns]
-
-    def of_blocks(scales: list[S.Triple]) -> DataFrame:
-        return table(B.emitted(B.blocks(voxels, B.scales(scales), g.nx, g.ny, g.nz, keys), keys), g)
+    g, keys = geometry, [*keys, *(c for c in METADATA if c in voxels.columns)]
+    scales, extra = schedule(g, list(g.dz), options)
+    scales = triples or scales
+    parts = []
+    if scales:
+        parts.append(table(B.emitted(B.blocks(voxels, scales, g.nx, g.ny, g.nz, keys)), g))
+    if extra:
+        parts.append(table(B.emitted(B.windows(voxels, extra, g.nx, g.ny, g.nz, keys, *options.placing())), g, window=True))
+    return checked(together(parts, voxels), options)
 
-    def of_windows(scales: list[S.Triple]) -> DataFrame:
-        strides = (options.stride_h, options.stride_v, options.stride_z)
-        return table(B.emitted(B.windows(voxels, scales, g.nx, g.ny, g.nz, keys, (options.outputs_h, options.outputs_v, options.outputs_z), strides), keys), g, window=True)
 
-    empty = voxels.sparkSession.createDataFrame([], OUTPUT)
+def schedule(g: Geometry, dz: list[float], options: BuildOptions) -> tuple[list[S.Triple], list[S.Triple]]:
+    """Block and window scales of a column of such levels in the options' mode."""
+    arguments = (g.nx, g.ny, len(dz), g.dx, options.min_h, float(sum(dz) / len(dz)), options.max_dz, options.budget)
     if options.coarsening_mode == "sliding":
-        scales = S.sliding_triples(*arguments)
-        return of_windows(scales) if scales else empty
-    scales, extra = S.hybrid_triples(*arguments)
-    scales = triples or scales
-    result = of_blocks(scales) if scales else empty
-    if options.coarsening_mode == "hybrid" and extra:
-        result = result.unionByName(of_windows(extra))
-    return result
+        return [], S.sliding_triples(*arguments)
+    blocks, extra = S.hybrid_triples(*arguments)
+    return blocks, extra if options.coarsening_mode == "hybrid" else []
+
+
+def together(parts: list[DataFrame], voxels: DataFrame) -> DataFrame:
+    out = parts[0] if parts else voxels.sparkSession.createDataFrame([], OUTPUT)
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def checked(rows: DataFrame, options: BuildOptions) -> DataFrame:
+    """With the option check_finite, rows that raise an error where a number is not finite, as they are read."""
+    if not options.check_finite:
+        return rows
+    good = M.all_finite([c for c, f in zip(OUTPUT.names, OUTPUT.fields) if f.dataType.typeName() == "float"])
+    return rows.withColumn("qt", F.when(good, F.col("qt")).otherwise(F.raise_error(F.lit("a value of the table is not finite")).cast("float"))).select(*COLUMNS)
 
 
 def build_table(voxels: DataFrame, geometry: Geometry, options: BuildOptions = BuildOptions(), keys: tuple[str, ...] = ("timestep",)) -> DataFrame:
     """The table of cloudy spans: voxels with q_c, over all cases and time steps at once.
 
-    Time steps without a cloudy 2 x 2 mean go. Levels that are empty and far from cloud go; blocks and their vertical
-    schedule start anew in each span of kept levels. The few pairs of a span's depth and mean thickness are collected to
-    compute their schedules, nz * (nz + 1) / 2 at most. Needs a block or hybrid mode whose budget is 2 or more.
+    Time steps without a cloudy 2 x 2 mean go. Levels that are empty and far from cloud go; blocks, windows and their
+    vertical schedule start anew in each span of kept levels. One pass over q_c finds each level's maxima, from which all
+    this follows; a second one coarsens. The few pairs of a span's bounds are collected to compute their schedules,
+    nz * (nz + 1) / 2 at most.
     """
-    g = geometry
-    if options.coarsening_mode == "sliding" or options.budget < 2:
-        raise ValueError("spans take the block or hybrid mode with a budget of 2 or more")
+    g, spark = geometry, voxels.sparkSession
     keys = [*keys, *(c for c in METADATA if c in voxels.columns)]
-    cloudy = M.cloudy_timesteps(voxels, "q_c", g.nx, g.ny, keys)
-    cut = voxels.join(cloudy, keys, "left_semi")
+    tops = M.level_tops(voxels, "q_c", g.nx, g.ny, keys)
+    cloudy = tops.groupBy(*keys).agg(F.max("block_top").alias("t")).where(F.col("t") >= THRESHOLD).select(*keys)
+    empty = tops.join(cloudy, keys, "left_semi").select(*keys, "k", (F.greatest(F.coalesce("top", F.lit(0.0)), F.lit(0.0)) <= THRESHOLD).alias("empty"))
     future = [f for f, _ in S.z_scheme(list(g.dz), options.max_dz)]
-    levels = M.span_levels(M.keep_levels(M.empty_levels(cut, "q_c", keys), keys, 1, future), keys)
-    depth = [r for r in levels.select("lo", "hi").distinct().collect()]
-    schedule = {}
-    for r in depth:
-        dz = g.dz[r["lo"] : r["hi"] + 1]
-        schedule[r["lo"], r["hi"]] = S.block_triples(g.nx, g.ny, len(dz), g.dx, options.min_h, float(sum(dz) / len(dz)), options.max_dz, options.budget)
-    rows = [(lo, hi, [{"fx": a, "fy": b, "fz": c} for a, b, c in t]) for (lo, hi), t in schedule.items() if t]
-    spark = voxels.sparkSession
+    levels = M.span_levels(M.keep_levels(empty, keys, 1, future), keys).persist()  # one row a level
+    rows, blocks = [], set()
+    for r in levels.select("lo", "hi").distinct().collect():
+        dz = list(g.dz[r["lo"] : r["hi"] + 1])
+        scales, extra = schedule(g, dz, options)
+        blocks.update(scales)
+        deepest = max((t[2] for t in scales), default=0)
+        rows.append((r["lo"], r["hi"], deepest, [list(t) for t in scales], B.window_sizes(extra, g.nx, g.ny, len(dz), *options.placing())))
     if not rows:
         return spark.createDataFrame([], OUTPUT)
-    known = spark.createDataFrame(rows, "lo int, hi int, scales array<struct<fx: int, fy: int, fz: int>>")
-    own = split_phases(cut).join(levels, [*keys, "k"]).join(F.broadcast(known), ["lo", "hi"]).withColumn("kk", F.col("k") - F.col("lo"))
-    keys = [*keys, "lo"]
-    cells = B.blocks(own, F.col("scales"), g.nx, g.ny, F.col("hi") - F.col("lo") + 1, [*keys, "hi"], k="kk")
-    return table(B.emitted(cells, keys), g, F.col("lo"))
+    known = F.broadcast(spark.createDataFrame(rows, f"lo int, hi int, deepest int, scales array<array<int>>, windows array<{B.WINDOW}>"))
+    own = split_phases(voxels).join(levels, [*keys, "k"]).withColumn("kk", F.col("k") - F.col("lo"))
+    keys = [*keys, "lo", "hi"]
+    parts = []
+    if blocks:
+        cells = B.blocks(own, sorted(blocks), g.nx, g.ny, F.col("hi") - F.col("lo") + 1, keys, k="kk", deepest=F.col("hi") - F.col("lo") + 1)
+        wanted = F.expr("exists(scales, s -> s[0] = fx and s[1] = fy and s[2] = fz)")
+        parts.append(table(B.emitted(cells).join(known, ["lo", "hi"]).where(wanted), g, F.col("lo")))
+    if any(r[4] for r in rows):
+        with_windows = own.join(known.select("lo", "hi", "windows").where("size(windows) > 0"), ["lo", "hi"])
+        parts.append(table(B.emitted(B.in_windows(with_windows, F.col("windows"), keys, [F.count(F.lit(1)).alias("n"), *B.moment_aggregates()], k="kk")), g, F.col("lo"), window=True))
+    return checked(together(parts, voxels), options)
+
+
+#: Files that a case is dealt to at most.
+FILES_A_CASE = 16
 
 
-def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Partitions by case; with overwrite only the cases at hand are replaced. A case without clouds leaves no partition."""
+def write_table(df: DataFrame, path: str, mode: str = "overwrite", rows_a_file: int = 2_000_000) -> None:
+    """Partitions by case; with overwrite only the cases at hand are replaced. A case without clouds leaves no partition.
+
+    Rows of a case are dealt to FILES_A_CASE tasks, so that none holds a whole case, and to files of so many rows.
+    """
     by = ["data_source", "experiment", "month", "cfSite_number"]
-    df.repartition(*by).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    salt = F.pmod(F.xxhash64("qt", "resolution_h", "resolution_z"), F.lit(FILES_A_CASE))
+    df.repartition(*by, salt).write.mode(mode).option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_a_file).partitionBy(*by).parquet(path)
 
 
 def dense(voxels: DataFrame, geometry: Geometry, keys: list[str]) -> DataFrame:

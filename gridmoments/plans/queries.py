@@ -5,8 +5,11 @@ Doubles are rounded to a few digits on both sides, since engines add in differen
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +21,9 @@ from ..operators import masks as M
 from ..operators import merge as G
 from ..operators import training as L
 from ..schema import COLUMNS, COVARIANCES, DIAGNOSTICS, FLOATS, MEAN_OF, SHORT, VARIANCES
-from ..sources import library, manifest, tables
+from ..sources import grid, library, manifest, tables
 from . import builder
-from .fixtures import DX, GEOMETRY, MIN_H, NX, NY, NZ, OPTIONS, RAW_SQL, VOX_SQL, raw_voxels, table, voxels
+from .fixtures import DX, GEOMETRY, MIN_H, NT, NX, NY, NZ, OPTIONS, RAW_SQL, SHARE_SQL, VOX_SQL, raw_voxels, table, voxels
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,17 +125,17 @@ def _block(keys: str, where: str, values: list[str]) -> str:
     return f"WITH {VOX_SQL} SELECT {keys}, {', '.join(values)} FROM vox WHERE {where} GROUP BY ALL"
 
 
-@query(_block("timestep, i // 3 AS ic, j // 3 AS jc", "k = 0 AND i < 6 AND j < 6", [r("avg(hus)", "hus"), r("avg(wa)", "wa")]))
+@query(_block("timestep, i // 5 AS ic, j // 5 AS jc", "k = 0 AND i < 10 AND j < 10", [r("avg(hus)", "hus"), r("avg(wa)", "wa")]))
 def block_mean_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(B.block_aggregate(voxels(spark, sf_dir).where("k = 0"), SHAPE, {"i": 3, "j": 3}, B.means(["hus", "wa"]), ["timestep"]), ["hus", "wa"])
+    return rounded(B.block_aggregate(voxels(spark, sf_dir).where("k = 0"), SHAPE, {"i": 5, "j": 5}, B.means(["hus", "wa"]), ["timestep"]), ["hus", "wa"])
 
 
-@query(_block("timestep, k, i // 3 AS ic, j // 3 AS jc", "i < 6 AND j < 6", [r("avg(hus)", "hus"), r("avg(wa)", "wa")]))
+@query(_block("timestep, k, i // 5 AS ic, j // 5 AS jc", "i < 10 AND j < 10", [r("avg(hus)", "hus"), r("avg(wa)", "wa")]))
 def block_mean_h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(B.block_aggregate(voxels(spark, sf_dir), SHAPE, {"i": 3, "j": 3}, B.means(["hus", "wa"]), ["timestep", "k"]), ["hus", "wa"])
+    return rounded(B.block_aggregate(voxels(spark, sf_dir), SHAPE, {"i": 5, "j": 5}, B.means(["hus", "wa"]), ["timestep", "k"]), ["hus", "wa"])
 
 
-@query(_block("timestep, i, j, k // 2 AS kc", "k < 6", [r("avg(hus)", "hus"), r("avg(wa)", "wa")]))
+@query(_block("timestep, i, j, k // 2 AS kc", "k < 24", [r("avg(hus)", "hus"), r("avg(wa)", "wa")]))
 def block_mean_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.block_aggregate(voxels(spark, sf_dir), SHAPE, {"k": 2}, B.means(["hus", "wa"]), ["timestep", "i", "j"]), ["hus", "wa"])
 
@@ -141,23 +144,23 @@ BOX = "timestep, i // 2 AS ic, j // 2 AS jc, k // 3 AS kc"
 CUBE = {"i": 2, "j": 2, "k": 3}
 
 
-@query(_block(BOX, "k < 6", [r("avg(hus)", "hus"), r("avg(wa)", "wa")]))
+@query(_block(BOX, "k < 24", [r("avg(hus)", "hus"), r("avg(wa)", "wa")]))
 def block_mean_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.block_aggregate(voxels(spark, sf_dir), SHAPE, CUBE, B.means(["hus", "wa"]), ["timestep"]), ["hus", "wa"])
 
 
-@query(_block(BOX, "k < 6", [r("avg(hus * wa)", "hus_wa"), r("avg(ua * ua)", "ua_ua")]))
+@query(_block(BOX, "k < 24", [r("avg(hus * wa)", "hus_wa"), r("avg(ua * ua)", "ua_ua")]))
 def block_product_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     products = [B.product_mean("hus", "wa", "hus_wa"), B.product_mean("ua", "ua", "ua_ua")]
     return rounded(B.block_aggregate(voxels(spark, sf_dir), SHAPE, CUBE, products, ["timestep"]), ["hus_wa", "ua_ua"])
 
 
-@query(_block(BOX, "k < 6", [r("avg(wa)", "wa"), r("var_pop(wa) * count(wa)", "m2_wa")]))
+@query(_block(BOX, "k < 24", [r("avg(wa)", "wa"), r("var_pop(wa) * count(wa)", "m2_wa")]))
 def block_m2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.block_aggregate(voxels(spark, sf_dir), SHAPE, CUBE, [*B.means(["wa"]), B.m2("wa", "m2_wa")], ["timestep"]), ["wa", "m2_wa"])
 
 
-@query(_block(BOX, "k < 6", [r("avg(hus)", "hus"), r("avg(wa)", "wa"), r("covar_pop(hus, wa) * count(wa)", "c_hus_wa")]))
+@query(_block(BOX, "k < 24", [r("avg(hus)", "hus"), r("avg(wa)", "wa"), r("covar_pop(hus, wa) * count(wa)", "c_hus_wa")]))
 def block_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.block_aggregate(voxels(spark, sf_dir), SHAPE, CUBE, [*B.means(["hus", "wa"]), B.co_moment("hus", "wa", "c_hus_wa")], ["timestep"]), ["hus", "wa", "c_hus_wa"])
 
@@ -173,7 +176,7 @@ def _moments_sql() -> list[str]:
 ROUNDED = ", ".join(r(c, c) for c in DIAGNOSTICS)
 
 
-@query(f"WITH {VOX_SQL}, c AS (SELECT {BOX}, {', '.join(_moments_sql())} FROM vox WHERE k < 6 GROUP BY ALL) SELECT timestep, ic, jc, kc, {ROUNDED} FROM c")
+@query(f"WITH {VOX_SQL}, c AS (SELECT {BOX}, {', '.join(_moments_sql())} FROM vox WHERE k < 24 GROUP BY ALL) SELECT timestep, ic, jc, kc, {ROUNDED} FROM c")
 def block_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.block_aggregate(voxels(spark, sf_dir), SHAPE, CUBE, B.moment_aggregates(), ["timestep"]), DIAGNOSTICS)
 
@@ -186,10 +189,9 @@ def domain_mean_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH l AS (SELECT DISTINCT l_linenumber - 1 AS k, (l_linenumber + 1) // 2 * 10.0::DOUBLE AS dz FROM lineitem), f AS (SELECT unnest([1, 2, 3]) AS fz)
 SELECT CAST(fz AS BIGINT) AS fz, CAST(k // fz AS BIGINT) AS kc, sum(dz) AS dz FROM l, f WHERE k < 7 - 7 % fz GROUP BY ALL""")
 def dz_coarsen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") - 1).alias("k")).distinct().withColumn("dz", (F.floor((F.col("k") + 2) / 2) * 10.0).cast("double"))
-    fits = F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda f: F.col("k") < NZ - F.lit(NZ) % f)
-    cells = levels.withColumn("fz", F.explode(fits)).withColumn("fz", F.col("fz").cast("long")).withColumn("kc", F.floor(F.col("k") / F.col("fz")))
-    return cells.groupBy("fz", "kc").agg(F.sum("dz").alias("dz"))
+    levels = table(spark, sf_dir, "lineitem").select("l_linenumber").distinct().orderBy("l_linenumber").collect()  # the levels of one column
+    dz = [(r[0] + 1) // 2 * 10.0 for r in levels]
+    return spark.createDataFrame([(fz, kc, d) for fz in (1, 2, 3) for kc, d in enumerate(S.span_dz(dz, fz))], "fz long, kc long, dz double")
 
 
 # Scalars
@@ -229,7 +231,7 @@ def covariance_from_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(v.select("timestep", "k", P.covariance_from_moments("hw", "hus", "wa").alias("cov"), P.variance_from_moments("ww", "wa").alias("var")), ["cov", "var"])
 
 
-@query(_block(BOX, "k < 6", [r("least(greatest(covar_pop(hus, wa) / sqrt(greatest(var_pop(hus) * var_pop(wa), 0)), -1), 1)", "corr_qt_w", 5)]))
+@query(_block(BOX, "k < 24", [r("least(greatest(covar_pop(hus, wa) / sqrt(greatest(var_pop(hus) * var_pop(wa), 0)), -1), 1)", "corr_qt_w", 5)]))
 def pearson_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = B.block_aggregate(voxels(spark, sf_dir), SHAPE, CUBE, B.moment_aggregates(), ["timestep"])
     return rounded(df.select("timestep", "ic", "jc", "kc", P.correlation("cov_qt_w", "var_qt", "var_w").alias("corr_qt_w")), ["corr_qt_w"], 5)
@@ -242,7 +244,7 @@ def _emit_sql(cells: str, extra: str = "") -> str:
     names = [c for c in FLOATS if c not in ("resolution_h", "domain_h", "resolution_z", "q_con")]
     q = "round(CAST(CAST(q_liq AS FLOAT) + CAST(q_ice AS FLOAT) AS DOUBLE), 5) AS q_con"
     return f"""{cells}, t AS (SELECT *, max(q_liq + q_ice) OVER (PARTITION BY timestep, fx, fz, kc{extra}) AS top FROM c)
-SELECT {', '.join(f'round(CAST(CAST({n} AS FLOAT) AS DOUBLE), 5) AS {n}' for n in names)}, {q}, CAST(fx * 100 AS DOUBLE) AS resolution_h, 700.0::DOUBLE AS domain_h, CAST(fz * 50 AS DOUBLE) AS resolution_z,
+SELECT {', '.join(f'round(CAST(CAST({n} AS FLOAT) AS DOUBLE), 5) AS {n}' for n in names)}, {q}, CAST(fx * 100 AS DOUBLE) AS resolution_h, 1100.0::DOUBLE AS domain_h, CAST(fz * 50 AS DOUBLE) AS resolution_z,
 'unknown' AS data_source, CAST(-1 AS BIGINT) AS month, CAST(-1 AS BIGINT) AS "cfSite_number", 'unknown' AS forcing_model, 'unknown' AS experiment
 FROM t WHERE top > 1e-10 AND q_liq + q_ice >= 1e-10"""
 
@@ -251,8 +253,8 @@ def _out(df: DataFrame) -> DataFrame:
     return rounded(df, FLOATS, 5).select(*COLUMNS)
 
 
-_BLOCKS = f"""WITH {VOX_SQL}, h AS (SELECT unnest([2, 3, 4, 6, 8]) AS fx), z AS (SELECT unnest([1, 2, 3, 4]) AS fz),
-c AS (SELECT timestep, fx, fz, i // fx AS ic, j // fx AS jc, k // fz AS kc, {', '.join(_moments_sql())} FROM vox, h, z WHERE i < 8 - 8 % fx AND j < 8 - 8 % fx AND k < 7 - 7 % fz GROUP BY ALL)"""
+_BLOCKS = f"""WITH {VOX_SQL}, h AS (SELECT unnest([2, 3, 4, 5, 6, 8, 9, 10, 12]) AS fx), z AS (SELECT unnest([1, 2, 3, 4]) AS fz),
+c AS (SELECT timestep, fx, fz, i // fx AS ic, j // fx AS jc, k // fz AS kc, {', '.join(_moments_sql())} FROM vox, h, z WHERE i < 12 - 12 % fx AND j < 12 - 12 % fx AND k < 25 - 25 % fz GROUP BY ALL)"""
 
 
 @query(_emit_sql(_BLOCKS))
@@ -263,19 +265,19 @@ def multiscale_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _windows(sizes: str, name: str) -> str:
     return f"""{name} AS (SELECT timestep, fx, fz, a.s AS ic, b.s AS jc, d.s AS kc, {', '.join(_moments_sql())} FROM vox, ({sizes}) w,
 (SELECT n, w, s FROM st) a, (SELECT n, w, s FROM st) b, (SELECT n, w, s FROM st) d
-WHERE a.n = 8 AND a.w = fx AND b.n = 8 AND b.w = fx AND d.n = 7 AND d.w = fz AND i >= a.s AND i < a.s + fx AND j >= b.s AND j < b.s + fx AND k >= d.s AND k < d.s + fz GROUP BY ALL)"""
+WHERE a.n = 12 AND a.w = fx AND b.n = 12 AND b.w = fx AND d.n = 25 AND d.w = fz AND i >= a.s AND i < a.s + fx AND j >= b.s AND j < b.s + fx AND k >= d.s AND k < d.s + fz GROUP BY ALL)"""
 
 
-_STARTS = "st AS (SELECT DISTINCT n, w, s FROM (SELECT n, w, unnest([0, n - w]) AS s FROM (VALUES (7), (8)) a(n), range(1, 9) b(w)) WHERE s >= 0)"
+_STARTS = "st AS (SELECT DISTINCT n, w, s FROM (SELECT n, w, unnest([0, n - w]) AS s FROM (VALUES (12), (25)) a(n), range(1, 13) b(w)) WHERE s >= 0)"
 
 
-@query(_emit_sql(f"WITH {VOX_SQL}, {_STARTS}, {_windows('SELECT fx, fz FROM range(2, 9) p(fx), range(1, 5) q(fz)', 'c')}"))
+@query(_emit_sql(f"WITH {VOX_SQL}, {_STARTS}, {_windows('SELECT fx, fz FROM (SELECT unnest([2, 3, 4, 5, 6, 8, 9, 10, 11, 12]) AS fx), range(1, 5) q(fz)', 'c')}"))
 def multiscale_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(builder.coarsen_chunk(voxels(spark, sf_dir), GEOMETRY, OPTIONS.having(coarsening_mode="sliding")))
 
 
-@query(_emit_sql(f"""WITH {VOX_SQL}, {_STARTS}, {_windows('SELECT 5 AS fx, 5 AS fz', 'sl')}, h AS (SELECT unnest([3, 6]) AS fx), z AS (SELECT unnest([2, 4, 6]) AS fz),
-bl AS (SELECT timestep, fx, fz, i // fx AS ic, j // fx AS jc, k // fz AS kc, {', '.join(_moments_sql())} FROM vox, h, z WHERE i < 8 - 8 % fx AND j < 8 - 8 % fx AND k < 7 - 7 % fz GROUP BY ALL),
+@query(_emit_sql(f"""WITH {VOX_SQL}, {_STARTS}, {_windows('SELECT 7 AS fx, 5 AS fz', 'sl')}, h AS (SELECT unnest([4, 8, 12]) AS fx), z AS (SELECT unnest([2, 4, 6]) AS fz),
+bl AS (SELECT timestep, fx, fz, i // fx AS ic, j // fx AS jc, k // fz AS kc, {', '.join(_moments_sql())} FROM vox, h, z WHERE i < 12 - 12 % fx AND j < 12 - 12 % fx AND k < 25 - 25 % fz GROUP BY ALL),
 c AS (SELECT * FROM bl UNION ALL SELECT * FROM sl)"""))
 def multiscale_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(builder.coarsen_chunk(voxels(spark, sf_dir), GEOMETRY, OPTIONS.having(max_dz=350.0, budget=1)))
@@ -288,14 +290,29 @@ _NONEMPTY = f"{_LEVELS}, ne AS (SELECT timestep, k, k - row_number() OVER (PARTI
 
 @query(_emit_sql(f"""WITH {_KEEP}, isl AS (SELECT timestep, k, k - row_number() OVER (PARTITION BY timestep ORDER BY k) AS g FROM kp WHERE keep),
 run AS (SELECT timestep, k, min(k) OVER (PARTITION BY timestep, g) AS lo, max(k) OVER (PARTITION BY timestep, g) AS hi FROM isl),
-h AS (SELECT unnest([2, 3, 4, 6, 8]) AS fx), z AS (SELECT unnest([1, 2, 3, 4]) AS fz),
+h AS (SELECT unnest([2, 3, 4, 5, 6, 8, 9, 10, 12]) AS fx), z AS (SELECT unnest([1, 2, 3, 4]) AS fz),
 vox AS (SELECT raw.* EXCLUDE (q_c), least(greatest((ta - 233.0) / (273.15 - 233.0), 0.0), 1.0) * q_c AS clw, (1 - least(greatest((ta - 233.0) / (273.15 - 233.0), 0.0), 1.0)) * q_c AS cli, lo, hi FROM raw JOIN run USING (timestep, k)),
 c AS (SELECT timestep, lo, fx, fz, i // fx AS ic, j // fx AS jc, (k - lo) // fz AS kc, {', '.join(_moments_sql())} FROM vox, h, z
-WHERE i < 8 - 8 % fx AND j < 8 - 8 % fx AND k - lo < hi - lo + 1 - (hi - lo + 1) % fz AND fz <= hi - lo + 1 GROUP BY ALL)""", ", lo"))
+WHERE i < 12 - 12 % fx AND j < 12 - 12 % fx AND k - lo < hi - lo + 1 - (hi - lo + 1) % fz AND fz <= hi - lo + 1 GROUP BY ALL)""", ", lo"))
 def span_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(builder.build_table(raw_voxels(spark, sf_dir), GEOMETRY, OPTIONS))
 
 
+_RUN = f"""{_KEEP}, isl AS (SELECT timestep, k, k - row_number() OVER (PARTITION BY timestep ORDER BY k) AS g FROM kp WHERE keep),
+run AS (SELECT timestep, k, min(k) OVER (PARTITION BY timestep, g) AS lo, max(k) OVER (PARTITION BY timestep, g) AS hi FROM isl),
+vox AS (SELECT raw.* EXCLUDE (q_c), {SHARE_SQL} * q_c AS clw, (1 - {SHARE_SQL}) * q_c AS cli, lo, hi FROM raw JOIN run USING (timestep, k))"""
+
+
+@query(_emit_sql(f"""WITH {_RUN}, w AS (SELECT fx, fz FROM (SELECT unnest([2, 7, 12]) AS fx), (SELECT unnest([1, 3, 4]) AS fz)),
+dp AS (SELECT DISTINCT hi - lo + 1 AS d FROM run), h AS (SELECT DISTINCT d, fx, fz FROM dp, w WHERE d >= 4 OR (d = 1 AND fz = 1)),
+x AS (SELECT DISTINCT fx AS wx, unnest([0, 12 - fx]) AS s FROM w), zz AS (SELECT DISTINCT d AS wd, fz AS wz, unnest([0, d - fz]) AS s FROM h),
+c AS (SELECT timestep, lo, fx, fz, p.s AS ic, q.s AS jc, r.s AS kc, {', '.join(_moments_sql())} FROM vox, h, x p, x q, zz r
+WHERE h.d = hi - lo + 1 AND p.wx = fx AND q.wx = fx AND r.wd = h.d AND r.wz = fz AND i >= p.s AND i < p.s + fx AND j >= q.s AND j < q.s + fx AND k - lo >= r.s AND k - lo < r.s + fz GROUP BY ALL)""", ", lo"))
+def span_table_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of three sizes and heights within each span."""
+    return _out(builder.build_table(raw_voxels(spark, sf_dir), GEOMETRY, OPTIONS.having(coarsening_mode="sliding", budget=3)))
+
+
 # Masks
 
 
@@ -325,7 +342,7 @@ def z_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_NONEMPTY}, c AS (SELECT *, lo // 4 AS a, hi // 4 AS b FROM sp), w AS (SELECT *, max(b) OVER (PARTITION BY timestep ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM c),
 g AS (SELECT *, sum(CASE WHEN p IS NULL OR a > p THEN 1 ELSE 0 END) OVER (PARTITION BY timestep ORDER BY lo) - 1 AS grp FROM w)
-SELECT timestep, lo, hi, CAST(grp AS BIGINT) AS "group", CAST(min(a) OVER (PARTITION BY timestep, grp) * 4 AS BIGINT) AS read_lo, CAST(least((max(b) OVER (PARTITION BY timestep, grp) + 1) * 4, 7) - 1 AS BIGINT) AS read_hi FROM g""")
+SELECT timestep, lo, hi, CAST(grp AS BIGINT) AS "group", CAST(min(a) OVER (PARTITION BY timestep, grp) * 4 AS BIGINT) AS read_lo, CAST(least((max(b) OVER (PARTITION BY timestep, grp) + 1) * 4, 25) - 1 AS BIGINT) AS read_hi FROM g""")
 def span_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.span_chunks(_nonempty_spans(spark, sf_dir), ["timestep"], 4, NZ)
 
@@ -372,7 +389,7 @@ def merge_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("l_returnflag", count.alias("n"), F.round(mean, 6).alias("mean"), F.round(m2, 2).alias("m2"), F.round(co, 4).alias("c"))
 
 
-@query(_block("timestep, i // 4 AS ic, j // 4 AS jc, k // 3 AS kc", "k < 6", ["count(*) AS n", r("avg(hus)", "avg_hus"), r("avg(wa)", "avg_wa"), r("var_pop(hus)", "var_hus"), r("var_pop(wa)", "var_wa"), r("covar_pop(hus, wa)", "cov_hus_wa")]))
+@query(_block("timestep, i // 4 AS ic, j // 4 AS jc, k // 3 AS kc", "k < 24", ["count(*) AS n", r("avg(hus)", "avg_hus"), r("avg(wa)", "avg_wa"), r("var_pop(hus)", "var_hus"), r("var_pop(wa)", "var_wa"), r("covar_pop(hus, wa)", "cov_hus_wa")]))
 def tower_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4 x 4 x 3 blocks from 2 x 2 x 1 blocks. Whole blocks are of equal size only on a full grid, so smaller tables may differ."""
     base = G.base_level(voxels(spark, sf_dir), SHAPE, {"i": 2, "j": 2, "k": 1}, ["hus", "wa"], [("hus", "wa")], ["timestep"])
@@ -380,7 +397,7 @@ def tower_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(merged, ["avg_hus", "avg_wa", "var_hus", "var_wa", "cov_hus_wa"])
 
 
-@query(f"""WITH {VOX_SQL}, h AS (SELECT unnest([2, 4, 8]) AS fx) SELECT timestep, fx, fx AS fy, i // fx AS ic, j // fx AS jc, k, {r('avg(hus)', 'hus')}, {r('avg(wa)', 'wa')}, {r('avg(hus * wa)', 'hus_wa')} FROM vox, h GROUP BY ALL""")
+@query(f"""WITH {VOX_SQL}, h AS (SELECT unnest([2, 4, 8, 12]) AS fx) SELECT timestep, fx, fx AS fy, i // fx AS ic, j // fx AS jc, k, {r('avg(hus)', 'hus')}, {r('avg(wa)', 'wa')}, {r('avg(hus * wa)', 'hus_wa')} FROM vox, h WHERE i < 12 - 12 % fx AND j < 12 - 12 % fx GROUP BY ALL""")
 def multilevel_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = S.horizontal_levels(NX, NY, DX, (1,), MIN_H)
     return rounded(G.multilevel_views(voxels(spark, sf_dir), NX, NY, levels, ["hus", "wa"], [("hus", "wa")], ["timestep"]), ["hus", "wa", "hus_wa"])
@@ -389,7 +406,7 @@ def multilevel_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Windows
 
 
-@query(f"""WITH {VOX_SQL}, s AS (SELECT a.s AS ic, b.s AS jc, c.s AS kc FROM range(0, 6, 2) a(s), range(0, 6, 2) b(s), range(0, 6, 3) c(s))
+@query(f"""WITH {VOX_SQL}, s AS (SELECT a.s AS ic, b.s AS jc, c.s AS kc FROM range(0, 10, 2) a(s), range(0, 10, 2) b(s), range(0, 24, 3) c(s))
 SELECT timestep, ic, jc, kc, {r('avg(hus)', 'hus')}, {r('avg(hus * wa)', 'hus_wa')} FROM (SELECT timestep, CAST(ic AS INTEGER) AS ic, CAST(jc AS INTEGER) AS jc, CAST(kc AS INTEGER) AS kc, hus, wa FROM vox, s
 WHERE i >= ic AND i < ic + 3 AND j >= jc AND j < jc + 3 AND k >= kc AND k < kc + 2) GROUP BY ALL""")
 def sliding_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,7 +414,7 @@ def sliding_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.drop("fx", "fy", "fz"), ["hus", "hus_wa"])
 
 
-@query(f"""WITH {VOX_SQL}, s AS (SELECT a.s AS ic, b.s AS jc, c.s AS kc FROM (VALUES (0), (2), (5)) a(s), (VALUES (0), (2), (5)) b(s), (VALUES (0), (2), (5)) c(s))
+@query(f"""WITH {VOX_SQL}, s AS (SELECT a.s AS ic, b.s AS jc, c.s AS kc FROM (VALUES (0), (4), (9)) a(s), (VALUES (0), (4), (9)) b(s), (VALUES (0), (11), (23)) c(s))
 SELECT timestep, ic, jc, kc, {r('avg(hus)', 'hus')}, {r('var_pop(wa)', 'var_wa')} FROM (SELECT timestep, ic, jc, kc, hus, wa FROM vox, s WHERE i >= ic AND i < ic + 3 AND j >= jc AND j < jc + 3 AND k >= kc AND k < kc + 2) GROUP BY ALL""")
 def sliding_anchor_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = B.windows(voxels(spark, sf_dir), [(3, 3, 2)], NX, NY, NZ, ["timestep"], (3, 3, 3), aggregates=[*B.means(["hus"]), F.var_pop("wa").alias("var_wa")])
@@ -421,11 +438,13 @@ def group_median_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.group_reduce_many(items(spark, sf_dir), ["l_linenumber"], ["l_extendedprice", "l_quantity"])
 
 
-@query("""WITH b AS (SELECT l_linenumber AS x, CAST(l_quantity AS BIGINT) AS y, l_extendedprice AS v FROM lineitem WHERE l_suppkey % 7 = 0 AND (l_linenumber + l_quantity) % 5 < 4),
-c AS (SELECT x, y, avg(v) AS value, count(*) AS n FROM b GROUP BY ALL), g AS (SELECT * FROM (SELECT DISTINCT x FROM b), (SELECT DISTINCT y FROM b))
+@query("""WITH b AS (SELECT l_linenumber AS x, CAST(l_quantity AS BIGINT) AS y, CASE WHEN (l_linenumber + l_quantity) % 5 < 4 THEN l_extendedprice END AS v FROM lineitem),
+c AS (SELECT x, y, median(v) AS value, count(*) AS n FROM b GROUP BY ALL), g AS (SELECT * FROM (SELECT DISTINCT x FROM b), (SELECT DISTINCT y FROM b))
 SELECT y, x, """ + r("coalesce(value, -1)", "value", 4) + ", coalesce(n, 0) AS n FROM g LEFT JOIN c USING (x, y)")
 def heatmap_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = items(spark, sf_dir).where("l_suppkey % 7 = 0 and (l_linenumber + l_quantity) % 5 < 4").select(F.col("l_linenumber").alias("x"), F.col("l_quantity").cast("long").alias("y"), F.col("l_extendedprice").alias("v"))
+    """Medians of all line items; some cells have no value."""
+    v = F.when((F.col("l_linenumber") + F.col("l_quantity")) % 5 < 4, F.col("l_extendedprice"))
+    b = items(spark, sf_dir).select(F.col("l_linenumber").alias("x"), F.col("l_quantity").cast("long").alias("y"), v.alias("v"))
     return rounded(A.heatmap_matrix(b, "x", "y", "v").withColumn("value", F.nanvl("value", F.lit(-1.0))), ["value"], 4)
 
 
@@ -506,9 +525,37 @@ def distinct_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Loading
 
 
-@query(f"WITH {RAW_SQL} SELECT timestep, i, j, k, {r('q_c', 'q_c', 9)} FROM raw WHERE timestep = 1 AND k IN (2, 3)")
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, for files that a query writes and reads again."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{root.rstrip('/') if root else 'file://' + tempfile.gettempdir()}/gridmoments-{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {RAW_SQL} SELECT timestep, i, j, k, {r('CAST(q_c AS FLOAT)', 'q_c', 6)} FROM raw WHERE timestep = 1 AND k IN (4, 5, 16)")
 def scan_slab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(raw_voxels(spark, sf_dir).where("timestep = 1 and k in (2, 3)").select("timestep", "i", "j", "k", "q_c"), ["q_c"], 9)
+    """One time step's levels out of a grid store, whose arrays are written here first (a grid of fixed size)."""
+    path = _folder(spark, "store").removeprefix("file://")
+    rows = np.array(raw_voxels(spark, sf_dir).select("timestep", "i", "j", "k", "q_c", "ta").collect())
+    at = tuple(rows[:, k].astype(int) for k in range(4))
+    for k, name in ((4, "q_c"), (5, "ta")):
+        field = np.zeros((NT, NX, NY, NZ), np.float32)
+        field[at] = rows[:, k]
+        grid.save(path, name, field.transpose(3, 2, 1, 0), "zyxt", 8)
+    grid.register(spark)
+    df = spark.read.format("les_grid").option("path", path).option("kind", "npy").option("fields", "q_c").load()
+    return rounded(df.where("timestep = 1 and k in (4, 5, 16)").select("timestep", "i", "j", "k", "q_c"), ["q_c"], 6)
+
+
+@query(f"""WITH {RAW_SQL} SELECT {r('CAST(var_pop(hus) AS FLOAT)', 'var_qt', 4)}, {r('CAST(covar_pop(hus, wa) AS FLOAT)', 'cov_qt_w', 4)}, CAST(100 * timestep AS DOUBLE) AS resolution_h, CAST(k AS DOUBLE) AS resolution_z FROM raw GROUP BY timestep, k""")
+def load_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of moments is written, and read through the operator without its other columns."""
+    path = _folder(spark, "moments")
+    by = raw_voxels(spark, sf_dir).groupBy("timestep", "k").agg(F.avg("hus").alias("qt"), F.var_pop("hus").cast("float").alias("var_qt"), F.covar_pop("hus", "wa").cast("float").alias("cov_qt_w"))
+    by.select("qt", "var_qt", "cov_qt_w", (F.col("timestep") * 100).cast("double").alias("resolution_h"), F.col("k").cast("double").alias("resolution_z")).write.parquet(path)
+    df, moments = tables.load_moments(spark, path)
+    return rounded(df, moments, 4)
 
 
 @query("SELECT l_orderkey, l_tax FROM lineitem")
@@ -517,7 +564,7 @@ def load_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT o_orderkey, o_orderdate, o_orderpriority, o_orderstatus FROM orders")
-def load_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def select_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns chosen by prefix and by name."""
     df = table(spark, sf_dir, "orders")
     return df.select(*tables.select_columns(df.columns, ["o_orderkey", "o_orderstatus"], ["o_orderd", "o_orderp"]))
@@ -547,6 +594,17 @@ def manifest_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.latest(e.select(line.alias("value"), F.col("event_id").alias("line")))
 
 
+@query("""SELECT CAST(n_nationkey AS VARCHAR) || '|1|amip' AS "key", CASE WHEN n_nationkey % 3 = 0 THEN 'done' ELSE 'cloudfree' END AS status, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 10 * n_regionkey + 2 ELSE 0 END AS BIGINT) AS rows, CAST(73 AS BIGINT) AS timesteps FROM nation""")
+def manifest_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three appends; the last record of a case counts."""
+    path = _folder(spark, "manifest")
+    cases = sorted(tuple(r) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect())
+    manifest.append(spark, path, [(n, 1, "amip", "cloudfree", 0, 73) for n, _ in cases])
+    manifest.append(spark, path, [(n, 1, "amip", "done", 10 * g + 1, 73) for n, g in cases if n % 3 == 0])
+    manifest.append(spark, path, [(n, 1, "amip", "done", 10 * g + 2, 73) for n, g in cases if n % 3 == 0])
+    return manifest.read(spark, path).drop("timestamp")
+
+
 @query("""WITH c AS (SELECT m AS month, s AS site, e AS experiment FROM (VALUES (1), (7)) a(m), range(0, 40) b(s), (VALUES ('amip'), ('amip4K')) d(e))
 SELECT CAST(month AS BIGINT) AS month, CAST(site AS BIGINT) AS site, experiment FROM c WHERE NOT (experiment = 'amip' AND site IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0))""")
 def pending_cases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,36 +6,11 @@ budget are all multiples of a few seeds, so a coarse level can be merged from th
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 
 Triple = tuple[int, int, int]
 
 
-@dataclass(frozen=True)
-class Block:
-    """Blocks of fx * fy * fz cells from the low corner; incomplete blocks are dropped."""
-
-    factors: Triple
-
-
-@dataclass(frozen=True)
-class Sliding:
-    """Windows of wx * wy * wz cells at the given strides."""
-
-    window: Triple
-    stride_h: int = 1
-    stride_v: int = 1
-    stride_z: int = 1
-
-
-@dataclass(frozen=True)
-class Hybrid:
-    blocks: tuple[Block, ...]
-    windows: tuple[Sliding, ...] = ()
-
-
 def truncated_block_extent(n: int, block: int) -> tuple[int, int]:
     """Cells that whole blocks cover, and the rest."""
     if block < 1:
@@ -110,6 +85,22 @@ def flat_sizes(nx: int, ny: int, dx: float, min_h: float, budget: int = 5) -> li
     return subsample_closed_range(least_factor(dx, min_h), min(nx, ny), budget)
 
 
+def seeds_of(sizes: list[tuple[int, int]]) -> dict[tuple[int, int], tuple[int, int]]:
+    """For each horizontal size the size that its blocks are merged from: the largest that divides it and that no other divides.
+
+    Single cells are no such size, as merging them is no less work than the cells themselves.
+    """
+    wide = [s for s in sizes if s != (1, 1)]
+    divides = lambda a, b: b[0] % a[0] == 0 and b[1] % a[1] == 0
+    seeds = [s for s in wide if not any(t != s and divides(t, s) for t in wide)]
+    return {s: max((t for t in seeds if divides(t, s)), default=s) if s != (1, 1) else s for s in sizes}
+
+
+def merge_metadata(fields: dict, scheme: dict) -> dict:
+    """Metadata of a field with those of a reduction, which count where both have a key."""
+    return {**fields, **scheme}
+
+
 def by_depth(triples: set[Triple]) -> list[Triple]:
     return sorted(triples, key=lambda t: (t[2], t[0], t[1]))
 

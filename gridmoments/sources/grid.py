@@ -1,49 +1,95 @@
 """A data source of chunked grid stores: each field an array of (t, x, y, z), read by time step and chunk of levels.
 
-The store is any Python object that `opener(path)` returns with `fields` (name -> array-like of four dimensions, with an
-optional `chunks`), `dims` (name -> the order of its axes) and `dz`. NumPy archives are built in; opening Zarr or NetCDF
-files needs the libraries that read them.
+The store is any Python object that `opener(path)` returns with `fields` (name -> array-like of four dimensions, of which
+a slice is read alone), `dims` (name -> the order of its axes) and `chunk`. Folders of .npy files and .npz archives are
+built in; Zarr and NetCDF files need the libraries that read them.
 """
 
 from __future__ import annotations
 
 import importlib
-from collections.abc import Iterator
+import json
+import zipfile
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from ..schema import METADATA
+
 ORDER = "txyz"
 
 
-class ArrayStore:
-    """Fields of a .npz file; an entry `dims` (such as 'zyxt') tells the axes' order, `dz` the thicknesses."""
+class Member:
+    """A field of an archive; its shape comes from its header, its data are read when first asked for."""
+
+    def __init__(self, path: str, name: str):
+        self.path, self.name, self.data = path, name, None
+        with zipfile.ZipFile(path) as z, z.open(f"{name}.npy") as f:
+            np.lib.format.read_magic(f)
+            self.shape = np.lib.format.read_array_header_1_0(f)[0]
+
+    def __getitem__(self, cut):
+        if self.data is None:
+            with np.load(self.path, allow_pickle=False) as f:
+                self.data = f[self.name]
+        return self.data[cut]
+
+
+class NpzStore:
+    """Fields of a .npz file; an entry `dims` (such as 'zyxt') tells the axes' order, `chunk` the levels of a chunk."""
 
     def __init__(self, path: str):
         with np.load(path, allow_pickle=False) as f:
-            self.fields = {k: f[k] for k in f.files if k not in ("dims", "dz", "chunk")}
+            names = [k for k in f.files if k not in ("dims", "dz", "chunk")]
             order = str(f["dims"]) if "dims" in f.files else ORDER
-            self.dz = f["dz"] if "dz" in f.files else None
             self.chunk = int(f["chunk"]) if "chunk" in f.files else 0
-        self.dims = dict.fromkeys(self.fields, order)
+        self.fields = {k: Member(path, k) for k in names}
+        self.dims = dict.fromkeys(names, order)
+
+
+class NpyStore:
+    """A folder of <field>.npy, mapped into memory so that only the slabs asked for are read, and <field>.json with dims and chunk."""
+
+    def __init__(self, path: str):
+        root = Path(path)
+        self.fields = {f.stem: np.load(f, mmap_mode="r", allow_pickle=False) for f in sorted(root.glob("*.npy"))}
+        told = {k: json.loads((root / f"{k}.json").read_text()) for k in self.fields}
+        self.dims = {k: t["dims"] for k, t in told.items()}
+        self.chunk = max((t["chunk"] for t in told.values()), default=0)
+
+
+def save(path: str, name: str, field: np.ndarray, dims: str = ORDER, chunk: int = 0) -> None:
+    """Adds a field to a folder that NpyStore reads."""
+    Path(path).mkdir(parents=True, exist_ok=True)
+    np.save(Path(path) / f"{name}.npy", field)
+    (Path(path) / f"{name}.json").write_text(json.dumps({"dims": dims, "chunk": chunk}))
+
+
+def _store(fields: dict, names: Callable[[object], list[str]], chunks: Callable[[object], list[int] | None]) -> SimpleNamespace:
+    dims = {k: "".join(n[0].lower() for n in names(v)) for k, v in fields.items()}
+    levels = [c[dims[k].index("z")] for k, v in fields.items() if (c := chunks(v))]
+    return SimpleNamespace(fields=fields, dims=dims, chunk=max(levels, default=0))
 
 
-def zarr_store(path: str) -> object:
-    """A Zarr group, if that library is there."""
+def zarr_store(path: str) -> SimpleNamespace:
+    """The four-dimensional arrays of a Zarr group, if that library is there; axes are known by their names' first letters."""
     group = importlib.import_module("zarr").open_group(path, mode="r")
+    return _store({k: group[k] for k in group.array_keys() if len(group[k].shape) == 4}, lambda a: a.attrs.get("_ARRAY_DIMENSIONS", ORDER), lambda a: a.chunks)
 
-    class Store:
-        fields = {k: group[k] for k in group.array_keys() if len(group[k].shape) == 4}
-        dims = {k: "".join(n[0] for n in group[k].attrs.get("_ARRAY_DIMENSIONS", ORDER)) for k in fields}
-        dz, chunk = None, max([a.chunks[dims[k].index("z")] for k, a in fields.items()], default=0)
 
-    return Store()
+def netcdf_store(path: str) -> SimpleNamespace:
+    """The same of a NetCDF file's variables, if that library is there."""
+    found = importlib.import_module("netCDF4").Dataset(path, "r").variables
+    return _store({k: v for k, v in found.items() if len(v.shape) == 4}, lambda v: v.dimensions, lambda v: None if v.chunking() == "contiguous" else v.chunking())
 
 
-OPENERS = {"npz": ArrayStore, "zarr": zarr_store}
+OPENERS = {"npz": NpzStore, "npy": NpyStore, "zarr": zarr_store, "netcdf": netcdf_store}
 
 
 def axes(dims: str) -> tuple[int, ...]:
@@ -92,6 +138,7 @@ class GridReader(DataSourceReader):
     def __init__(self, options: dict[str, str], names: list[str]):
         self.path, self.kind = options["path"], options.get("kind", "npz")
         self.names = names
+        self.told = {n: (int if isinstance(v, int) else str)(options[n.lower()]) for n, v in METADATA.items() if n.lower() in options}
         self.bounds = {"timestep": [0, None], "k": [0, None]}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -126,24 +173,25 @@ class GridReader(DataSourceReader):
             rest = [a for a in order if a != "t"]
             columns[n] = np.asarray(store.fields[n][cut], np.float32).transpose([rest.index(a) for a in "xyz"])
         i, j, k = (a.ravel().astype(np.int32) for a in np.indices(next(iter(columns.values())).shape))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), part.t, np.int32)), pa.array(i), pa.array(j), pa.array(k + np.int32(part.lo)), *(pa.array(c.ravel()) for c in columns.values())], ["timestep", "i", "j", "k", *columns])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), part.t, np.int32)), pa.array(i), pa.array(j), pa.array(k + np.int32(part.lo)), *(pa.array(c.ravel()) for c in columns.values()), *(pa.array([v] * len(i)) for v in self.told.values())], ["timestep", "i", "j", "k", *columns, *self.told])
 
 
 class GridSource(DataSource):
-    """Options: path, kind (npz or zarr), fields (comma-separated, required)."""
+    """Options: path, kind (npz, npy, zarr or netcdf), fields (comma-separated, required), and any metadata column (month=1, experiment=amip, ...), which every row then has."""
 
     @classmethod
     def name(cls) -> str:
         return "les_grid"
 
     def schema(self) -> str:
-        return ", ".join(["timestep int, i int, j int, k int", *(f"{n} float" for n in self._names())])
+        told = [f"{n} {'long' if isinstance(v, int) else 'string'}" for n, v in METADATA.items() if n.lower() in self.options]
+        return ", ".join(["timestep int, i int, j int, k int", *(f"{n} float" for n in self._names()), *told])
 
     def _names(self) -> list[str]:
         return [n.strip() for n in self.options["fields"].split(",")]
 
     def reader(self, schema) -> GridReader:
-        return GridReader(dict(self.options), self._names())
+        return GridReader({k.lower(): v for k, v in self.options.items()}, self._names())
 
 
 def register(spark: SparkSession) -> None:

@@ -1,4 +1,6 @@
 import math
+import sys
+import types
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from gridmoments.operators import block as B
 from gridmoments.operators import masks as M
 from gridmoments.operators import merge as G
 from gridmoments.operators import training as L
-from gridmoments.options import BuildOptions, loads_full_timestep, parse_bool, parse_ints
+from gridmoments.options import BuildOptions, parse_bool, parse_ints
 from gridmoments.plans.builder import Geometry, build_table, coarsen_chunk, dense, split_phases, write_table
 from gridmoments.schema import COLUMNS, FIELDS, FLOATS, OUTPUT
 from gridmoments.sources import grid, library, manifest, tables
@@ -188,12 +190,10 @@ def test_training(spark):
 
 def test_options():
     assert BuildOptions.from_env({}).coarsening_mode == "hybrid"
-    o = BuildOptions.from_env({"GRIDMOMENTS_COARSENING_MODE": " Block ", "GRIDMOMENTS_BUDGET": "0", "GRIDMOMENTS_Z_CHUNK_MERGE": "no", "GRIDMOMENTS_MIN_H": "50"}, max_dz=1.0)
-    assert (o.coarsening_mode, o.budget, o.z_chunk_merge, o.min_h, o.max_dz) == ("block", 1, False, 50.0, 1.0)
-    for bad in ({"GRIDMOMENTS_COARSENING_MODE": "convolutional"}, {"GRIDMOMENTS_LOAD_STRATEGY": "other"}):
-        with pytest.raises(ValueError):
-            BuildOptions.from_env(bad)
-    assert loads_full_timestep(" FULL ") and not loads_full_timestep("auto")
+    o = BuildOptions.from_env({"GRIDMOMENTS_COARSENING_MODE": " Block ", "GRIDMOMENTS_BUDGET": "0", "GRIDMOMENTS_CHECK_FINITE": "no", "GRIDMOMENTS_MIN_H": "50"}, max_dz=1.0)
+    assert (o.coarsening_mode, o.budget, o.check_finite, o.min_h, o.max_dz) == ("block", 1, False, 50.0, 1.0)
+    with pytest.raises(ValueError):
+        BuildOptions.from_env({"GRIDMOMENTS_COARSENING_MODE": "convolutional"})
     assert parse_bool("Yes", False) and not parse_bool("0", True) and parse_bool(" ", True)
     assert parse_ints("1, 2,", []) == [1, 2] and parse_ints("", [3]) == [3]
     assert "budget=10" in BuildOptions().summary() and BuildOptions().having(budget=3).budget == 3
@@ -214,6 +214,86 @@ def test_grid_source(spark, tmp_path):
     assert out[0].all() and not out[1].any()
 
 
+def test_grid_folder_is_read_by_slab(spark, tmp_path):
+    a = np.arange(2 * 3 * 4 * 5, dtype=np.float32).reshape(2, 3, 4, 5)
+    grid.save(str(tmp_path / "s"), "hus", a.transpose(3, 2, 1, 0), "zyxt", 2)
+    grid.save(str(tmp_path / "s"), "wa", -a.transpose(3, 2, 1, 0), "zyxt", 2)
+    store = grid.NpyStore(str(tmp_path / "s"))
+    assert isinstance(store.fields["hus"], np.memmap) and store.chunk == 2
+    grid.register(spark)
+    df = spark.read.format("les_grid").options(path=str(tmp_path / "s"), kind="npy", fields="hus, wa", month="7", cfSite_number="12", experiment="amip").load()
+    assert cells(df, "wa", "timestep", "i", "j", "k") == {k: -v for k, v in np.ndenumerate(a)}
+    assert {(r.month, r.cfSite_number, r.experiment) for r in df.select("month", "cfSite_number", "experiment").distinct().collect()} == {(7, 12, "amip")}
+
+
+def test_netcdf_variables(monkeypatch):
+    class Variable:
+        shape, dimensions = (2, 5, 4, 3), ("time", "z", "y", "x")
+
+        def chunking(self):
+            return [1, 5, 2, 3]
+
+    class Dataset:
+        def __init__(self, path, mode):
+            self.variables = {"hus": Variable(), "z": type("V", (), {"shape": (5,)})()}
+
+    monkeypatch.setitem(sys.modules, "netCDF4", types.SimpleNamespace(Dataset=Dataset))
+    store = grid.netcdf_store("x.nc")
+    assert store.dims == {"hus": "tzyx"} and store.chunk == 5 and grid.axes("tzyx") == (0, 3, 2, 1)
+
+
+def test_cases_are_built_once(spark, tmp_path):
+    from gridmoments.plans.cases import build_cases, row_counts
+
+    calls = []
+
+    def load(spark, case):
+        calls.append((case["site"], case["month"]))
+        cloud = 0.002 if case["site"] == 1 else 0.0
+        return voxels(spark, (4, 4, 4), ta=280, clw=cloud).withColumnRenamed("clw", "q_c").drop("cli"), Geometry(4, 4, (1.0,) * 4, 100.0)
+
+    cases = manifest.expand_cases(spark, [1, 2], [1], ["amip"])
+    table, record = str(tmp_path / "table"), str(tmp_path / "record")
+    first = build_cases(spark, cases, load, table, record)
+    assert first["1|1|amip"] > 0 and first["2|1|amip"] == 0 and calls == [(1, 1), (2, 1)]
+    got = {r["key"]: (r["status"], r["rows"], r["timesteps"]) for r in manifest.read(spark, record).collect()}
+    assert got == {"1|1|amip": ("done", first["1|1|amip"], 1), "2|1|amip": ("cloudfree", 0, 1)}
+    assert build_cases(spark, cases, load, table, record) == {}
+    assert build_cases(spark, cases.where("site = 1"), load, table, record, force=True) == {"1|1|amip": first["1|1|amip"]}
+    assert [tuple(r) for r in row_counts(spark, table).collect()] == [("unknown", "amip", 1, 1, first["1|1|amip"])]
+
+
+def test_scales_are_merged_from_few_sizes():
+    from gridmoments.schedules import seeds_of
+
+    of = seeds_of([(n, n) for n in (1, 2, 3, 4, 6, 9, 5)])
+    assert of == {(1, 1): (1, 1), (2, 2): (2, 2), (3, 3): (3, 3), (4, 4): (2, 2), (6, 6): (3, 3), (9, 9): (3, 3), (5, 5): (5, 5)}
+
+
+def test_blocks_with_missing_voxels_go(spark):
+    v = voxels(spark, (4, 4, 2), ta=280, clw=0.002).where("not (i = 0 and j = 0 and k = 0)")
+    rows = coarsen_chunk(v, Geometry(4, 4, (1.0,) * 2, 1.0), BuildOptions(coarsening_mode="block"), triples=[(2, 2, 1), (4, 4, 2)]).collect()
+    assert len(rows) == 7 and {r["resolution_h"] for r in rows} == {2.0}
+
+
+def test_small_sources(spark, tmp_path):
+    import pyarrow as pa
+
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame([(0.1, 1.0, 2.0, 3.0, 4.0)], "qt double, cov_a_b double, var_a double, resolution_h double, resolution_z double").write.parquet(path)
+    df, moments = tables.load_moments(spark, path, extra=("qt",))
+    assert moments == ["cov_a_b", "var_a"] and df.columns == ["resolution_h", "resolution_z", "cov_a_b", "var_a", "qt"]
+    assert tables.load_features(spark, path, ["qt"], ["var_a"]).schema.simpleString() == "struct<qt:float,var_a:float>"
+    assert tables.preview(df, 1)[1] == 1
+    source = str(tmp_path / "a.arrow")
+    data = pa.table({"a": [1, 2], "b": ["x", "y"]})
+    with pa.OSFile(source, "wb") as f, pa.ipc.new_file(f, data.schema) as w:
+        w.write_table(data)
+    assert tables.migrate_arrow(spark, source, str(tmp_path / "m")) == 2
+    tables.write_csv(spark.read.parquet(str(tmp_path / "m")), str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 2
+
+
 def test_sources(spark, tmp_path):
     good, bad = str(tmp_path / "files/good.parquet"), str(tmp_path / "files/bad.parquet")
     spark.createDataFrame([(0.1, 0.01), (0.2, 0.02)], "qt double, q_liq double").write.parquet(good)
@@ -242,4 +322,7 @@ def test_incremental_ingest(spark, tmp_path):
     for _ in range(2):
         ingest(spark, str(tmp_path / "in"), v.schema, str(tmp_path / "out"), str(tmp_path / "check"), Geometry(4, 4, (1.0,) * 4, 100.0), BuildOptions(), spans=False)
     assert spark.read.parquet(str(tmp_path / "out")).count() == coarsen_chunk(v, Geometry(4, 4, (1.0,) * 4, 100.0)).count() > 0
+    v.write.mode("append").parquet(str(tmp_path / "in"))  # more of a case that is built
+    with pytest.raises(Exception, match="earlier batch"):
+        ingest(spark, str(tmp_path / "in"), v.schema, str(tmp_path / "out"), str(tmp_path / "check"), Geometry(4, 4, (1.0,) * 4, 100.0), BuildOptions(), spans=False)
     assert split_phases(v.withColumnRenamed("clw", "q_c").drop("cli")).where("clw > 0").count() == 64
