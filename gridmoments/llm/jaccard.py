@@ -14,8 +14,10 @@ from . import common as C
 
 #: 64-bit words of a document's bitmap, and of the wide one that pairs are held to next.
 WORDS, WIDE = 8, 64
+#: Rounds in which each set is held to one other of each prefix token, before those that are not joined meet in tiles.
+HUBS = 3
 #: Of 256: share of all shingles, chosen by hash, that the census counts.
-CENSUS = 144
+CENSUS = 256
 _STEP = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -193,7 +195,7 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def prefixes(reps: DataFrame, percent: int) -> DataFrame:
-    """(token, id, n, bits): of each set the smallest hashes, so many that linked sets have one in common, with its bitmap."""
+    """(token, place, id, n, bits): of each set the smallest hashes, so many that linked sets have one in common, with their places from 0 and the set's bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,14 +203,15 @@ def prefixes(reps: DataFrame, percent: int) -> DataFrame:
             value, bounds = value.view(np.uint64), bounds // 8
             n = np.diff(bounds)
             k = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-            at = np.repeat(bounds[:-1] - np.append(0, np.cumsum(k)[:-1]), k) + np.arange(k.sum())
+            place = np.arange(k.sum()) - np.repeat(np.append(0, np.cumsum(k)[:-1]), k)
+            at = np.repeat(bounds[:-1], k) + place
             bits = np.stack([bitmap(value[bounds[i] : bounds[i + 1]]) for i in range(len(n))]) if len(n) else np.zeros((0, WORDS), np.int64)
             bits = pa.FixedSizeListArray.from_arrays(pa.array(np.repeat(bits, k, axis=0).ravel()), WORDS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(value.view(np.int64)[at]), pa.array(np.repeat(ids(batch), k)), pa.array(np.repeat(n, k)), bits], ["token", "id", "n", "bits"]
+                [pa.array(value.view(np.int64)[at]), pa.array(place), pa.array(np.repeat(ids(batch), k)), pa.array(np.repeat(n, k)), bits], ["token", "place", "id", "n", "bits"]
             )
 
-    return reps.select("id", "items").mapInArrow(run, "token long, id long, n long, bits array<long>")
+    return reps.select("id", "items").mapInArrow(run, "token long, place long, id long, n long, bits array<long>")
 
 
 def wide_bitmaps(reps: DataFrame) -> DataFrame:
@@ -255,9 +258,14 @@ def verified(pairs: DataFrame, wide: DataFrame, reps: DataFrame, percent: int, s
 
 
 def bounded(a: str, b: str, percent: int):
-    """SQL: by their sizes and bitmaps, the sets may link. They differ in at most (100 - p) / (100 + p) of their summed sizes."""
+    """SQL: by their sizes, the token's places and the bitmaps, the sets may link, if this is the first token that both hold.
+
+    Then neither set has more in common with the other than what it holds from this place on. Linked sets differ in at
+    most (100 - p) / (100 + p) of their summed sizes.
+    """
+    places = f"{100 + percent} * least({a}.n - {a}.place, {b}.n - {b}.place) >= {percent} * ({a}.n + {b}.n)"
     bits = " + ".join(f"bit_count({a}.bits[{k}] ^ {b}.bits[{k}])" for k in range(WORDS))
-    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {100 + percent} * ({bits}) <= {100 - percent} * ({a}.n + {b}.n)"
+    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {places} and {100 + percent} * ({bits}) <= {100 - percent} * ({a}.n + {b}.n)"
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,10 +276,12 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
 
     1. The census drops documents of which too many shingles are theirs alone.
     2. Candidates with equal sets become one class.
-    3. Each class and the smallest class with the same prefix token are held against each other; that joins large groups
-       of near copies without their pairs.
-    4. Classes that share a prefix token and are not joined yet meet in tiles of a token and a size band; bit counts of
-       the bitmaps bound the overlap, and what passes is held against each other exactly.
+    3. In each of HUBS rounds, of the classes with the same prefix token one is the hub, the same for most tokens of a
+       group, and the others that are not joined to it yet are held against it; that joins large groups of near copies
+       without their pairs.
+    4. Classes that share a prefix token and are not joined yet meet in tiles of a token and a size band; the token's
+       places in both sets and bit counts of the bitmaps bound the overlap, and what passes is held against each other
+       exactly.
 
     Null and empty texts, and texts of white space, have no shingles and stand alone. Rows with a null id are
     dropped, repeated ids give repeated rows with one component. Ties (equal sets) are one component. Columns besides id and text are ignored.
@@ -289,12 +299,21 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     scratch.drop("sets")
     wide = scratch.write(wide_bitmaps(reps), "wide")
     tokens = scratch.write(prefixes(reps, percent), "tokens")
-    hub = tokens.groupBy("token").agg(F.min(F.struct("id", "n", "bits")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", "h.*")
-    pairs = tokens.alias("t").join(hub.alias("h"), F.expr("t.token = h.token and t.id <> h.id and " + bounded("t", "h", percent)))
-    links = verified(pairs.select(F.col("h.id").alias("a"), F.col("t.id").alias("b")).distinct(), wide, reps, percent, scratch, "hub")
-    joined = C.components(spark, links, scratch, "hub")
-
-    labelled = tokens.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    links = joined = None
+    for r in range(HUBS):
+        labelled = tokens.withColumn("component", F.col("id")) if joined is None else tokens.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+        labelled = scratch.write(labelled.join(mixed, "token", "left_semi"), f"mixed{r}")
+        hub = labelled.groupBy("token").agg(F.min_by(F.struct("id", "place", "n", "bits", "component"), F.struct(F.xxhash64("id", F.lit(r)), "id")).alias("h")).select("token", "h.*")
+        pairs = labelled.alias("t").join(hub.alias("h"), F.expr("t.token = h.token and t.component <> h.component and " + bounded("t", "h", percent)))
+        pairs = pairs.select(F.least("h.id", "t.id").alias("a"), F.greatest("h.id", "t.id").alias("b")).distinct()
+        new = verified(pairs, wide, reps, percent, scratch, f"hub{r}")
+        scratch.drop(f"mixed{r}")
+        links = new if links is None else links.unionByName(new)
+        if new.isEmpty():
+            break
+        joined = C.components(spark, links, scratch, f"hub{r}")
+    labelled = tokens.withColumn("component", F.col("id")) if joined is None else tokens.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     labelled = scratch.write(labelled.join(mixed, "token", "left_semi"), "mixed")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
