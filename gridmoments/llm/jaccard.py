@@ -16,6 +16,8 @@ from . import common as C
 WORDS, WIDE = 8, 64
 #: Rounds in which each set is held to one other of each prefix token, before those that are not joined meet in tiles.
 HUBS = 3
+#: Smallest prefix tokens of a set that each of its rows in a tile carries, to know a pair that has met before.
+FIRST = 8
 #: Of 256: share of all shingles, chosen by hash, that the census counts.
 CENSUS = 256
 _STEP = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -195,7 +197,7 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def prefixes(reps: DataFrame, percent: int) -> DataFrame:
-    """(token, place, id, n, bits): of each set the smallest hashes, so many that linked sets have one in common, with their places from 0 and the set's bitmap."""
+    """(token, place, id, n, bits, first): of each set the smallest hashes, so many that linked sets have one in common, with their places from 0, the set's bitmap and its FIRST smallest tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,11 +209,14 @@ def prefixes(reps: DataFrame, percent: int) -> DataFrame:
             at = np.repeat(bounds[:-1], k) + place
             bits = np.stack([bitmap(value[bounds[i] : bounds[i + 1]]) for i in range(len(n))]) if len(n) else np.zeros((0, WORDS), np.int64)
             bits = pa.FixedSizeListArray.from_arrays(pa.array(np.repeat(bits, k, axis=0).ravel()), WORDS).cast(pa.list_(pa.int64()))
+            token = value.view(np.int64)[at]
+            cut = np.append(0, np.cumsum(np.minimum(k, FIRST))).astype(np.int32)
+            first = pa.ListArray.from_arrays(pa.array(cut), pa.array(token[place < FIRST])).take(pa.array(np.repeat(np.arange(len(n)), k)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(value.view(np.int64)[at]), pa.array(place), pa.array(np.repeat(ids(batch), k)), pa.array(np.repeat(n, k)), bits], ["token", "place", "id", "n", "bits"]
+                [pa.array(token), pa.array(place), pa.array(np.repeat(ids(batch), k)), pa.array(np.repeat(n, k)), bits, first], ["token", "place", "id", "n", "bits", "first"]
             )
 
-    return reps.select("id", "items").mapInArrow(run, "token long, place long, id long, n long, bits array<long>")
+    return reps.select("id", "items").mapInArrow(run, "token long, place long, id long, n long, bits array<long>, first array<long>")
 
 
 def wide_bitmaps(reps: DataFrame) -> DataFrame:
@@ -268,6 +273,15 @@ def bounded(a: str, b: str, percent: int):
     return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {places} and {100 + percent} * ({bits}) <= {100 - percent} * ({a}.n + {b}.n)"
 
 
+def unmet(a: str, b: str) -> str:
+    """SQL: no token before this one is among the smallest of both sets, where the pair would have met already.
+
+    The smallest tokens stand in the order of places, so the first that both have is the first token that both hold; a
+    pair without one meets at each token, as before.
+    """
+    return f"coalesce(get(array_intersect({a}.first, {b}.first), 0), {a}.token) = {a}.token"
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_same, near) of every row.
 
@@ -279,9 +293,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     3. In each of HUBS rounds, of the classes with the same prefix token one is the hub, the same for most tokens of a
        group, and the others that are not joined to it yet are held against it; that joins large groups of near copies
        without their pairs.
-    4. Classes that share a prefix token and are not joined yet meet in tiles of a token and a size band; the token's
-       places in both sets and bit counts of the bitmaps bound the overlap, and what passes is held against each other
-       exactly.
+    4. Classes that share a prefix token and are not joined yet meet in tiles of a token and a size band, a pair only at
+       the first token that the smallest of both have in common; the token's places in both sets and bit counts of the
+       bitmaps bound the overlap, and what passes is held against each other exactly.
 
     Null and empty texts, and texts of white space, have no shingles and stand alone. Rows with a null id are
     dropped, repeated ids give repeated rows with one component. Ties (equal sets) are one component. Columns besides id and text are ignored.
@@ -301,7 +315,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     tokens = scratch.write(prefixes(reps, percent), "tokens")
     links = joined = None
     for r in range(HUBS):
-        labelled = tokens.withColumn("component", F.col("id")) if joined is None else tokens.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        labelled = tokens.drop("first")
+        labelled = labelled.withColumn("component", F.col("id")) if joined is None else labelled.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
         labelled = scratch.write(labelled.join(mixed, "token", "left_semi"), f"mixed{r}")
         hub = labelled.groupBy("token").agg(F.min_by(F.struct("id", "place", "n", "bits", "component"), F.struct(F.xxhash64("id", F.lit(r)), "id")).alias("h")).select("token", "h.*")
@@ -319,7 +334,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
     left = labelled.withColumn("band", band)
     right = labelled.withColumn("band", F.explode(F.array(band - 1, band)))  # to its own band and to that of the smaller sets
-    on = "l.token = r.token and l.band = r.band and (l.n < r.n or l.n = r.n and l.id < r.id) and l.component <> r.component and " + bounded("l", "r", percent)
+    on = "l.token = r.token and l.band = r.band and (l.n < r.n or l.n = r.n and l.id < r.id) and l.component <> r.component and " + bounded("l", "r", percent) + " and " + unmet("l", "r")
     pairs = left.alias("l").join(right.alias("r"), F.expr(on)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     more = verified(pairs, wide, reps, percent, scratch, "tile")
     all_links = links.unionByName(more)
