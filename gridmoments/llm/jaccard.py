@@ -273,6 +273,12 @@ def bounded(a: str, b: str, percent: int):
     return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {places} and {100 + percent} * ({bits}) <= {100 - percent} * ({a}.n + {b}.n)"
 
 
+def central(tokens: DataFrame) -> DataFrame:
+    """(id, score) of each set: how many sets have its prefix tokens, on average. The text that near copies were made from shares most."""
+    count = tokens.groupBy("token").agg(F.count("*").alias("c"))
+    return tokens.select("token", "id").join(count.hint("merge"), "token").groupBy("id").agg(F.avg("c").alias("score"))
+
+
 def unmet(a: str, b: str) -> str:
     """SQL: no token before this one is among the smallest of both sets, where the pair would have met already.
 
@@ -291,8 +297,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     1. The census drops documents of which too many shingles are theirs alone.
     2. Candidates with equal sets become one class.
     3. In each of HUBS rounds, of the classes with the same prefix token one is the hub, the same for most tokens of a
-       group, and the others that are not joined to it yet are held against it; that joins large groups of near copies
-       without their pairs.
+       group: first the one whose tokens the most sets have, then others that come close to it. Those that are not
+       joined to it yet are held against it; that joins large groups of near copies without their pairs.
     4. Classes that share a prefix token and are not joined yet meet in tiles of a token and a size band, a pair only at
        the first token that the smallest of both have in common; the token's places in both sets and bit counts of the
        bitmaps bound the overlap, and what passes is held against each other exactly.
@@ -313,13 +319,15 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     scratch.drop("sets")
     wide = scratch.write(wide_bitmaps(reps), "wide")
     tokens = scratch.write(prefixes(reps, percent), "tokens")
+    score = scratch.write(central(tokens), "score")
     links = joined = None
     for r in range(HUBS):
-        labelled = tokens.drop("first")
+        labelled = tokens.drop("first").join(score.hint("merge"), "id")
         labelled = labelled.withColumn("component", F.col("id")) if joined is None else labelled.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
         labelled = scratch.write(labelled.join(mixed, "token", "left_semi"), f"mixed{r}")
-        hub = labelled.groupBy("token").agg(F.min_by(F.struct("id", "place", "n", "bits", "component"), F.struct(F.xxhash64("id", F.lit(r)), "id")).alias("h")).select("token", "h.*")
+        rank = F.col("score") * (1 - r / 2000 * F.pmod(F.xxhash64("id", F.lit(r)), F.lit(100)))
+        hub = labelled.groupBy("token").agg(F.max_by(F.struct("id", "place", "n", "bits", "component"), F.struct(rank, "id")).alias("h")).select("token", "h.*")
         pairs = labelled.alias("t").join(hub.alias("h"), F.expr("t.token = h.token and t.component <> h.component and " + bounded("t", "h", percent)))
         pairs = pairs.select(F.least("h.id", "t.id").alias("a"), F.greatest("h.id", "t.id").alias("b")).distinct()
         new = verified(pairs, wide, reps, percent, scratch, f"hub{r}")
