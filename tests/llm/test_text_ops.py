@@ -71,6 +71,29 @@ def test_jaccard_against_brute_force(spark):
     assert len(set(want.values())) < len(want) - 5
 
 
+@pytest.mark.parametrize("first", [1, 8])
+def test_jaccard_of_near_copies_of_one_text(spark, monkeypatch, first):
+    """Links of chains of copies survive one round of hubs and tiles where a pair meets at its first common token."""
+    monkeypatch.setattr(jaccard, "HUBS", 1)
+    monkeypatch.setattr(jaccard, "FIRST", first)
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(400)}" for _ in range(150)]
+    texts = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rnd.randint(0, 12)):
+            w[rnd.randrange(len(w))] = f"v{rnd.randrange(30)}"
+        texts.append((i, " ".join(w)))
+    for i in range(90, 120):  # each step lies farther from the base than the one before
+        w = texts[-1][1].split() if i > 90 else list(base)
+        w[rnd.randrange(len(w))] = f"z{i}"
+        texts.append((i, " ".join(w)))
+    s = sets(texts, 5)
+    want = linked(s, 80)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(documents(spark, texts), words=5, percent=80).collect()}
+    assert got == want and 1 < len(set(want.values())) < 100
+
+
 @pytest.mark.parametrize("bits", [6, 9, 14])
 def test_census_at_any_number_of_buckets(spark, monkeypatch, bits):
     """The same result, and what a bucket returns grows with the shingles alone."""
