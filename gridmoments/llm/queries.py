@@ -85,9 +85,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op11_sketch_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .windows import digest_rows
+
+    return digest_rows(table(spark, sf_dir, "documents"), words=13)
+
+
+def op12_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256).withColumnRenamed("id", "vec_id")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is moved by one, as if wrong."""
+    from .mining import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), every=50, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pivot_topk, op2_suffix_dedup, op3_license_scan, op4_ngram_jaccard, op5_warc_normalise, op6_embedding_descent, op7_weak_quality, op8_vector_packing, op9_piece_encoding, op10_toxicity)
+    for f in (op1_pivot_topk, op2_suffix_dedup, op3_license_scan, op4_ngram_jaccard, op5_warc_normalise, op6_embedding_descent, op7_weak_quality, op8_vector_packing, op9_piece_encoding, op10_toxicity, op11_sketch_substrings, op12_jacobi_whitening, op13_hard_negatives)
 }
 
-ORACLES: dict[str, str] = {"op1_pivot_topk": oracles.TOP_K, "op4_ngram_jaccard": oracles.JACCARD, "op5_warc_normalise": oracles.ARCHIVES, "op6_embedding_descent": oracles.NEAR_VECTORS}
+ORACLES: dict[str, str] = {
+    "op1_pivot_topk": oracles.TOP_K, "op4_ngram_jaccard": oracles.JACCARD, "op5_warc_normalise": oracles.ARCHIVES, "op6_embedding_descent": oracles.NEAR_VECTORS, "op11_sketch_substrings": oracles.WINDOWS, "op13_hard_negatives": oracles.NEGATIVES,
+}

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import binaries, flat
 
 
 def rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -29,4 +36,26 @@ def matrix(values: np.ndarray, bounds: np.ndarray, rows: np.ndarray, width: int)
     return out
 
 
-import pyarrow.compute  # noqa: E402,F401  (pa.compute)
+def whole_numbers(vectors: DataFrame, scale: int, width: int, limit: int, carry: dict[str, str]) -> DataFrame:
+    """Rows (row, the carried columns, x, most) of the valid vectors of a column v: x holds floor(scale * component) as 64-bit integers, most the largest of -x - 1 and x.
+
+    carry: names and types of other columns. Shorter vectors end in zeros, and values beyond limit or -limit count as these.
+    `row` tells the rows apart; it follows the partitions, so the result is to be written before it is used twice.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            valid, values, bounds = rows_of(batch.column("v"))
+            at = np.flatnonzero(valid)
+            x = np.clip(np.floor(scale * matrix(values, bounds, at, width)), -limit, limit).astype(np.int64)
+            who = pa.array(at, pa.int64())
+            most = np.where(x < 0, -x - 1, x).max(1, initial=0)
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(who), *(batch.column(c).take(who) for c in carry), binaries(x.ravel(), np.arange(len(at) + 1) * width), pa.array(most)], ["row", *carry, "x", "most"])
+
+    form = ", ".join(["row long", *(f"{c} {kind}" for c, kind in carry.items()), "x binary", "most long"])
+    return vectors.where("v is not null").withColumn("row", F.monotonically_increasing_id()).select("row", *carry, "v").mapInArrow(run, form)
+
+
+def unpacked(column: pa.Array, width: int) -> np.ndarray:
+    """The integer vectors of a column x as rows."""
+    return flat(column)[0].view(np.int64).reshape(len(column), width)
