@@ -5,8 +5,6 @@ Doubles are rounded to a few digits on both sides, since engines add in differen
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schedules as S
+from .. import shared
 from ..functions import physics as P
 from ..operators import analysis as A
 from ..operators import block as B
@@ -438,6 +437,18 @@ def group_median_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.group_reduce_many(items(spark, sf_dir), ["l_linenumber"], ["l_extendedprice", "l_quantity"])
 
 
+def trimmed_mean(values):
+    """Mean of the values between the tenth and the ninetieth percentile: a reducer that is no function of columns."""
+    lo, hi = np.quantile(values, [0.1, 0.9])
+    return values[(values >= lo) & (values <= hi)].mean()
+
+
+@query("""WITH s AS (SELECT l_returnflag, l_linenumber, sqrt(l_extendedprice) AS x FROM lineitem), l AS (SELECT l_returnflag, l_linenumber, quantile_cont(x, 0.1) AS lo, quantile_cont(x, 0.9) AS hi FROM s GROUP BY ALL)
+SELECT l_returnflag, l_linenumber, """ + r("avg(x)", "root", 6) + " FROM s JOIN l USING (l_returnflag, l_linenumber) WHERE x BETWEEN lo AND hi GROUP BY ALL")
+def group_trimmed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.group_reduce(roots(spark, sf_dir), ["l_returnflag", "l_linenumber"], "root", trimmed_mean, "root"), ["root"], 6)
+
+
 @query("""WITH b AS (SELECT l_linenumber AS x, CAST(l_quantity AS BIGINT) AS y, CASE WHEN (l_linenumber + l_quantity) % 5 < 4 THEN l_extendedprice END AS v FROM lineitem),
 c AS (SELECT x, y, median(v) AS value, count(*) AS n FROM b GROUP BY ALL), g AS (SELECT * FROM (SELECT DISTINCT x FROM b), (SELECT DISTINCT y FROM b))
 SELECT y, x, """ + r("coalesce(value, -1)", "value", 4) + ", coalesce(n, 0) AS n FROM g LEFT JOIN c USING (x, y)")
@@ -459,7 +470,7 @@ def quantile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_linenumber, " + r("quantile_cont(sqrt(l_extendedprice), 0.005)", "lo", 4) + ", " + r("quantile_cont(sqrt(l_extendedprice), 0.995)", "hi", 4) + " FROM lineitem GROUP BY ALL")
 def robust_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(roots(spark, sf_dir).groupBy("l_linenumber").agg(A.robust_limits("root").alias("l")).select("l_linenumber", "l.lo", "l.hi"), ["lo", "hi"], 4)
+    return rounded(A.robust_limits(roots(spark, sf_dir), ["l_linenumber"], "root").drop("rows"), ["lo", "hi"], 4)
 
 
 @query("SELECT l_linenumber, " + r("greatest(quantile_cont(sqrt(l_extendedprice), 0.05) - 20.0, 40.0)", "lo", 4) + ", " + r("quantile_cont(sqrt(l_extendedprice), 0.95) + 10.0", "hi", 4) + " FROM lineitem GROUP BY ALL")
@@ -525,18 +536,10 @@ def distinct_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Loading
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share, for files that a query writes and reads again."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{root.rstrip('/') if root else 'file://' + tempfile.gettempdir()}/gridmoments-{name}-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {RAW_SQL} SELECT timestep, i, j, k, {r('CAST(q_c AS FLOAT)', 'q_c', 6)} FROM raw WHERE timestep = 1 AND k IN (4, 5, 16)")
 def scan_slab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One time step's levels out of a grid store, whose arrays are written here first (a grid of fixed size)."""
-    path = _folder(spark, "store").removeprefix("file://")
+    path = shared.folder(spark, "store").removeprefix("file://")
     rows = np.array(raw_voxels(spark, sf_dir).select("timestep", "i", "j", "k", "q_c", "ta").collect())
     at = tuple(rows[:, k].astype(int) for k in range(4))
     for k, name in ((4, "q_c"), (5, "ta")):
@@ -551,7 +554,7 @@ def scan_slab(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {RAW_SQL} SELECT {r('CAST(var_pop(hus) AS FLOAT)', 'var_qt', 4)}, {r('CAST(covar_pop(hus, wa) AS FLOAT)', 'cov_qt_w', 4)}, CAST(100 * timestep AS DOUBLE) AS resolution_h, CAST(k AS DOUBLE) AS resolution_z FROM raw GROUP BY timestep, k""")
 def load_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of moments is written, and read through the operator without its other columns."""
-    path = _folder(spark, "moments")
+    path = shared.folder(spark, "moments")
     by = raw_voxels(spark, sf_dir).groupBy("timestep", "k").agg(F.avg("hus").alias("qt"), F.var_pop("hus").cast("float").alias("var_qt"), F.covar_pop("hus", "wa").cast("float").alias("cov_qt_w"))
     by.select("qt", "var_qt", "cov_qt_w", (F.col("timestep") * 100).cast("double").alias("resolution_h"), F.col("k").cast("double").alias("resolution_z")).write.parquet(path)
     df, moments = tables.load_moments(spark, path)
@@ -597,7 +600,7 @@ def manifest_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT CAST(n_nationkey AS VARCHAR) || '|1|amip' AS "key", CASE WHEN n_nationkey % 3 = 0 THEN 'done' ELSE 'cloudfree' END AS status, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 10 * n_regionkey + 2 ELSE 0 END AS BIGINT) AS rows, CAST(73 AS BIGINT) AS timesteps FROM nation""")
 def manifest_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three appends; the last record of a case counts."""
-    path = _folder(spark, "manifest")
+    path = shared.folder(spark, "manifest")
     cases = sorted(tuple(r) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect())
     manifest.append(spark, path, [(n, 1, "amip", "cloudfree", 0, 73) for n, _ in cases])
     manifest.append(spark, path, [(n, 1, "amip", "done", 10 * g + 1, 73) for n, g in cases if n % 3 == 0])

@@ -153,11 +153,11 @@ def test_physics(spark):
 
 def test_analysis(spark):
     df = spark.createDataFrame([(float(k), float(k % 3), "a") for k in range(100)] + [(float("nan"), 1.0, "a"), (None, 2.0, "a")], "x double, y double, g string")
-    one = df.agg(A.robust_limits("x").alias("l"), A.is_constant("x").alias("c")).first()
-    assert (one["l"]["lo"], one["l"]["hi"]) == pytest.approx((0.495, 98.505)) and not one["c"]
-    empty = df.where("false").agg(A.robust_limits("x").alias("l"), A.is_constant("x").alias("c")).first()
-    assert (empty["l"]["lo"], empty["l"]["hi"], empty["c"]) == (0, 1, True)
-    same = spark.createDataFrame([(5.0,)] * 3, "x double").agg(A.robust_limits("x").alias("l")).first()["l"]
+    one = A.robust_limits(df, [], "x").first()
+    assert (one["lo"], one["hi"]) == pytest.approx((0.495, 98.505)) and not df.agg(A.is_constant("x").alias("c")).first()["c"]
+    empty = A.robust_limits(df.where("false"), [], "x").first()
+    assert (empty["lo"], empty["hi"], df.where("false").agg(A.is_constant("x").alias("c")).first()["c"]) == (0, 1, True)
+    same = A.robust_limits(spark.createDataFrame([(5.0,)] * 3, "x double"), [], "x").first()
     assert (same["lo"], same["hi"]) == (4.5, 5.5)
     assert A.quantile_summary(df, ["g"], "x").columns == ["g", "q10", "q50", "q90"]
     bins = A.binned_median(df, "x", "y", 10).collect()
