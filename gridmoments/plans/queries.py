@@ -261,18 +261,22 @@ def multiscale_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(builder.coarsen_chunk(voxels(spark, sf_dir), GEOMETRY, OPTIONS.having(coarsening_mode="block")))
 
 
-def _windows(sizes: str, name: str) -> str:
+def _windows(sizes: str, name: str, levels: str = "st") -> str:
     return f"""{name} AS (SELECT timestep, fx, fz, a.s AS ic, b.s AS jc, d.s AS kc, {', '.join(_moments_sql())} FROM vox, ({sizes}) w,
-(SELECT n, w, s FROM st) a, (SELECT n, w, s FROM st) b, (SELECT n, w, s FROM st) d
+(SELECT n, w, s FROM st) a, (SELECT n, w, s FROM st) b, (SELECT n, w, s FROM {levels}) d
 WHERE a.n = 12 AND a.w = fx AND b.n = 12 AND b.w = fx AND d.n = 25 AND d.w = fz AND i >= a.s AND i < a.s + fx AND j >= b.s AND j < b.s + fx AND k >= d.s AND k < d.s + fz GROUP BY ALL)"""
 
 
 _STARTS = "st AS (SELECT DISTINCT n, w, s FROM (SELECT n, w, unnest([0, n - w]) AS s FROM (VALUES (12), (25)) a(n), range(1, 13) b(w)) WHERE s >= 0)"
 
 
-@query(_emit_sql(f"WITH {VOX_SQL}, {_STARTS}, {_windows('SELECT fx, fz FROM (SELECT unnest([2, 3, 4, 5, 6, 8, 9, 10, 11, 12]) AS fx), range(1, 5) q(fz)', 'c')}"))
+_FOUR = "sz AS (SELECT DISTINCT n, w, i * (n - w) // 3 AS s FROM (SELECT 25 AS n), range(1, 13) b(w), range(4) x(i))"
+
+
+@query(_emit_sql(f"WITH {VOX_SQL}, {_STARTS}, {_FOUR}, {_windows('SELECT fx, fz FROM (SELECT unnest([2, 3, 4, 5, 6, 8, 9, 10, 11, 12]) AS fx), range(1, 5) q(fz)', 'c', 'sz')}"))
 def multiscale_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(builder.coarsen_chunk(voxels(spark, sf_dir), GEOMETRY, OPTIONS.having(coarsening_mode="sliding")))
+    """Windows of ten sizes at both ends of the domain and at four heights, of which two meet cloud."""
+    return _out(builder.coarsen_chunk(voxels(spark, sf_dir), GEOMETRY, OPTIONS.having(coarsening_mode="sliding", outputs_z=4)))
 
 
 @query(_emit_sql(f"""WITH {VOX_SQL}, {_STARTS}, {_windows('SELECT 7 AS fx, 5 AS fz', 'sl')}, h AS (SELECT unnest([4, 8, 12]) AS fx), z AS (SELECT unnest([2, 4, 6]) AS fz),
