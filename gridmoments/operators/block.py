@@ -93,18 +93,30 @@ def blocks(voxels: DataFrame, triples: list[Triple], nx: int, ny: int, nz: Colum
     Two aggregations, no join: voxels meet the few sizes from which all others can be merged (seeds_of), one level deep;
     these blocks meet the scales that they are part of. With `deepest`, a column, scales of more levels do not count.
     """
-    nz = nz if isinstance(nz, Column) else F.lit(nz)
     of = seeds_of(sorted({t[:2] for t in triples}))
     seeds = F.array(*(F.struct(F.lit(a).alias("sx"), F.lit(b).alias("sy")) for a, b in sorted(set(of.values()))))
-    fits = F.filter(seeds, lambda s: (F.col("i") < nx - F.lit(nx) % s.sx) & (F.col("j") < ny - F.lit(ny) % s.sy))
+    table = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("fx", "fy", "fz", "ax", "ay"), (*t, *of[t[:2]])))) for t in triples))
+    return merged_blocks(base_blocks(voxels, seeds, F.lit(nx), F.lit(ny), keys, k), table, F.lit(nx), F.lit(ny), nz if isinstance(nz, Column) else F.lit(nz), keys, deepest)
+
+
+#: The forms of a size that others are merged from, and of a scale with the size that it is merged from, in columns.
+SEED, SCALE = "struct<sx: int, sy: int>", "struct<fx: int, fy: int, fz: int, ax: int, ay: int>"
+
+
+def base_blocks(voxels: DataFrame, seeds: Column, nx: Column, ny: Column, keys: Keys, k: str = "k") -> DataFrame:
+    """(keys, sx, sy, ib, jb, kb, parts) of the blocks, one level deep, of each size of an array column of SEED."""
+    fits = F.filter(seeds, lambda s: (F.col("i") < nx - nx % s.sx) & (F.col("j") < ny - ny % s.sy))
     held = [c for c in voxels.columns if c not in keys and c not in ("i", "j", k)]
     whole_ = voxels.select(*keys, "i", "j", k, *(F.coalesce(col(c), F.lit(float("nan"))).alias(c) for c in held if c in FIELDS), F.explode(fits).alias("s"))
     place = [F.floor(F.col(a) / F.col(f"s.{f}")).cast("int").alias(n) for a, f, n in (("i", "sx", "ib"), ("j", "sy", "jb"))]
-    base = whole_.groupBy(*keys, F.col("s.sx").alias("sx"), F.col("s.sy").alias("sy"), *place, F.col(k).alias("kb")).agg(*parts_of(whole_))
-    table = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("fx", "fy", "fz", "ax", "ay"), (*t, *of[t[:2]])))) for t in triples))
+    return whole_.groupBy(*keys, F.col("s.sx").alias("sx"), F.col("s.sy").alias("sy"), *place, F.col(k).alias("kb")).agg(*parts_of(whole_))
+
+
+def merged_blocks(base: DataFrame, scales: Column, nx: Column, ny: Column, nz: Column, keys: Keys, deepest: Column | None = None) -> DataFrame:
+    """Blocks of every scale of an array column of SCALE from those of base_blocks()."""
     fits = F.filter(
-        table,
-        lambda t: (t.ax == F.col("sx")) & (t.ay == F.col("sy")) & (F.col("ib") * t.ax < nx - F.lit(nx) % t.fx) & (F.col("jb") * t.ay < ny - F.lit(ny) % t.fy) & (F.col("kb") < nz - nz % t.fz)
+        scales,
+        lambda t: (t.ax == F.col("sx")) & (t.ay == F.col("sy")) & (F.col("ib") * t.ax < nx - nx % t.fx) & (F.col("jb") * t.ay < ny - ny % t.fy) & (F.col("kb") < nz - nz % t.fz)
         & (F.lit(True) if deepest is None else t.fz <= deepest),
     )
     cells = base.withColumn("t", F.explode(fits))

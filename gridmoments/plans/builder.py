@@ -46,12 +46,17 @@ def table(cells: DataFrame, geometry: Geometry, first_level: Column | int = 0, w
     start = F.col("kc") if window else F.col("kc") * F.col("fz")
     first = first_level if isinstance(first_level, Column) else F.lit(first_level)
     thick = F.aggregate(F.slice(dz, (first + start + 1).cast("int"), F.col("fz")), F.lit(0.0), lambda a, z: a + z)
+    return output(cells, thick, F.lit(geometry.dx), F.lit(geometry.domain))
+
+
+def output(cells: DataFrame, thick: Column, dx: Column, domain: Column) -> DataFrame:
+    """The 36 output columns of cells, with the thickness of their levels, the width of a voxel and that of the domain."""
     have = set(cells.columns)
     out = cells.select(
         *(F.col(c).cast("float").alias(c) for c in DIAGNOSTICS),
         (F.col("q_liq").cast("float") + F.col("q_ice").cast("float")).alias("q_con"),
-        (F.greatest("fx", "fy").cast("float") * F.lit(geometry.dx).cast("float")).alias("resolution_h"),
-        F.lit(geometry.domain).cast("float").alias("domain_h"),
+        (F.greatest("fx", "fy").cast("float") * dx.cast("float")).alias("resolution_h"),
+        domain.cast("float").alias("domain_h"),
         thick.cast("float").alias("resolution_z"),
         *((F.coalesce(F.col(c), F.lit(v)) if c in have else F.lit(v)).cast(OUTPUT[c].dataType).alias(c) for c, v in METADATA.items()),
     )

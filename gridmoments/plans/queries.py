@@ -21,7 +21,7 @@ from ..operators import merge as G
 from ..operators import training as L
 from ..schema import COLUMNS, COVARIANCES, DIAGNOSTICS, FLOATS, MEAN_OF, SHORT, VARIANCES
 from ..sources import grid, library, manifest, tables
-from . import builder
+from . import builder, many
 from .fixtures import DX, GEOMETRY, MIN_H, NT, NX, NY, NZ, OPTIONS, RAW_SQL, SHARE_SQL, VOX_SQL, raw_voxels, table, voxels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -239,12 +239,12 @@ def pearson_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The table
 
 
-def _emit_sql(cells: str, extra: str = "") -> str:
+def _emit_sql(cells: str, extra: str = "", domain: int = 1100, month: int = -1) -> str:
     names = [c for c in FLOATS if c not in ("resolution_h", "domain_h", "resolution_z", "q_con")]
     q = "round(CAST(CAST(q_liq AS FLOAT) + CAST(q_ice AS FLOAT) AS DOUBLE), 5) AS q_con"
     return f"""{cells}, t AS (SELECT *, max(q_liq + q_ice) OVER (PARTITION BY timestep, fx, fz, kc{extra}) AS top FROM c)
-SELECT {', '.join(f'round(CAST(CAST({n} AS FLOAT) AS DOUBLE), 5) AS {n}' for n in names)}, {q}, CAST(fx * 100 AS DOUBLE) AS resolution_h, 1100.0::DOUBLE AS domain_h, CAST(fz * 50 AS DOUBLE) AS resolution_z,
-'unknown' AS data_source, CAST(-1 AS BIGINT) AS month, CAST(-1 AS BIGINT) AS "cfSite_number", 'unknown' AS forcing_model, 'unknown' AS experiment
+SELECT {', '.join(f'round(CAST(CAST({n} AS FLOAT) AS DOUBLE), 5) AS {n}' for n in names)}, {q}, CAST(fx * 100 AS DOUBLE) AS resolution_h, {domain}.0::DOUBLE AS domain_h, CAST(fz * 50 AS DOUBLE) AS resolution_z,
+'unknown' AS data_source, CAST({month} AS BIGINT) AS month, CAST(-1 AS BIGINT) AS "cfSite_number", 'unknown' AS forcing_model, 'unknown' AS experiment
 FROM t WHERE top > 1e-10 AND q_liq + q_ice >= 1e-10"""
 
 
@@ -286,21 +286,43 @@ def multiscale_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(builder.coarsen_chunk(voxels(spark, sf_dir), GEOMETRY, OPTIONS.having(max_dz=350.0, budget=1)))
 
 
-_LEVELS = f"{RAW_SQL}, lv AS (SELECT timestep, k, greatest(max(q_c), 0) <= 1e-10 AS empty FROM raw GROUP BY ALL)"
-_KEEP = f"{_LEVELS}, kp AS (SELECT timestep, k, bool_or(NOT empty) OVER (PARTITION BY timestep ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) OR k = min(k) OVER (PARTITION BY timestep) OR k = max(k) OVER (PARTITION BY timestep) AS keep FROM lv)"
+def _levels(raw: str) -> str:
+    return f"{raw}, lv AS (SELECT timestep, k, greatest(max(q_c), 0) <= 1e-10 AS empty FROM raw GROUP BY ALL)"
+
+
+def _keep(raw: str) -> str:
+    return f"{_levels(raw)}, kp AS (SELECT timestep, k, bool_or(NOT empty) OVER (PARTITION BY timestep ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) OR k = min(k) OVER (PARTITION BY timestep) OR k = max(k) OVER (PARTITION BY timestep) AS keep FROM lv)"
+
+
+_LEVELS, _KEEP = _levels(RAW_SQL), _keep(RAW_SQL)
 _NONEMPTY = f"{_LEVELS}, ne AS (SELECT timestep, k, k - row_number() OVER (PARTITION BY timestep ORDER BY k) AS g FROM lv WHERE NOT empty), sp AS (SELECT timestep, min(k) AS lo, max(k) AS hi FROM ne GROUP BY timestep, g)"
 
 
-@query(_emit_sql(f"""WITH {_KEEP}, isl AS (SELECT timestep, k, k - row_number() OVER (PARTITION BY timestep ORDER BY k) AS g FROM kp WHERE keep),
+def _span_table(n: int, sizes: list[int], month: int = -1) -> str:
+    """The blocks of the spans of the first n by n columns."""
+    raw = f"{RAW_SQL[:-1]} WHERE i < {n} AND j < {n})"
+    return _emit_sql(f"""WITH {_keep(raw)}, isl AS (SELECT timestep, k, k - row_number() OVER (PARTITION BY timestep ORDER BY k) AS g FROM kp WHERE keep),
 run AS (SELECT timestep, k, min(k) OVER (PARTITION BY timestep, g) AS lo, max(k) OVER (PARTITION BY timestep, g) AS hi FROM isl),
-h AS (SELECT unnest([2, 3, 4, 5, 6, 8, 9, 10, 12]) AS fx), z AS (SELECT unnest([1, 2, 3, 4]) AS fz),
+h AS (SELECT unnest({sizes}) AS fx), z AS (SELECT unnest([1, 2, 3, 4]) AS fz),
 vox AS (SELECT raw.* EXCLUDE (q_c), least(greatest((ta - 233.0) / (273.15 - 233.0), 0.0), 1.0) * q_c AS clw, (1 - least(greatest((ta - 233.0) / (273.15 - 233.0), 0.0), 1.0)) * q_c AS cli, lo, hi FROM raw JOIN run USING (timestep, k)),
 c AS (SELECT timestep, lo, fx, fz, i // fx AS ic, j // fx AS jc, (k - lo) // fz AS kc, {', '.join(_moments_sql())} FROM vox, h, z
-WHERE i < 12 - 12 % fx AND j < 12 - 12 % fx AND k - lo < hi - lo + 1 - (hi - lo + 1) % fz AND fz <= hi - lo + 1 GROUP BY ALL)""", ", lo"))
+WHERE i < {n} - {n} % fx AND j < {n} - {n} % fx AND k - lo < hi - lo + 1 - (hi - lo + 1) % fz AND fz <= hi - lo + 1 GROUP BY ALL)""", ", lo", 100 * (n - 1), month)
+
+
+@query(_span_table(12, [2, 3, 4, 5, 6, 8, 9, 10, 12]))
 def span_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(builder.build_table(raw_voxels(spark, sf_dir), GEOMETRY, OPTIONS))
 
 
+@query(f"SELECT * FROM ({_span_table(12, [2, 3, 4, 5, 6, 8, 9, 10, 12], 1)}) UNION ALL SELECT * FROM ({_span_table(8, [2, 3, 4, 6, 8], 7)})")
+def many_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two cases of different grids as one plan: their geometries are rows of a table."""
+    v = raw_voxels(spark, sf_dir)
+    both = v.withColumn("month", F.lit(1).cast("long")).unionByName(v.where("i < 8 and j < 8").withColumn("month", F.lit(7).cast("long")))
+    grids = [(1, *many.grid_row(GEOMETRY)), (7, *many.grid_row(builder.Geometry(8, 8, GEOMETRY.dz, DX)))]
+    return _out(many.build_many(both, spark.createDataFrame(grids, f"month long, {many.GRID}"), OPTIONS).rows)
+
+
 _RUN = f"""{_KEEP}, isl AS (SELECT timestep, k, k - row_number() OVER (PARTITION BY timestep ORDER BY k) AS g FROM kp WHERE keep),
 run AS (SELECT timestep, k, min(k) OVER (PARTITION BY timestep, g) AS lo, max(k) OVER (PARTITION BY timestep, g) AS hi FROM isl),
 vox AS (SELECT raw.* EXCLUDE (q_c), {SHARE_SQL} * q_c AS clw, (1 - {SHARE_SQL}) * q_c AS cli, lo, hi FROM raw JOIN run USING (timestep, k))"""

@@ -27,9 +27,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Removes a file or folder of any file system that Spark knows; nothing happens where there is none."""
+    """Removes a file or folder of any file system that Spark knows, named as Spark names files; nothing happens where there is none."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 

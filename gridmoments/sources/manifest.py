@@ -35,9 +35,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def append(spark: SparkSession, path: str, cases: list[tuple[int, int, str, str, int, int]]) -> None:
     """Adds (site, month, experiment, status, rows, timesteps) as a part whose name sorts behind those before."""
+    append_rows(spark.createDataFrame([(case_key(*c[:3]), *c[3:]) for c in cases], "key string, status string, rows long, timesteps long"), path)
+
+
+def append_rows(records: DataFrame, path: str) -> None:
+    """Adds rows (key, status, rows, timesteps), one for each key, from wherever they are."""
     now = datetime.now(timezone.utc)
-    lines = [("\t".join([case_key(*c[:3]), c[3], str(c[4]), str(c[5]), now.isoformat()]),) for c in cases]
-    spark.createDataFrame(lines, "value string").coalesce(1).write.mode("append").text(f"{path}/at={now:%Y%m%dT%H%M%S%f}")
+    records.select(F.concat_ws("\t", "key", "status", "rows", "timesteps", F.lit(now.isoformat())).alias("value")).write.mode("append").text(f"{path}/at={now:%Y%m%dT%H%M%S%f}")
+
+
+#: Records of cases that need no more work; others, as of a run that ended halfway, do.
+FINAL = ("done", "cloudfree")
 
 
 def pending(cases: DataFrame, done: DataFrame, keys: list[str], force: bool = False) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..options import BuildOptions
-from ..plans.builder import Geometry, build_table, split_phases, coarsen_chunk, write_table
+from ..plans.builder import Geometry, build_table, coarsen_chunk, split_phases, write_table
+from ..schema import METADATA, OUTPUT
 
 
 def ingest(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, geometry: Geometry, options: BuildOptions = BuildOptions(), spans: bool = True):
@@ -21,7 +22,8 @@ def ingest(spark: SparkSession, source: str, schema: StructType, target: str, ch
     def build(batch: DataFrame, number: int) -> None:
         rows = build_table(batch, geometry, options) if spans else coarsen_chunk(split_phases(batch) if "q_c" in batch.columns else batch, geometry, options)
         case = ["data_source", "experiment", "month", "cfSite_number"]
-        own = rows.select(*case).distinct().withColumn("batch", F.lit(number).cast("long")).persist()
+        named = (F.coalesce(F.col(c), F.lit(METADATA[c])) if c in batch.columns else F.lit(METADATA[c]) for c in case)
+        own = batch.select(*(v.cast(OUTPUT[c].dataType).alias(c) for v, c in zip(named, case))).distinct().withColumn("batch", F.lit(number).cast("long")).persist()  # from the voxels' keys, so that the build runs once
         seen = f"{checkpoint.rstrip('/')}-cases"
         own.where("false").write.mode("append").parquet(seen)  # so that the folder is there
         before = spark.read.schema(own.schema).parquet(seen).where(F.col("batch") != number)

@@ -242,25 +242,69 @@ def test_netcdf_variables(monkeypatch):
     assert store.dims == {"hus": "tzyx"} and store.chunk == 5 and grid.axes("tzyx") == (0, 3, 2, 1)
 
 
+def case_voxels(spark, cases, shape, q, *, salt=0):
+    """Voxels of cases (site, month) of one grid, with condensate q of a voxel."""
+    nx, ny, nz = shape
+    cells = spark.range(nx * ny * nz).selectExpr("0 as timestep", f"cast(id div {ny * nz} as int) as i", f"cast(id div {nz} % {ny} as int) as j", f"cast(id % {nz} as int) as k")
+    named = spark.createDataFrame(cases, "cfSite_number long, month long").withColumn("experiment", F.lit("amip"))
+    noise = lambda n: F.pmod(F.xxhash64("cfSite_number", "month", "i", "j", "k", F.lit(n + salt)), F.lit(1000)) / 1000.0
+    v = named.crossJoin(cells).select("*", *(noise(n).alias(f) for n, f in enumerate(f for f in FIELDS if f not in ("clw", "cli", "ta"))), (250 + 40 * noise(99)).alias("ta"))
+    return v.withColumn("q_c", F.expr(q) * noise(77))
+
+
 def test_cases_are_built_once(spark, tmp_path):
     from gridmoments.plans.cases import build_cases, row_counts
+    from gridmoments.plans.many import GRID, grid_row
 
-    calls = []
+    calls, cloud = [], {1: 0.002, 2: 0.0}
 
-    def load(spark, case):
-        calls.append((case["site"], case["month"]))
-        cloud = 0.002 if case["site"] == 1 else 0.0
-        return voxels(spark, (4, 4, 4), ta=280, clw=cloud).withColumnRenamed("clw", "q_c").drop("cli"), Geometry(4, 4, (1.0,) * 4, 100.0)
+    def load(spark, cases):
+        own = sorted((r["site"], r["month"]) for r in cases.collect())
+        calls.append(own)
+        v = case_voxels(spark, own, (4, 4, 4), f"case when cfSite_number = 1 then {cloud[1]} else {cloud[2]} end")
+        g = spark.createDataFrame([(s, m, "amip", *grid_row(Geometry(4, 4, (1.0,) * 4, 100.0))) for s, m in own], f"cfSite_number long, month long, experiment string, {GRID}")
+        return v, g
 
+    told = lambda df: {r["key"]: (r["status"], r["rows"], r["timesteps"]) for r in df.collect()}
     cases = manifest.expand_cases(spark, [1, 2], [1], ["amip"])
-    table, record = str(tmp_path / "table"), str(tmp_path / "record")
-    first = build_cases(spark, cases, load, table, record)
-    assert first["1|1|amip"] > 0 and first["2|1|amip"] == 0 and calls == [(1, 1), (2, 1)]
-    got = {r["key"]: (r["status"], r["rows"], r["timesteps"]) for r in manifest.read(spark, record).collect()}
-    assert got == {"1|1|amip": ("done", first["1|1|amip"], 1), "2|1|amip": ("cloudfree", 0, 1)}
-    assert build_cases(spark, cases, load, table, record) == {}
-    assert build_cases(spark, cases.where("site = 1"), load, table, record, force=True) == {"1|1|amip": first["1|1|amip"]}
-    assert [tuple(r) for r in row_counts(spark, table).collect()] == [("unknown", "amip", 1, 1, first["1|1|amip"])]
+    table, record = str(tmp_path / "a table"), str(tmp_path / "record")
+    first = told(build_cases(spark, cases, load, table, record))
+    rows = first["1|1|amip"][1]
+    assert rows > 0 and first == {"1|1|amip": ("done", rows, 1), "2|1|amip": ("cloudfree", 0, 1)} and calls == [[(1, 1), (2, 1)]]
+    assert told(manifest.read(spark, record)) == first
+    assert told(build_cases(spark, cases, load, table, record)) == {} and len(calls) == 1
+    assert told(build_cases(spark, cases.where("site = 1"), load, table, record, force=True)) == {"1|1|amip": ("done", rows, 1)}
+    assert [tuple(r) for r in row_counts(spark, table).collect()] == [("unknown", "amip", 1, 1, rows)]
+    cloud.update({1: 0.0, 2: 0.002})  # the cloud has moved: nothing of the first site stays
+    again = told(build_cases(spark, cases, load, table, record, force=True))
+    assert again["1|1|amip"] == ("cloudfree", 0, 1) and again["2|1|amip"][0] == "done"
+    assert [tuple(r)[:4] for r in row_counts(spark, table).collect()] == [("unknown", "amip", 1, 2)]
+    assert told(manifest.read(spark, record)) == again
+    manifest.append(spark, record, [(2, 1, "amip", "building", 0, 0)])  # a run that ended halfway
+    assert set(told(build_cases(spark, cases, load, table, record))) == {"2|1|amip"}
+
+
+@pytest.mark.parametrize("mode", ["block", "sliding"])
+def test_two_hundred_cases_of_two_grids_in_one_plan(spark, mode):
+    from gridmoments.plans.many import GRID, build_many, grid_row
+
+    options = BuildOptions(min_h=200, max_dz=30, coarsening_mode=mode, budget=3)
+    a, b = Geometry(4, 4, (10.0, 10.0, 10.0, 12.0, 14.0, 16.0), 100.0), Geometry(6, 5, (20.0,) * 5, 100.0, domain_h=777.0)
+    cloud = "case when cfSite_number % 5 = 0 then 0.0 when k = 1 or (k >= 3 and cfSite_number % 2 = 0) then 0.01 else 0.0 end"
+    own = {g: [(s, m) for s in range(50) for m in months] for g, months in ((a, (1, 4)), (b, (7, 10)))}
+    v = {g: case_voxels(spark, own[g], (g.nx, g.ny, g.nz), cloud) for g in (a, b)}
+    geometries = spark.createDataFrame([(s, m, "amip", *grid_row(g)) for g in (a, b) for s, m in own[g]], f"cfSite_number long, month long, experiment string, {GRID}")
+    built = build_many(v[a].unionByName(v[b]), geometries, options)
+    key = lambda r: tuple(round(x, 4) if isinstance(x, float) else x for x in r)
+    got = sorted(key(r) for r in built.rows.collect())
+    want = sorted(key(r) for g in (a, b) for r in build_table(v[g], g, options).collect())
+    assert got == want and len({(r[-4], r[-3]) for r in got}) == 160
+    assert built.steps.count() == 200
+    whole = build_many(v[a].unionByName(v[b]).where("cfSite_number < 3"), geometries, options, spans=False)
+    want = sorted(key(r) for g in (a, b) for r in coarsen_chunk(split_phases(v[g].where("cfSite_number < 3")), g, options).collect())
+    assert sorted(key(r) for r in whole.rows.collect()) == want and want
+    with pytest.raises(ValueError, match="more than one grid"):
+        build_many(v[a], geometries.unionByName(geometries.limit(1)), options)
 
 
 def test_scales_are_merged_from_few_sizes():
