@@ -20,7 +20,7 @@ from ..operators import masks as M
 from ..operators import merge as G
 from ..operators import training as L
 from ..schema import COLUMNS, COVARIANCES, DIAGNOSTICS, FLOATS, MEAN_OF, SHORT, VARIANCES
-from ..sources import grid, library, manifest, tables
+from ..sources import chunks, grid, library, manifest, tables
 from . import builder, many
 from .fixtures import DX, GEOMETRY, MIN_H, NT, NX, NY, NZ, OPTIONS, RAW_SQL, SHARE_SQL, VOX_SQL, raw_voxels, table, voxels
 
@@ -564,16 +564,11 @@ def distinct_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RAW_SQL} SELECT timestep, i, j, k, {r('CAST(q_c AS FLOAT)', 'q_c', 6)} FROM raw WHERE timestep = 1 AND k IN (4, 5, 16)")
 def scan_slab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One time step's levels out of a grid store, whose arrays are written here first (a grid of fixed size)."""
-    path = shared.folder(spark, "store").removeprefix("file://")
-    rows = np.array(raw_voxels(spark, sf_dir).select("timestep", "i", "j", "k", "q_c", "ta").collect())
-    at = tuple(rows[:, k].astype(int) for k in range(4))
-    for k, name in ((4, "q_c"), (5, "ta")):
-        field = np.zeros((NT, NX, NY, NZ), np.float32)
-        field[at] = rows[:, k]
-        grid.save(path, name, field.transpose(3, 2, 1, 0), "zyxt", 8)
+    """One time step's levels out of a chunked store, whose files the executors write here first."""
+    path = shared.folder(spark, "store")
+    chunks.write_store(raw_voxels(spark, sf_dir), path, ["q_c", "ta"], {"t": NT, "x": NX, "y": NY, "z": NZ}, {"t": 1, "x": 8, "y": NY, "z": 5}, "zyxt")
     grid.register(spark)
-    df = spark.read.format("les_grid").option("path", path).option("kind", "npy").option("fields", "q_c").load()
+    df = spark.read.format("les_grid").option("path", path).option("kind", "zarr").option("fields", "q_c").load()
     return rounded(df.where("timestep = 1 and k in (4, 5, 16)").select("timestep", "i", "j", "k", "q_c"), ["q_c"], 6)
 
 

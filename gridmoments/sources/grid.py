@@ -1,8 +1,9 @@
 """A data source of chunked grid stores: each field an array of (t, x, y, z), read by time step and chunk of levels.
 
 The store is any Python object that `opener(path)` returns with `fields` (name -> array-like of four dimensions, of which
-a slice is read alone), `dims` (name -> the order of its axes) and `chunk`. Folders of .npy files and .npz archives are
-built in; Zarr and NetCDF files need the libraries that read them.
+a slice is read alone), `dims` (name -> the order of its axes), `chunk` (levels) and, where chunks span several time steps,
+`times`. Zarr stores (see chunks.py), folders of .npy files and .npz archives are built in; NetCDF-4 files need the library
+that reads them.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..schema import METADATA
+from .chunks import ChunkStore
 
 ORDER = "txyz"
 
@@ -77,19 +79,13 @@ def _store(fields: dict, names: Callable[[object], list[str]], chunks: Callable[
     return SimpleNamespace(fields=fields, dims=dims, chunk=max(levels, default=0))
 
 
-def zarr_store(path: str) -> SimpleNamespace:
-    """The four-dimensional arrays of a Zarr group, if that library is there; axes are known by their names' first letters."""
-    group = importlib.import_module("zarr").open_group(path, mode="r")
-    return _store({k: group[k] for k in group.array_keys() if len(group[k].shape) == 4}, lambda a: a.attrs.get("_ARRAY_DIMENSIONS", ORDER), lambda a: a.chunks)
-
-
 def netcdf_store(path: str) -> SimpleNamespace:
-    """The same of a NetCDF file's variables, if that library is there."""
+    """The four-dimensional variables of a NetCDF file, if that library is there; axes are known by their names' first letters."""
     found = importlib.import_module("netCDF4").Dataset(path, "r").variables
     return _store({k: v for k, v in found.items() if len(v.shape) == 4}, lambda v: v.dimensions, lambda v: None if v.chunking() == "contiguous" else v.chunking())
 
 
-OPENERS = {"npz": NpzStore, "npy": NpyStore, "zarr": zarr_store, "netcdf": netcdf_store}
+OPENERS = {"npz": NpzStore, "npy": NpyStore, "zarr": ChunkStore, "netcdf": netcdf_store}
 
 
 def axes(dims: str) -> tuple[int, ...]:
@@ -110,28 +106,49 @@ def scatter(blocks: list[tuple[tuple[int, int, int], np.ndarray]], shape: tuple[
 
 def level_chunks(nz: int, chunk: int, levels: range) -> list[tuple[int, int]]:
     """Parts of the levels by storage chunk, so that none is read twice."""
-    size = chunk or nz
-    return [(max(a, levels.start), min(a + size, levels.stop)) for a in range(0, nz, size) if a < levels.stop and a + size > levels.start]
+    return [(p.start, p.stop) for p in chunk_parts(nz, chunk, Wanted(levels.start, levels.stop))]
+
+
+class Wanted:
+    """The whole numbers that filters leave of an axis: a half-open range, and a set if one is told."""
 
+    def __init__(self, low: int = 0, high: int | None = None, only: frozenset[int] | None = None):
+        self.low, self.high, self.only = low, high, only
 
-def extent(f: Filter) -> tuple[int | None, int | None] | None:
-    """The half-open range of integers that a filter leaves, if it tells one."""
-    if isinstance(f, In):
-        return min(f.value), max(f.value) + 1
-    if isinstance(f, EqualTo):
-        return f.value, f.value + 1
-    if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-        return f.value + isinstance(f, GreaterThan), None
-    if isinstance(f, (LessThan, LessThanOrEqual)):
-        return None, f.value + isinstance(f, LessThanOrEqual)
-    return None
+    def narrowed(self, f: Filter) -> Wanted:
+        """What a filter leaves; one that tells nothing leaves all."""
+        if isinstance(f, In):
+            told = frozenset(v for v in f.value if v is not None)
+            return Wanted(self.low, self.high, told if self.only is None else self.only & told)
+        if getattr(f, "value", None) is None:
+            return self
+        if isinstance(f, EqualTo):
+            return self.narrowed(In(f.attribute, (f.value,)))
+        if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+            return Wanted(max(self.low, f.value + isinstance(f, GreaterThan)), self.high, self.only)
+        if isinstance(f, (LessThan, LessThanOrEqual)):
+            most = f.value + isinstance(f, LessThanOrEqual)
+            return Wanted(self.low, most if self.high is None else min(self.high, most), self.only)
+        return self
+
+    def of(self, some: range) -> list[int]:
+        inside = range(max(self.low, some.start), some.stop if self.high is None else min(self.high, some.stop))
+        return [v for v in inside if self.only is None or v in self.only]
+
+
+def chunk_parts(n: int, chunk: int, wanted: Wanted) -> list[range]:
+    """Of each storage chunk that holds wanted places the range from the first to the last of them."""
+    size = chunk or n
+    held = (wanted.of(range(a, min(a + size, n))) for a in range(0, n, max(size, 1)))
+    return [range(v[0], v[-1] + 1) for v in held if v]
 
 
 @dataclass
 class Slab(InputPartition):
-    t: int
-    lo: int
-    hi: int
+    """Time steps and levels of one chunk group."""
+
+    times: range
+    levels: range
 
 
 class GridReader(DataSourceReader):
@@ -139,24 +156,22 @@ class GridReader(DataSourceReader):
         self.path, self.kind = options["path"], options.get("kind", "npz")
         self.names = names
         self.told = {n: (int if isinstance(v, int) else str)(options[n.lower()]) for n, v in METADATA.items() if n.lower() in options}
-        self.bounds = {"timestep": [0, None], "k": [0, None]}
+        self.wanted = {"timestep": Wanted(), "k": Wanted()}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Ranges of time steps and levels narrow what is read; all filters are still applied behind."""
+        """Time steps and levels that filters leave narrow what is read, to chunks that hold some; all filters are still applied behind."""
         for f in filters:
             name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else ""
-            if name in self.bounds and (found := extent(f)):
-                for side, best in ((0, max), (1, min)):
-                    if found[side] is not None:
-                        own = self.bounds[name][side]
-                        self.bounds[name][side] = found[side] if own is None else best(own, found[side])
+            if name in self.wanted:
+                self.wanted[name] = self.wanted[name].narrowed(f)
             yield f
 
     def partitions(self) -> list[Slab]:
         store = OPENERS[self.kind](self.path)
         shape = self._shape(store)
-        clip = lambda name, n: range(self.bounds[name][0], n if self.bounds[name][1] is None else min(n, self.bounds[name][1]))
-        return [Slab(t, a, b) for t in clip("timestep", shape[0]) for a, b in level_chunks(shape[3], getattr(store, "chunk", 0), clip("k", shape[3]))]
+        times = chunk_parts(shape[0], getattr(store, "times", 0) or 1, self.wanted["timestep"])
+        levels = chunk_parts(shape[3], getattr(store, "chunk", 0), self.wanted["k"])
+        return [Slab(t, k) for t in times for k in levels]
 
     def _shape(self, store) -> tuple[int, ...]:
         shapes = {tuple(np.array(store.fields[n].shape)[list(axes(store.dims[n]))]) for n in self.names}
@@ -169,11 +184,11 @@ class GridReader(DataSourceReader):
         columns = {}
         for n in self.names:
             order = store.dims[n]
-            cut = tuple({"t": part.t, "z": slice(part.lo, part.hi)}.get(a, slice(None)) for a in order)
-            rest = [a for a in order if a != "t"]
-            columns[n] = np.asarray(store.fields[n][cut], np.float32).transpose([rest.index(a) for a in "xyz"])
-        i, j, k = (a.ravel().astype(np.int32) for a in np.indices(next(iter(columns.values())).shape))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), part.t, np.int32)), pa.array(i), pa.array(j), pa.array(k + np.int32(part.lo)), *(pa.array(c.ravel()) for c in columns.values()), *(pa.array([v] * len(i)) for v in self.told.values())], ["timestep", "i", "j", "k", *columns, *self.told])
+            cut = tuple({"t": slice(part.times.start, part.times.stop), "z": slice(part.levels.start, part.levels.stop)}.get(a, slice(None)) for a in order)
+            columns[n] = np.asarray(store.fields[n][cut], np.float32).transpose([order.index(a) for a in ORDER])
+        for m, t in enumerate(part.times):
+            i, j, k = (a.ravel().astype(np.int32) for a in np.indices(next(iter(columns.values())).shape[1:]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), t, np.int32)), pa.array(i), pa.array(j), pa.array(k + np.int32(part.levels.start)), *(pa.array(c[m].ravel()) for c in columns.values()), *(pa.array([v] * len(i)) for v in self.told.values())], ["timestep", "i", "j", "k", *columns, *self.told])
 
 
 class GridSource(DataSource):
