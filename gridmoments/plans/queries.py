@@ -679,6 +679,14 @@ def standardize_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.standardize(df, ["l_quantity", "l_discount"], population=True), ["l_quantity", "l_discount"], 5)
 
 
+@query("""WITH n AS (SELECT count(*) AS n, sum(l_quantity) AS q FROM lineitem) SELECT 'train' AS part, CAST(floor(0.7 * n) AS BIGINT) AS rows FROM n UNION ALL SELECT 'test', CAST(n - floor(0.7 * n) AS BIGINT) FROM n UNION ALL SELECT 'quantity of both', CAST(q AS BIGINT) FROM n""")
+def exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the parts of a seeded split of all line items, and what both parts hold."""
+    train, test = L.split(items(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_quantity"), 0.7, ["l_orderkey", "l_linenumber"])
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum("l_quantity").alias("q"))
+    return both.select("part", "rows").unionByName(both.agg(F.sum("q").cast("long").alias("rows")).select(F.lit("quantity of both").alias("part"), "rows"))
+
+
 _LOGIT, _TRUTH = "((l_quantity - 25.3) / 5.0)", "(CASE WHEN l_tax > 0.04 THEN l_tax ELSE 0.0 END)"
 _BCE = f"greatest({_LOGIT}, 0) - {_LOGIT} * (CASE WHEN {_TRUTH} > 0 THEN 1 ELSE 0 END) + ln(1 + exp(-abs({_LOGIT})))"
 
