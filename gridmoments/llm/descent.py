@@ -47,8 +47,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
        components than its own, which planes and rounds fill in the same way. What it misses within its component, step 6
        counts, so that a dense group needs no list of its own size.
     5. An audit holds probes, chosen by hash, against all vectors of their labels and tells the share of true links that
-       lie within one component. Probes are added until LINKS links are seen, or PROBE_BYTES or all vectors are used. Below
-       RECALL new planes and more rounds follow. Where MOST_ROUNDS have run without an audit that passed, step 6 takes all
+       lie within one component. Probes are added, PROBE_BYTES of vectors at a time, until LINKS links are seen or all
+       vectors have been probes, so that rare links are met too. Below RECALL new planes and more rounds follow. Where MOST_ROUNDS have run without an audit that passed, step 6 takes all
        blocks of a label, which is exact and grows with the square of its vectors.
     6. Vectors lie in blocks, ordered by component. Blocks that share a component meet in tiles, unless the boxes of their
        vectors are further apart than a link is long, and all their links are counted.
@@ -242,41 +242,59 @@ class Descent:
         return self.scratch.write(order.mapInArrow(cut, form), f"blocks{self.rounds}")
 
     def audit(self, blocks: DataFrame) -> float:
-        """The share of the probes' true links within components."""
-        widest, threshold = self.widest, self.threshold
-        most = max(PROBES, PROBE_BYTES // (8 * max(widest, 1)))
-        n = PROBES
+        """The share of the probes' true links within components.
+
+        Probes grow until LINKS links are seen. Where as many as PROBE_BYTES hold see fewer, slices of all vectors by hash, each
+        of that size, are the probes one after another, and what they see adds up, until it is enough or all have been probes.
+        """
+        most, n = max(PROBES, PROBE_BYTES // (8 * max(self.widest, 1))), PROBES
         while True:
-            probes = self.reps.orderBy(F.xxhash64("row", F.lit(self.rounds)), "row").limit(n).select("row", "label", "u").collect()
-            u = np.frombuffer(b"".join(r["u"] for r in probes)).reshape(len(probes), widest)
-            shared = self.spark.sparkContext.broadcast((np.array([r["row"] for r in probes], np.int64), np.array([r["label"] for r in probes]), u))
-
-            def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                who, label, u = shared.value
-                for batch in batches:
-                    for x in batch.to_pylist():
-                        mine = np.flatnonzero(label == x["label"])
-                        rows, group = np.frombuffer(x["rows"], np.int64), np.frombuffer(x["components"], np.int64)
-                        sim = u[mine] @ np.frombuffer(x["u"]).reshape(len(rows), widest).T
-                        probe, row = np.nonzero((sim >= threshold) & (who[mine][:, None] != rows))
-                        key, count = np.unique(np.stack([who[mine][probe], group[row]], 1), axis=0, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(key[:, 0])), pa.array(np.ascontiguousarray(key[:, 1])), pa.array(count)], ["probe", "component", "n"])
-
-            def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                who = shared.value[0]
-                for batch in batches:
-                    for x in batch.to_pylist():
-                        rows, group = np.frombuffer(x["rows"], np.int64), np.frombuffer(x["components"], np.int64)
-                        mine = np.isin(rows, who)
-                        yield pa.RecordBatch.from_arrays([pa.array(rows[mine]), pa.array(group[mine])], ["probe", "of"])
-
-            true = blocks.select("label", "rows", "components", "u").mapInArrow(pairs, "probe long, component long, n long").groupBy("probe", "component").agg(F.sum("n").alias("n"))
-            mine = blocks.select("rows", "components").mapInArrow(own, "probe long, of long")
-            seen, hit = true.join(mine, "probe").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("component") == F.col("of"), F.col("n"))), F.lit(0))).first()
-            shared.unpersist()
-            if seen >= LINKS or n >= min(most, self.number):
+            seen, hit = self.links_of(blocks, self.reps.orderBy(F.xxhash64("row", F.lit(self.rounds)), "row").limit(n))
+            if seen >= LINKS or n >= self.number:
                 return hit / seen if seen else 1.0
+            if n >= most:
+                break
             n = min(4 * n, most)
+        seen = hit = 0
+        slices = -(-self.number // most)
+        for k in range(slices):
+            more = self.links_of(blocks, self.reps.where(F.pmod(F.xxhash64("row", F.lit(self.rounds)), F.lit(slices)) == k))
+            seen, hit = seen + more[0], hit + more[1]
+            if seen >= LINKS:
+                break
+        return hit / seen if seen else 1.0
+
+    def links_of(self, blocks: DataFrame, probes: DataFrame) -> tuple[int, int]:
+        """How many links to any vector the probes have, and how many of these lie within a component."""
+        widest, threshold = self.widest, self.threshold
+        probes = probes.select("row", "label", "u").collect()
+        u = np.frombuffer(b"".join(r["u"] for r in probes)).reshape(len(probes), widest)
+        shared = self.spark.sparkContext.broadcast((np.array([r["row"] for r in probes], np.int64), np.array([r["label"] for r in probes]), u))
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            who, label, u = shared.value
+            for batch in batches:
+                for x in batch.to_pylist():
+                    mine = np.flatnonzero(label == x["label"])
+                    rows, group = np.frombuffer(x["rows"], np.int64), np.frombuffer(x["components"], np.int64)
+                    sim = u[mine] @ np.frombuffer(x["u"]).reshape(len(rows), widest).T
+                    probe, row = np.nonzero((sim >= threshold) & (who[mine][:, None] != rows))
+                    key, count = np.unique(np.stack([who[mine][probe], group[row]], 1), axis=0, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(key[:, 0])), pa.array(np.ascontiguousarray(key[:, 1])), pa.array(count)], ["probe", "component", "n"])
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            who = shared.value[0]
+            for batch in batches:
+                for x in batch.to_pylist():
+                    rows, group = np.frombuffer(x["rows"], np.int64), np.frombuffer(x["components"], np.int64)
+                    mine = np.isin(rows, who)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[mine]), pa.array(group[mine])], ["probe", "of"])
+
+        true = blocks.select("label", "rows", "components", "u").mapInArrow(pairs, "probe long, component long, n long").groupBy("probe", "component").agg(F.sum("n").alias("n"))
+        mine = blocks.select("rows", "components").mapInArrow(own, "probe long, of long")
+        seen, hit = true.join(mine, "probe").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("component") == F.col("of"), F.col("n"))), F.lit(0))).first()
+        shared.unpersist()
+        return seen, hit
 
     def counted(self, blocks: DataFrame, whole: bool) -> DataFrame:
         """(a, b, linked): of a class its links within the tiles, and (a, b) the components that a link joins.

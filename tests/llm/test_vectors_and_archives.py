@@ -206,3 +206,21 @@ def test_streams_of_one_and_of_many_members():
         assert base64.b32decode(found[1][0]["warc-payload-digest"][5:]) == hashlib.sha1(b"y" * 9).digest()
     with pytest.raises(ValueError):
         list(warc.records(io.BufferedReader(io.BytesIO(one[:-60]))))
+
+
+def test_audit_meets_rare_links(spark, monkeypatch):
+    """Five links among many vectors, which no early probe has: an audit of components of one vector each finds them all missing."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((900, 24))
+    for k in range(5):
+        x[700 + k] = x[100 + 7 * k] * (1 + k)
+    rows = [(int(i), [float(c) for c in v], 1) for i, v in enumerate(x)]
+    for k in range(5):
+        rows[700 + k][1][0] += 1e-3
+    monkeypatch.setattr(descent, "PROBES", 150)
+    monkeypatch.setattr(descent, "PROBE_BYTES", 1)
+    d = descent.Descent(spark.createDataFrame(rows, "id long, v array<double>, label string"), 0.98)
+    alone = d.reps.selectExpr("row", "row as component", "false as full")
+    assert d.audit(d.blocks(alone)) == 0.0
+    found = descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))
+    assert sorted(r["vec_id"] for r in found.where("n_links = 1").collect()) == sorted([700 + k for k in range(5)] + [100 + 7 * k for k in range(5)])
