@@ -19,6 +19,7 @@ from ..operators import block as B
 from ..operators import masks as M
 from ..operators import merge as G
 from ..operators import training as L
+from ..operators import truth as T
 from ..schema import COLUMNS, COVARIANCES, DIAGNOSTICS, FLOATS, MEAN_OF, SHORT, VARIANCES
 from ..sources import chunks, grid, library, manifest, tables
 from . import builder, many
@@ -509,13 +510,13 @@ def is_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).withColumn("x", F.col("l_linenumber") * 2.5).groupBy("l_linenumber").agg(A.is_constant("x").alias("same"), A.is_constant("l_tax").alias("tax_same"))
 
 
-def _binned(by: str, nbins: int, source: str) -> str:
+def _binned(by: str, nbins: int, source: str, digits: int = 4) -> str:
     part = f"{by}, " if by else ""
     join = f"JOIN l USING ({by})" if by else ", l"
     group = f"GROUP BY {by}" if by else ""
     return f"""WITH s AS ({source}), l AS (SELECT {part}quantile_cont(x, 0.005) AS lo, quantile_cont(x, 0.995) AS hi, count(*) AS rows FROM s {group}),
 b AS (SELECT s.*, lo, hi, CAST(least(floor((x - lo) / ((hi - lo) / {nbins})), {nbins - 1}) AS INTEGER) AS bin FROM s {join} WHERE x >= lo AND x <= hi AND rows >= 100)
-SELECT {part}bin, {r(f'lo + (bin + 0.5) * (hi - lo) / {nbins}', 'center', 3)}, {r('median(y)', 'median', 4)}, count(*) AS n FROM b GROUP BY ALL"""
+SELECT {part}bin, {r(f'lo + (bin + 0.5) * (hi - lo) / {nbins}', 'center', 3)}, {r('median(y)', 'median', digits)}, count(*) AS n FROM b GROUP BY ALL"""
 
 
 @query(_binned("", 30, "SELECT sqrt(l_extendedprice) AS x, l_quantity AS y FROM lineitem"))
@@ -537,6 +538,57 @@ def resolution_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.resolution_density(items(spark, sf_dir).withColumn("x", F.sqrt("l_extendedprice")), "x", "l_linenumber"), ["share"], 8)
 
 
+_COARSE = f"tb AS MATERIALIZED ({_emit_sql(_BLOCKS)})"
+
+
+def _coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of the flagship query, of which the truth analysis is."""
+    return shared.written(multiscale_block(spark, sf_dir), "coarse")
+
+
+def _curves(pairs: list[tuple[str, str]], by: str = "", source: str = "tb") -> str:
+    keys = f"{by}, " if by else ""
+    parts = [f"SELECT '{x}' AS x, '{y}' AS target, * FROM ({_binned(by, 40, f'SELECT {keys}{x} AS x, {y} AS y FROM {source}', 6)})" for x, y in pairs]
+    return f"WITH {_COARSE} " + " UNION ALL ".join(parts)
+
+
+def _rounded_curves(df: DataFrame) -> DataFrame:
+    """The table has five digits, so that a median has six."""
+    return rounded(rounded(df, ["center"], 3), ["median"], 6)
+
+
+@query(_curves([("tke", c) for c in COVARIANCES]))
+def tke_against_covariances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded_curves(T.tke_against_covariances(_coarse(spark, sf_dir)))
+
+
+@query(_curves([("tke", c) for c in COVARIANCES], "resolution_h", "(SELECT * FROM tb WHERE resolution_h IN (SELECT DISTINCT resolution_h FROM tb ORDER BY 1 LIMIT 8))"))
+def tke_against_covariances_by_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Within the first eight resolutions, without those of fewer than a hundred rows."""
+    return _rounded_curves(T.tke_against_covariances_by_resolution(_coarse(spark, sf_dir)))
+
+
+@query(_curves([(x, c) for x in ("liq_fraction", "ice_fraction") for c in COVARIANCES]))
+def fractions_against_covariances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded_curves(T.fractions_against_covariances(_coarse(spark, sf_dir)))
+
+
+@query(f"WITH {_COARSE}, u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS target, resolution_h, {c} AS x FROM tb" for c in VARIANCES + COVARIANCES) + """),
+l AS (SELECT target, CASE WHEN target LIKE 'var%' THEN greatest(quantile_cont(x, 0.005), 0) ELSE quantile_cont(x, 0.005) END AS lo, quantile_cont(x, 0.995) AS hi FROM u GROUP BY target),
+b AS (SELECT target, resolution_h, CAST(least(floor((x - lo) / ((hi - lo) / 48)), 47) AS INTEGER) AS bin FROM u JOIN l USING (target) WHERE x >= lo AND x <= hi), c AS (SELECT target, resolution_h, bin, count(*) AS n FROM b GROUP BY ALL)
+SELECT target, resolution_h, bin, n, """ + r("n / (sum(n) OVER (PARTITION BY target, resolution_h) + 1e-12)", "share", 8) + " FROM c")
+def moment_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Densities of all variances and covariances by resolution."""
+    return rounded(T.densities(_coarse(spark, sf_dir), VARIANCES + COVARIANCES), ["share"], 8)
+
+
+@query(f"WITH {_COARSE} " + " UNION ALL ".join(f"SELECT '{c}' AS target, resolution_h, resolution_z, {r(f'sum({c})', 'total', 5)}, count(*) AS n FROM tb GROUP BY ALL" for c in VARIANCES + COVARIANCES))
+def resolution_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means times numbers, which have no more digits than the table."""
+    cells = T.resolution_grid(_coarse(spark, sf_dir), VARIANCES + COVARIANCES)
+    return rounded(cells.withColumn("total", F.col("mean") * F.col("n")).drop("mean"), ["total"], 5)
+
+
 def _summary(c: str) -> str:
     return f"SELECT '{c}' AS target, {r(f'avg(CASE WHEN {c} = 0 THEN 1.0 ELSE 0 END)', 'zero_fraction', 6)}, min({c}) AS min, {r(f'quantile_cont({c}, 0.01)', 'p01', 6)}, {r(f'quantile_cont({c}, 0.5)', 'p50', 6)}, {r(f'quantile_cont({c}, 0.99)', 'p99', 6)}, max({c}) AS max FROM lineitem"
 
