@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.physics import cloudy, col, present, tke
@@ -63,9 +63,39 @@ def scales(triples: list[Triple]) -> Column:
     return F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("fx", "fy", "fz"), t))) for t in triples))
 
 
-def emitted(cells: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+class Dropped:
+    """Counts of the cells that emitted() has dropped, by the first rule that a cell broke, gathered as the cells are computed.
+
+    Hand one to a build and ask counts() after the rows have been written, or otherwise computed once: no scan is added.
+    """
+
+    def __init__(self) -> None:
+        self.seen: list[Observation] = []
+
+    def watched(self, cells: DataFrame, rules: dict[str, Column]) -> DataFrame:
+        seen, before, counts = Observation(), F.lit(False), [F.count(F.lit(1)).alias("cells")]
+        for name, broken in rules.items():
+            broken = F.coalesce(broken, F.lit(True))
+            counts.append(F.coalesce(F.sum((broken & ~before).cast("long")), F.lit(0)).alias(name))
+            before = before | broken
+        self.seen.append(seen)
+        return cells.observe(seen, *counts)
+
+    def counts(self) -> dict[str, int]:
+        """All cells, and those that each rule has dropped."""
+        total: dict[str, int] = {}
+        for seen in self.seen:
+            for name, n in seen.get.items():
+                total[name] = total.get(name, 0) + n
+        return total
+
+
+def emitted(cells: DataFrame, threshold: float = THRESHOLD, dropped: Dropped | None = None) -> DataFrame:
     """Whole cells with condensate above the threshold and with finite diagnostics; a level without such a cell gives none."""
     q = F.col("q_liq") + F.col("q_ice")
+    rules = {"incomplete": F.col("n") != F.col("fx") * F.col("fy") * F.col("fz"), "not_finite": ~all_finite(DIAGNOSTICS) | F.isnan(q), "clear": q <= threshold}
+    if dropped is not None:
+        cells = dropped.watched(cells, rules)
     return cells.where((F.col("n") == F.col("fx") * F.col("fy") * F.col("fz")) & (q > threshold) & ~F.isnan(q) & all_finite(DIAGNOSTICS)).drop("n")
 
 

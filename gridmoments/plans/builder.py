@@ -63,16 +63,16 @@ def output(cells: DataFrame, thick: Column, dx: Column, domain: Column) -> DataF
     return out.select(*COLUMNS)
 
 
-def coarsen_chunk(voxels: DataFrame, geometry: Geometry, options: BuildOptions = BuildOptions(), keys: tuple[str, ...] = ("timestep",), triples: list[S.Triple] | None = None) -> DataFrame:
-    """The table of whole columns: blocks, windows or both, as the options' mode says. `triples` replaces the block schedule."""
+def coarsen_chunk(voxels: DataFrame, geometry: Geometry, options: BuildOptions = BuildOptions(), keys: tuple[str, ...] = ("timestep",), triples: list[S.Triple] | None = None, dropped: B.Dropped | None = None) -> DataFrame:
+    """The table of whole columns: blocks, windows or both, as the options' mode says. `triples` replaces the block schedule, `dropped` counts what is left out."""
     g, keys = geometry, [*keys, *(c for c in METADATA if c in voxels.columns)]
     scales, extra = schedule(g, list(g.dz), options)
     scales = triples or scales
     parts = []
     if scales:
-        parts.append(table(B.emitted(B.blocks(voxels, scales, g.nx, g.ny, g.nz, keys)), g))
+        parts.append(table(B.emitted(B.blocks(voxels, scales, g.nx, g.ny, g.nz, keys), dropped=dropped), g))
     if extra:
-        parts.append(table(B.emitted(B.windows(voxels, extra, g.nx, g.ny, g.nz, keys, *options.placing())), g, window=True))
+        parts.append(table(B.emitted(B.windows(voxels, extra, g.nx, g.ny, g.nz, keys, *options.placing()), dropped=dropped), g, window=True))
     return checked(together(parts, voxels), options)
 
 

@@ -82,7 +82,7 @@ def _placed(geometries: DataFrame, case: list[str], options: BuildOptions) -> tu
     return own.join(grids, _GRID).select(*case, "grid", "nx", "ny", "coarser"), grids
 
 
-def build_many(voxels: DataFrame, geometries: DataFrame, options: BuildOptions = BuildOptions(), keys: tuple[str, ...] = ("timestep",), spans: bool = True) -> Build:
+def build_many(voxels: DataFrame, geometries: DataFrame, options: BuildOptions = BuildOptions(), keys: tuple[str, ...] = ("timestep",), spans: bool = True, dropped: B.Dropped | None = None) -> Build:
     """The table of all cases in one plan, whatever their number and their grids.
 
     geometries has a row for each case: columns of the metadata that tell the cases apart, and GRID. Voxels without such a
@@ -91,7 +91,7 @@ def build_many(voxels: DataFrame, geometries: DataFrame, options: BuildOptions =
 
     Grids, the levels' spans and their schedules are small tables: a row for each distinct grid, for each level of a time
     step, and for each span that a grid has somewhere. They are written once and joined; Spark broadcasts those that are
-    small. Voxels are read twice, for the levels' maxima and for the blocks, and once more if there are windows.
+    small. `dropped` counts the cells that are left out. Voxels are read twice, for the levels' maxima and for the blocks, and once more if there are windows.
     """
     case = [c for c in METADATA if c in geometries.columns]
     if missing := [c for c in case if c not in voxels.columns]:
@@ -122,7 +122,7 @@ def build_many(voxels: DataFrame, geometries: DataFrame, options: BuildOptions =
     def rows(cells: DataFrame, window: bool) -> DataFrame:
         start = F.col("kc") if window else F.col("kc") * F.col("fz")
         thick = F.aggregate(F.slice("dz", (start + 1).cast("int"), F.col("fz")), F.lit(0.0), lambda a, z: a + z)
-        return output(B.emitted(cells).join(shapes.select(*on, "dx", "domain_h", "dz"), on), thick, F.col("dx"), F.col("domain_h"))
+        return output(B.emitted(cells, dropped=dropped).join(shapes.select(*on, "dx", "domain_h", "dz"), on), thick, F.col("dx"), F.col("domain_h"))
 
     parts, depth = [], F.col("hi") - F.col("lo") + 1
     if not shapes.where("size(scales) > 0").isEmpty():

@@ -262,6 +262,16 @@ def multiscale_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(builder.coarsen_chunk(voxels(spark, sf_dir), GEOMETRY, OPTIONS.having(coarsening_mode="block")))
 
 
+@query(f"""{_BLOCKS}, d AS (SELECT NOT (isfinite(q_liq) AND isfinite(qt)) AS bad, q_liq + q_ice <= 1e-10 AS clear FROM c)
+SELECT 'cells' AS rule, count(*) AS n FROM d UNION ALL SELECT 'incomplete', 0 UNION ALL SELECT 'not_finite', CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) AS BIGINT) FROM d UNION ALL SELECT 'clear', CAST(sum(CASE WHEN clear THEN 1 ELSE 0 END) AS BIGINT) FROM d""")
+def drop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the flagship table and why some were left out, counted while the table is written."""
+    dropped = B.Dropped()
+    rows = builder.coarsen_chunk(voxels(spark, sf_dir), GEOMETRY, OPTIONS.having(coarsening_mode="block"), dropped=dropped)
+    shared.written(rows, "counted")
+    return spark.createDataFrame(list(dropped.counts().items()), "rule string, n long")
+
+
 def _windows(sizes: str, name: str, levels: str = "st") -> str:
     return f"""{name} AS (SELECT timestep, fx, fz, a.s AS ic, b.s AS jc, d.s AS kc, {', '.join(_moments_sql())} FROM vox, ({sizes}) w,
 (SELECT n, w, s FROM st) a, (SELECT n, w, s FROM st) b, (SELECT n, w, s FROM {levels}) d
