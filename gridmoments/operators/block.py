@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.physics import cloudy, col, present, tke
@@ -99,6 +101,9 @@ def emitted(cells: DataFrame, threshold: float = THRESHOLD, dropped: Dropped | N
     return cells.where((F.col("n") == F.col("fx") * F.col("fy") * F.col("fz")) & (q > threshold) & ~F.isnan(q) & all_finite(DIAGNOSTICS)).drop("n")
 
 
+#: The mean that belongs to each short name of a (co)variance.
+_FIELD_OF = {"qt": "qt", "ql": "q_liq", "qi": "q_ice", "w": "w", "h": "theta_li"}
+
 #: Fields whose means a block keeps beside its diagnostics, so that larger blocks can be merged from it.
 WIND = ["ua", "va"]
 
@@ -110,7 +115,7 @@ def parts_of(voxels: DataFrame) -> list[Column]:
 
 def merged() -> list[Column]:
     """The same of blocks of equal size: means of means, and mean (co)variances with the (co)variances of the means."""
-    mean_of = {"qt": "qt", "ql": "q_liq", "qi": "q_ice", "w": "w", "h": "theta_li"}
+    mean_of = _FIELD_OF
     out = [F.sum("n").alias("n"), *(F.avg(c).alias(c) for c in [*MEAN_OF, "liq_fraction", "ice_fraction", "cloud_fraction"])]
     out.append((F.avg("tke") + 0.5 * (F.var_pop("_ua") + F.var_pop("_va") + F.var_pop("w"))).alias("tke"))
     out += [(F.avg(c) + F.var_pop(mean_of[c[4:]])).alias(c) for c in VARIANCES]
@@ -178,7 +183,53 @@ def in_windows(voxels: DataFrame, sizes: Column, keys: Keys, aggregates: Agg, k:
     return cells.groupBy(*keys, *(F.col(f"s.{f}").alias(f) for f in ("fx", "fy", "fz")), "ic", "jc", "kc").agg(*aggregates)
 
 
+_AXES = (("i", "xs", "fx", "ic"), ("j", "ys", "fy", "jc"), ("k", "zs", "fz", "kc"))
+
+
+def segment_ends(sizes: Column) -> list[Column]:
+    """Arrays e0, e1 and e2 of where windows of an array column begin and end along x, y and z."""
+    out = []
+    for n, (_, all_starts, size, _) in enumerate(_AXES):
+        ends = F.flatten(F.transform(sizes, lambda s: F.concat(s[all_starts], F.transform(s[all_starts], lambda a: a + s[size]))))  # noqa: B023
+        out.append(F.array_distinct(ends).alias(f"e{n}"))
+    return out
+
+
+def moment_windows(voxels: DataFrame, ends: list[Column], windows_of: Callable[[DataFrame], DataFrame], keys: Keys, k: str = "k") -> DataFrame:
+    """(keys, fx, fy, fz, ic, jc, kc, n, diagnostics) of windows, as in_windows() with moment_aggregates().
+
+    The windows' ends (segment_ends()) cut each axis into segments. Voxels are aggregated once, by the segments they lie in;
+    windows_of adds a column `windows` to these cells, which make up the windows. Cells are far fewer than voxels where windows
+    are large, and never more. Means are weighted by the numbers of voxels, and (co)variances are about the window's own
+    means, as parts of unequal size merge.
+    """
+    cells = voxels
+    for n, axis in enumerate(("i", "j", k)):
+        cells = cells.withColumn(f"_s{n}", F.array_max(F.filter(ends[n], lambda e: e <= F.col(axis))))  # noqa: B023
+    held = [c for c in voxels.columns if c in FIELDS]
+    cells = cells.where("_s0 is not null and _s1 is not null and _s2 is not null").withColumns({c: F.coalesce(col(c), F.lit(float("nan"))) for c in held})
+    cells = windows_of(cells.groupBy(*keys, "_s0", "_s1", "_s2").agg(*parts_of(cells))).withColumn("s", F.explode("windows")).drop("windows")
+    for n, (_, all_starts, size, name) in enumerate(_AXES):
+        cells = cells.withColumn(name, F.explode(F.filter(F.col(f"s.{all_starts}"), lambda a: (a <= F.col(f"_s{n}")) & (F.col(f"_s{n}") < a + F.col(f"s.{size}")))))  # noqa: B023
+    by = [*keys, *("fx", "fy", "fz"), "ic", "jc", "kc"]
+    cells = cells.select("*", *(F.col(f"s.{f}").alias(f) for f in ("fx", "fy", "fz")))
+    whole_, n = Window.partitionBy(*by), F.col("n")
+    centred = [*_FIELD_OF.values(), "_ua", "_va"]
+    cells = cells.withColumns({f"_d_{c}": F.col(c) - F.sum(n * F.col(c)).over(whole_) / F.sum(n).over(whole_) for c in centred})
+    mean = lambda x: F.sum(n * x) / F.sum(n)
+    d = lambda c: F.col(f"_d_{c}")
+    out = [F.sum(n).alias("n"), *(mean(F.col(c)).alias(c) for c in [*MEAN_OF, "liq_fraction", "ice_fraction", "cloud_fraction"])]
+    out.append(mean(F.col("tke") + 0.5 * (d("_ua") * d("_ua") + d("_va") * d("_va") + d("w") * d("w"))).alias("tke"))
+    out += [mean(F.col(c) + d(_FIELD_OF[c[4:]]) * d(_FIELD_OF[c[4:]])).alias(c) for c in VARIANCES]
+    out += [mean(F.col(c) + d(_FIELD_OF[c[4:].split("_")[0]]) * d(_FIELD_OF[c[4:].split("_")[1]])).alias(c) for c in COVARIANCES]
+    return cells.groupBy(*by).agg(*out)
+
+
 def windows(voxels: DataFrame, triples: list[Triple], nx: int, ny: int, nz: int, keys: Keys, outputs: Triple = (2, 2, 2), strides: tuple[int | None, int | None, int | None] = (None, None, None), aggregates: Agg | None = None) -> DataFrame:
-    """Aggregates of sliding windows without padding, of one grid for all voxels; see window_sizes() and in_windows()."""
-    sizes = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("fx", "fy", "fz"), w)), *(F.array(*map(F.lit, v)).alias(n) for n, v in zip(("xs", "ys", "zs"), w[3:]))) for w in window_sizes(triples, nx, ny, nz, outputs, strides)))
-    return in_windows(voxels, sizes, keys, aggregates or [F.count(F.lit(1)).alias("n"), *moment_aggregates()])
+    """Aggregates of sliding windows without padding, of one grid for all voxels; see window_sizes(), in_windows() and moment_windows()."""
+    told = window_sizes(triples, nx, ny, nz, outputs, strides)
+    sizes = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("fx", "fy", "fz"), w)), *(F.array(*map(F.lit, v)).alias(n) for n, v in zip(("xs", "ys", "zs"), w[3:]))) for w in told))
+    if aggregates:
+        return in_windows(voxels, sizes, keys, aggregates)
+    ends = [sorted({e for w in told for a in w[3 + n] for e in (a, a + w[n])}) for n in range(3)]
+    return moment_windows(voxels, [F.array(*map(F.lit, e)) for e in ends], lambda cells: cells.withColumn("windows", sizes), keys)

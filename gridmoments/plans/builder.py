@@ -133,8 +133,10 @@ def build_table(voxels: DataFrame, geometry: Geometry, options: BuildOptions = B
         wanted = F.expr("exists(scales, s -> s[0] = fx and s[1] = fy and s[2] = fz)")
         parts.append(table(B.emitted(cells).join(known, ["lo", "hi"]).where(wanted), g, F.col("lo")))
     if any(r[4] for r in rows):
-        with_windows = own.join(known.select("lo", "hi", "windows").where("size(windows) > 0"), ["lo", "hi"])
-        parts.append(table(B.emitted(B.in_windows(with_windows, F.col("windows"), keys, [F.count(F.lit(1)).alias("n"), *B.moment_aggregates()], k="kk")), g, F.col("lo"), window=True))
+        wide = known.where("size(windows) > 0")
+        with_ends = own.join(wide.select("lo", "hi", *B.segment_ends(F.col("windows"))), ["lo", "hi"])
+        cells = B.moment_windows(with_ends, [F.col(f"e{n}") for n in range(3)], lambda c: c.join(wide.select("lo", "hi", "windows"), ["lo", "hi"]), keys, k="kk")
+        parts.append(table(B.emitted(cells), g, F.col("lo"), window=True))
     return checked(together(parts, voxels), options)
 
 

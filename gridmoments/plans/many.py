@@ -115,7 +115,7 @@ def build_many(voxels: DataFrame, geometries: DataFrame, options: BuildOptions =
     on = ["grid", "lo", "hi"]
     shapes = shared.written(shapes.join(grids.drop("coarser"), "grid").select(*on, *_GRID).mapInArrow(_schedules(options), _SHAPE), "shapes")
     own = split_phases(voxels) if "q_c" in voxels.columns else voxels
-    cells_of = levels.join(shapes.select(*on, "seeds", "windows"), on)
+    cells_of = levels.join(shapes.select(*on, "seeds", *B.segment_ends(F.col("windows"))), on)
     own = own.join(cells_of, [*step, "k"] if spans else case).withColumn("kk", F.col("k") - F.col("lo"))
     by = [*step, *named, *on, "nx", "ny"]
 
@@ -126,9 +126,10 @@ def build_many(voxels: DataFrame, geometries: DataFrame, options: BuildOptions =
 
     parts, depth = [], F.col("hi") - F.col("lo") + 1
     if not shapes.where("size(scales) > 0").isEmpty():
-        base = B.base_blocks(own.drop("windows"), F.col("seeds"), F.col("nx"), F.col("ny"), by, k="kk")
+        base = B.base_blocks(own.drop("e0", "e1", "e2"), F.col("seeds"), F.col("nx"), F.col("ny"), by, k="kk")
         parts.append(rows(B.merged_blocks(base.join(shapes.select(*on, "scales"), on), F.col("scales"), F.col("nx"), F.col("ny"), depth, by), False))
     if not shapes.where("size(windows) > 0").isEmpty():
-        wide = own.drop("seeds").where("size(windows) > 0")
-        parts.append(rows(B.in_windows(wide, F.col("windows"), by, [F.count(F.lit(1)).alias("n"), *B.moment_aggregates()], k="kk"), True))
+        wide = shapes.where("size(windows) > 0").select(*on, "windows")
+        cells = B.moment_windows(own.drop("seeds"), [F.col(f"e{n}") for n in range(3)], lambda c: c.join(wide, on), by, k="kk")
+        parts.append(rows(cells, True))
     return Build(checked(together(parts, voxels), options), steps)
