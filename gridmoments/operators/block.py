@@ -61,8 +61,13 @@ def moment_aggregates() -> Agg:
     return out
 
 
-def scales(triples: list[Triple]) -> Column:
-    return F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("fx", "fy", "fz"), t))) for t in triples))
+def level_thickness(levels: DataFrame, factors: list[int], keys: Keys | None = None, k: str = "k", dz: str = "dz") -> DataFrame:
+    """(keys, fz, kc, dz): the thickness of whole groups of fz levels of each column, counted from its lowest."""
+    keys = keys or []
+    depth = levels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    held = levels.join(depth, keys) if keys else levels.crossJoin(F.broadcast(depth))  # one row
+    held = held.withColumn("fz", F.explode(F.array(*map(F.lit, factors)))).where(F.col(k) < F.col("_n") - F.col("_n") % F.col("fz"))
+    return held.groupBy(*keys, F.col("fz").cast("long").alias("fz"), F.floor(F.col(k) / F.col("fz")).alias("kc")).agg(F.sum(dz).alias("dz"))
 
 
 class Dropped:

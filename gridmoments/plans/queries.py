@@ -189,9 +189,10 @@ def domain_mean_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH l AS (SELECT DISTINCT l_linenumber - 1 AS k, (l_linenumber + 1) // 2 * 10.0::DOUBLE AS dz FROM lineitem), f AS (SELECT unnest([1, 2, 3]) AS fz)
 SELECT CAST(fz AS BIGINT) AS fz, CAST(k // fz AS BIGINT) AS kc, sum(dz) AS dz FROM l, f WHERE k < 7 - 7 % fz GROUP BY ALL""")
 def dz_coarsen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels = table(spark, sf_dir, "lineitem").select("l_linenumber").distinct().orderBy("l_linenumber").collect()  # the levels of one column
-    dz = [(r[0] + 1) // 2 * 10.0 for r in levels]
-    return spark.createDataFrame([(fz, kc, d) for fz in (1, 2, 3) for kc, d in enumerate(S.span_dz(dz, fz))], "fz long, kc long, dz double")
+    """Levels of one column, whose thicknesses grow."""
+    level = F.col("l_linenumber")
+    levels = table(spark, sf_dir, "lineitem").select((level - 1).alias("k"), (F.floor((level + 1) / 2) * 10.0).alias("dz")).distinct()
+    return B.level_thickness(levels, [1, 2, 3])
 
 
 # Scalars
@@ -684,10 +685,11 @@ def manifest_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifest_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three appends; the last record of a case counts."""
     path = shared.folder(spark, "manifest")
-    cases = sorted(tuple(r) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect())
-    manifest.append(spark, path, [(n, 1, "amip", "cloudfree", 0, 73) for n, _ in cases])
-    manifest.append(spark, path, [(n, 1, "amip", "done", 10 * g + 1, 73) for n, g in cases if n % 3 == 0])
-    manifest.append(spark, path, [(n, 1, "amip", "done", 10 * g + 2, 73) for n, g in cases if n % 3 == 0])
+    nation = table(spark, sf_dir, "nation").withColumn("key", F.concat(F.col("n_nationkey").cast("string"), F.lit("|1|amip")))
+    told = lambda df, status, rows: df.select("key", F.lit(status).alias("status"), rows.cast("long").alias("rows"), F.lit(73).alias("timesteps"))
+    done = nation.where("n_nationkey % 3 = 0")
+    for records in (told(nation, "cloudfree", F.lit(0)), told(done, "done", F.col("n_regionkey") * 10 + 1), told(done, "done", F.col("n_regionkey") * 10 + 2)):
+        manifest.append_rows(records, path)
     return manifest.read(spark, path).drop("timestamp")
 
 

@@ -17,11 +17,5 @@ METADATA = {"data_source": "unknown", "month": -1, "cfSite_number": -1, "forcing
 FLOATS = MEANS + VARIANCES + COVARIANCES + GEOMETRY
 COLUMNS = FLOATS + list(METADATA)
 OUTPUT = T.StructType([T.StructField(c, T.FloatType()) for c in FLOATS] + [T.StructField(c, T.LongType() if c in ("month", "cfSite_number") else T.StringType()) for c in METADATA])
-INDEX = ["timestep", "i", "j", "k"]
-VOXEL = T.StructType(
-    [T.StructField(c, T.LongType() if c in ("month", "cfSite_number") else T.StringType()) for c in METADATA]
-    + [T.StructField(c, T.IntegerType()) for c in INDEX]
-    + [T.StructField(c, T.FloatType()) for c in FIELDS]
-)
 #: Condensate above this is cloud.
 THRESHOLD = 1e-10

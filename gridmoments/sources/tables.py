@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.physics import finite
+from .chunks import file_system
 
 
 def list_parquet(spark: SparkSession, folder: str, most: int = 0) -> list[str]:
@@ -64,14 +67,28 @@ def clean_files(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
 
 
 def migrate_arrow(spark: SparkSession, source: str, target: str) -> int:
-    """An Arrow file as Parquet: refuses an existing target, checks rows and column order, keeps the source; returns the rows."""
-    import pyarrow as pa
-
-    with pa.memory_map(source) as f:
-        data = pa.ipc.open_file(f).read_all()
-    spark.createDataFrame(data).write.mode("errorifexists").parquet(target)
+    """An Arrow file as Parquet: refuses an existing target, checks rows and column order, keeps the source; returns the rows.
+
+    The driver reads the file's footer; its record batches are dealt to tasks, each of which reads its own.
+    """
+    fs, path = file_system(source)
+    with fs.open_input_file(path) as f:
+        reader = pa.ipc.open_file(f)
+        batches, form = reader.num_record_batches, spark.createDataFrame(reader.schema.empty_table()).schema
+
+    def read(numbers: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = file_system(source)
+        with fs.open_input_file(path) as f:
+            reader = pa.ipc.open_file(f)
+            for some in numbers:
+                for k in some.column("id").to_pylist():
+                    yield reader.get_batch(k)
+
+    seen = Observation()
+    rows = spark.range(0, batches, 1, max(1, min(batches, spark.sparkContext.defaultParallelism * 4))).mapInArrow(read, form).observe(seen, F.count(F.lit(1)).alias("n"))
+    rows.write.mode("errorifexists").parquet(target)
     back = spark.read.parquet(target)
-    if back.columns != data.column_names or (n := back.count()) != data.num_rows:
+    if back.columns != form.names or (n := back.count()) != seen.get["n"]:
         raise ValueError(f"{target} does not hold what {source} holds")
     return n
 
