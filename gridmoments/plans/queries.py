@@ -20,6 +20,7 @@ from ..operators import masks as M
 from ..operators import merge as G
 from ..operators import training as L
 from ..operators import truth as T
+from ..operators.scales import scheduled
 from ..schema import COLUMNS, COVARIANCES, DIAGNOSTICS, FLOATS, MEAN_OF, SHORT, VARIANCES
 from ..sources import chunks, grid, library, manifest, tables
 from . import builder, many
@@ -49,66 +50,80 @@ def r(expression: str, name: str, digits: int = DIGITS) -> str:
     return f"round(CAST({expression} AS DOUBLE), {digits}) AS {name}"
 
 
-# Schedules
+# Schedules, of grids whose numbers come from the tables
 
 
-@query("SELECT CAST(n - n % b AS BIGINT) AS used, CAST(n % b AS BIGINT) AS rest, CAST(n AS BIGINT) AS n, CAST(b AS BIGINT) AS b FROM range(1, 130) a(n), range(1, 31) c(b)")
+def _grids(spark: SparkSession, sf_dir: str, **columns: str) -> DataFrame:
+    """The distinct values of expressions over the line items, as long."""
+    return table(spark, sf_dir, "lineitem").select(*(F.expr(e).cast("long").alias(n) for n, e in columns.items())).distinct()
+
+
+def _grids_sql(**columns: str) -> str:
+    return "g AS (SELECT DISTINCT " + ", ".join(f"CAST({e} AS BIGINT) AS {n}" for n, e in columns.items()) + " FROM lineitem)"
+
+
+_SIDE = {"n": "100 + l_linenumber"}
+_EXTENT = {"n": "l_partkey % 129 + 1", "b": "l_suppkey % 30 + 1"}
+_RANGES = {"lo": "l_linenumber", "hi": "l_linenumber + l_partkey % 70", "n": "l_suppkey % 7 + 2"}
+_PLACES = {"n": "l_partkey % 40 + 1", "window_size": "l_suppkey % 40 + 1", "outputs": "l_linenumber % 4 + 1"}
+
+
+@query(f"WITH {_grids_sql(**_EXTENT)} SELECT n, b, n - n % b AS used, n % b AS rest FROM g")
 def truncated_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n, b, *S.truncated_block_extent(n, b)) for n in range(1, 130) for b in range(1, 31)], "n long, b long, used long, rest long")
+    return scheduled(_grids(spark, sf_dir, **_EXTENT), lambda r: [S.truncated_block_extent(r["n"], r["b"])], "used long, rest long")
 
 
-@query("""WITH c AS (SELECT lo, lo + d AS hi, n FROM range(1, 8) a(lo), range(0, 70) b(d), range(2, 9) e(n)),
-v AS (SELECT lo, hi, n, CASE WHEN hi - lo + 1 <= n THEN lo + g ELSE lo + CAST(round_even(g * (hi - lo) / CAST(n - 1 AS DOUBLE), 0) AS BIGINT) END AS v FROM c, range(0, 8) x(g) WHERE g < least(n, hi - lo + 1))
-SELECT DISTINCT CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, CAST(n AS BIGINT) AS n, CAST(v AS BIGINT) AS v FROM v""")
+@query(f"""WITH {_grids_sql(**_RANGES)},
+v AS (SELECT lo, hi, n, CASE WHEN hi - lo + 1 <= n THEN lo + g ELSE lo + CAST(round_even(g * (hi - lo) / CAST(n - 1 AS DOUBLE), 0) AS BIGINT) END AS v FROM g c, range(0, 8) x(g) WHERE g < least(n, hi - lo + 1))
+SELECT DISTINCT lo, hi, n, CAST(v AS BIGINT) AS v FROM v""")
 def subsample_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(lo, lo + d, n, v) for lo in range(1, 8) for d in range(70) for n in range(2, 9) for v in S.subsample_closed_range(lo, lo + d, n)]
-    return spark.createDataFrame(rows, "lo long, hi long, n long, v long")
+    return scheduled(_grids(spark, sf_dir, **_RANGES), lambda r: [(v,) for v in S.subsample_closed_range(r["lo"], r["hi"], r["n"])], "v long")
+
 
+_SEEDS_SQL = f"{_grids_sql(**_SIDE)}, s AS (SELECT DISTINCT n, 20 + CAST(round_even(i * (n // 2 - 20) / 4.0, 0) AS BIGINT) AS seed FROM g, range(5) x(i)), h AS (SELECT DISTINCT n, seed * m AS f FROM s, range(1, 7) y(m) WHERE seed * m <= n)"
+_TRIPLE = "fx long, fy long, fz long"
 
-@query("""WITH s(seed) AS (SELECT DISTINCT 20 + CAST(round_even(g * 42 / 4.0, 0) AS BIGINT) FROM range(5) x(g)),
-h AS (SELECT DISTINCT seed * m AS f FROM s, range(1, 7) y(m) WHERE seed * m <= 124), z AS (SELECT f FROM range(1, 9) w(f))
-SELECT CAST(h.f AS BIGINT) AS fx, CAST(h.f AS BIGINT) AS fy, CAST(z.f AS BIGINT) AS fz FROM h, z""")
+
+@query(f"WITH {_SEEDS_SQL} SELECT n, f AS fx, f AS fy, CAST(z AS BIGINT) AS fz FROM h, range(1, 9) w(z)")
 def block_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(S.block_triples(124, 124, 8, 50.0, 1000.0, 50.0, 400.0), "fx long, fy long, fz long")
+    return scheduled(_grids(spark, sf_dir, **_SIDE), lambda r: S.block_triples(r["n"], r["n"], 8, 50.0, 1000.0, 50.0, 400.0), _TRIPLE)
 
 
-@query("""WITH h AS (SELECT DISTINCT 20 + CAST(round_even(g * 104 / 9.0, 0) AS BIGINT) AS f FROM range(10) x(g)), z AS (SELECT f FROM range(1, 9) w(f))
-SELECT h.f AS fx, h.f AS fy, CAST(z.f AS BIGINT) AS fz FROM h, z""")
+@query(f"WITH {_grids_sql(**_SIDE)}, h AS (SELECT DISTINCT n, 20 + CAST(round_even(i * (n - 20) / 9.0, 0) AS BIGINT) AS f FROM g, range(10) x(i)) SELECT n, f AS fx, f AS fy, CAST(z AS BIGINT) AS fz FROM h, range(1, 9) w(z)")
 def sliding_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(S.sliding_triples(124, 124, 8, 50.0, 1000.0, 50.0, 400.0), "fx long, fy long, fz long")
+    return scheduled(_grids(spark, sf_dir, **_SIDE), lambda r: S.sliding_triples(r["n"], r["n"], 8, 50.0, 1000.0, 50.0, 400.0), _TRIPLE)
 
 
-@query("""WITH s(seed) AS (SELECT DISTINCT 20 + CAST(round_even(g * 42 / 4.0, 0) AS BIGINT) FROM range(5) x(g)),
-b AS (SELECT DISTINCT seed * m AS f FROM s, range(1, 7) y(m) WHERE seed * m <= 124),
-c AS (SELECT DISTINCT 62 + CAST(round_even(g * 62 / 4.0, 0) AS BIGINT) AS f FROM range(5) x(g))
-SELECT f AS size FROM c WHERE f NOT IN (SELECT f FROM b)""")
+@query(f"WITH {_SEEDS_SQL}, c AS (SELECT DISTINCT n, n // 2 + CAST(round_even(i * (n - n // 2) / 4.0, 0) AS BIGINT) AS f FROM g, range(5) x(i)) SELECT n, f AS size FROM c WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.n = c.n AND h.f = c.f)")
 def hybrid_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = set(S.block_factors(124, 124, 50.0, 1000.0))
-    return spark.createDataFrame([(w,) for w in S.extra_windows(124, 124, 50.0, 1000.0, blocks)], "size long")
+    def extras(r):
+        return [(w,) for w in S.extra_windows(r["n"], r["n"], 50.0, 1000.0, set(S.block_factors(r["n"], r["n"], 50.0, 1000.0)))]
+
+    return scheduled(_grids(spark, sf_dir, **_SIDE), extras, "size long")
 
 
-@query("""SELECT CAST(f AS BIGINT) AS factor, f * 50.0::DOUBLE AS resolution_h, CAST(124 // f AS BIGINT) AS cells FROM
-(SELECT DISTINCT s * (1 << k) AS f FROM (VALUES (1), (3), (31)) v(s), range(0, 7) w(k) WHERE s * (1 << k) BETWEEN 4 AND 124 UNION SELECT 124)""")
+@query(f"""WITH {_grids_sql(**_SIDE)}, f AS (SELECT DISTINCT n, s * (1 << k) AS f FROM g, (VALUES (1), (3), (31)) v(s), range(0, 7) w(k) WHERE s * (1 << k) BETWEEN 4 AND n UNION SELECT n, n FROM g)
+SELECT n, CAST(f AS BIGINT) AS factor, f * 50.0::DOUBLE AS resolution_h, CAST(n // f AS BIGINT) AS cells FROM f""")
 def seed_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(S.seed_schedule(124, 50.0, (1, 3, 31), 200.0), "factor long, resolution_h double, cells long")
+    return scheduled(_grids(spark, sf_dir, **_SIDE), lambda r: S.seed_schedule(r["n"], 50.0, (1, 3, 31), 200.0), "factor long, resolution_h double, cells long")
 
 
-@query("""SELECT CAST(f AS BIGINT) AS fx, CAST(f AS BIGINT) AS fy, CAST(z AS BIGINT) AS fz FROM range(1, 25) a(f), range(1, 13) b(z)
-WHERE 24 % f = 0 AND 36 % f = 0 AND (f = 1 OR f * 50 >= 150) AND 12 % z = 0 AND z * 50 <= 200""")
+@query(f"""WITH {_grids_sql(n='12 * l_linenumber')} SELECT n, CAST(f AS BIGINT) AS fx, CAST(f AS BIGINT) AS fy, CAST(z AS BIGINT) AS fz FROM g, range(1, 85) a(f), range(1, 13) b(z)
+WHERE n % f = 0 AND 36 % f = 0 AND (f = 1 OR f * 50 >= 150) AND 12 % z = 0 AND z * 50 <= 200""")
 def divisor_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(S.divisor_triples(24, 36, 12, 50.0, 150.0, 50.0, 200.0), "fx long, fy long, fz long")
+    return scheduled(_grids(spark, sf_dir, n="12 * l_linenumber"), lambda r: S.divisor_triples(r["n"], 36, 12, 50.0, 150.0, 50.0, 200.0), _TRIPLE)
 
 
-@query("SELECT CAST(1 << k AS BIGINT) AS factor, (1 << k) * 10.0::DOUBLE AS thickness FROM range(0, 7) a(k) WHERE (1 << k) * 10 <= 400 OR k = 0")
+@query(f"WITH {_grids_sql(dz='10 * l_linenumber')} SELECT dz, CAST(1 << k AS BIGINT) AS factor, (1 << k) * dz * 1.0::DOUBLE AS thickness FROM g, range(0, 7) a(k) WHERE (1 << k) * dz <= 400 OR k = 0")
 def z_scheme(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(S.z_scheme([10.0] * 127, 400.0), "factor long, thickness double")
+    return scheduled(_grids(spark, sf_dir, dz="10 * l_linenumber"), lambda r: S.z_scheme([float(r["dz"])] * 127, 400.0), "factor long, thickness double")
 
 
-@query("""WITH c AS (SELECT n, w, k, least(k, n - w + 1) AS e FROM range(1, 41) a(n), range(1, 41) b(w), range(1, 5) d(k) WHERE w <= n)
-SELECT CAST(n AS BIGINT) AS n, CAST(w AS BIGINT) AS window_size, CAST(k AS BIGINT) AS outputs, CAST(CASE WHEN e = 1 THEN 0 ELSE i * (n - w) // (e - 1) END AS BIGINT) AS start FROM c, range(0, 4) x(i) WHERE i < e""")
+@query(f"""WITH {_grids_sql(**_PLACES)}, c AS (SELECT *, least(outputs, n - window_size + 1) AS e FROM g WHERE window_size <= n)
+SELECT n, window_size, outputs, CAST(CASE WHEN e = 1 THEN 0 ELSE i * (n - window_size) // (e - 1) END AS BIGINT) AS start FROM c, range(0, 4) x(i) WHERE i < e""")
 def window_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(n, w, k, a) for n in range(1, 41) for w in range(1, n + 1) for k in range(1, 5) for a in S.anchors(n, w, k)]
-    return spark.createDataFrame(rows, "n long, window_size long, outputs long, start long")
+    fits = _grids(spark, sf_dir, **_PLACES).where("window_size <= n")
+    return scheduled(fits, lambda r: [(a,) for a in S.anchors(r["n"], r["window_size"], r["outputs"])], "start long")
 
 
 @query("""WITH c AS (SELECT DISTINCT l_linenumber * l_linenumber * 1.0::DOUBLE AS x FROM lineitem), o AS (SELECT x, lag(x) OVER (ORDER BY x) AS p, lead(x) OVER (ORDER BY x) AS n FROM c)
@@ -706,9 +721,11 @@ def pending_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 ('CNRM-CM6-1', 10, [22, 23], NULL), ('CNRM-CM6-1', 7, [12, 13, 14, 15, 17], NULL), ('CNRM-CM6-1', 4, [13, 14, 15], NULL), ('CNRM-CM6-1', 1, [14, 15, 21, 22, 23], NULL)),
 s AS (SELECT forcing_model, month, n FROM g, range(4, 24) r(n) WHERE n <> 16 AND NOT list_contains(gone, n)
 UNION ALL SELECT forcing_model, month, n FROM g, (SELECT unnest([30, 31, 32, 33, 66, 67, 68, 69, 70, 82, 92, 94, 96, 99, 100]) AS n) WHERE gone_deep IS NOT NULL AND NOT list_contains(gone_deep, n))
-SELECT forcing_model, CAST(month AS BIGINT) AS month, CAST(n AS BIGINT) AS "cfSite_number", CASE WHEN n >= 30 THEN 'deep' ELSE 'shallow' END AS site_type, e AS experiment FROM s, (VALUES ('amip'), ('amip4K')) x(e)""")
+SELECT forcing_model, CAST(month AS BIGINT) AS month, CAST(n AS BIGINT) AS "cfSite_number", CASE WHEN n >= 30 THEN 'deep' ELSE 'shallow' END AS site_type, e AS experiment, s_name FROM s, (VALUES ('amip'), ('amip4K')) x(e), supplier WHERE s_suppkey = n""")
 def case_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library.case_library(spark)
+    """The known cases of the sites that are suppliers' keys."""
+    sites = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cfSite_number"), "s_name")
+    return library.case_library(spark).join(sites, "cfSite_number")
 
 
 @query("SELECT s_suppkey, s_suppkey % 100 AS \"cfSite_number\", 'HadGEM2-A' AS forcing_model, s_suppkey % 12 + 1 AS month, 'amip' AS experiment FROM supplier")
