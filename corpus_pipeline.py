@@ -15,13 +15,19 @@ from gridmoments.llm.toxicity import score, train
 
 #: Scores at which a document is toxic, and below which it is of poor quality.
 TOXIC, POOR = 0.7, 0.5
-#: The column that tells rows apart where their ids do not.
-ROW = "_row"
 
 
-def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents with a number of each row, written so that every read finds the same numbers."""
-    return Scratch(spark, "numbered").write(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def free(docs: DataFrame, name: str) -> str:
+    """A column's name that the documents do not have."""
+    have = {c.lower() for c in docs.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
+def numbered(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """The documents with a column that numbers the rows, written so that every read finds the same numbers."""
+    return Scratch(spark, "numbered").write(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,25 +36,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text scores as an empty one, rows with a null id are scored too, equal texts stay or go together. Without
     labelled examples of both kinds all documents have one score, the share of toxic labels.
     """
-    scored = score(docs, train(docs, table(spark, sf_dir, "labels")), score_col="_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC).select(docs.columns)
+    own = free(docs, "_toxicity")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")), score_col=own)
+    return scored.where(F.col(own) < TOXIC).select(docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose quality score is below POOR. Null texts count as empty, rows with a null id are scored too, equal texts stay or go together."""
-    return quality(docs, prefix="_quality_").where(F.col("_quality_score") >= POOR).select(docs.columns)
+    own = "_quality_"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    return quality(docs, prefix=own).where(F.col(f"{own}score") >= POOR).select(docs.columns)
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near-duplicate links join (at least 80 % of their five-word shingles shared), the one with the smallest id stays; those without an id stay too.
 
-    Rows of one id and text are one document; rows of one id with different texts are different documents.
+    Rows of one id and text are one document, of which one row stays, whichever its other columns; rows of one id with
+    different texts are different documents, of which, if they are near copies, the one that was read first stays.
     """
-    rows = numbered(spark, docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
-    groups = jaccard_components(rows, words=5, percent=80, id_col=ROW)
-    groups = groups.select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, "doc_id"), ROW)
-    kept = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", ROW)).alias("first")).select(f"first.{ROW}")
-    return rows.join(kept, ROW, "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    row = free(docs, "_row")
+    rows = numbered(spark, docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]), row)
+    groups = jaccard_components(rows.select(row, "text"), words=5, percent=80, id_col=row)
+    groups = groups.select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, F.col("doc_id").alias("_id")), row)
+    kept = groups.groupBy("component_id").agg(F.min(F.struct("_id", row)).alias("first")).select(f"first.{row}")
+    return rows.join(kept, row, "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +69,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts become empty ones, equal rows lose what they share, rows with a null id pass unchanged.
     """
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    changed = free(docs, "_changed")
     cut = remove_repeats(docs.where("doc_id is not null"), carry=rest, as_text=True)  # rows of one id are told apart there
-    rows = cut.select(F.col("id").alias("doc_id"), F.col("kept").alias("text"), *(F.col(f"carried.{c}").alias(c) for c in rest), (F.size("spans") > 0).alias("_changed"))
+    rows = cut.select(F.col("id").alias("doc_id"), F.col("kept").alias("text"), *(F.col(f"carried.{c}").alias(c) for c in rest), (F.size("spans") > 0).alias(changed))
     if "n_chars" in rest:
         kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.col("_changed"), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.col(changed), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
     return rows.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
