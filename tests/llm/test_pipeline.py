@@ -73,3 +73,21 @@ def test_texts_of_one_id_are_different_documents(spark):
     two = spark.createDataFrame([(1, a), (1, b), (None, "x")], "doc_id long, text string")
     assert sorted((tuple(r) for r in corpus_pipeline.cut_repeats(spark, two, "").collect()), key=str) == [(1, a), (1, b), (None, "x")]
     assert corpus_pipeline.keep_one_of_group(spark, two, "").count() == 3
+
+
+def test_stages_take_empty_tables_and_clashing_columns(spark, tmp_path):
+    text = " ".join(words(80, "a"))
+    names = ["_row", "_toxicity", "_changed", "_quality_score", "component_id", "spans"]
+    rows = [(i, text if i < 2 else " ".join(words(80, f"m{i}x")), "en", "s", 300, *range(10 * i, 10 * i + len(names))) for i in range(6)]
+    form = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} long" for n in names)
+    docs = spark.createDataFrame(rows, form)
+    spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for some, most in ((docs, 6), (docs.where("false"), 0)):
+            out = stage(spark, some, str(tmp_path))
+            got = out.collect()
+            assert out.columns == docs.columns and len(got) <= most, name
+            assert all(r[n] == 10 * r["doc_id"] + k for r in got for k, n in enumerate(names)), name
+        if name == "near_duplicates":
+            assert {r["doc_id"] for r in stage(spark, docs, str(tmp_path)).collect()} == {0, 2, 3, 4, 5}
+    assert corpus_pipeline.pack_sequences(spark, docs.where("false"), "").count() == 0
