@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -60,8 +60,8 @@ class WordEncoder:
             self._reset()
         if len(words) > CACHE:
             self.start, self.length = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64)
-        for a in range(0, len(words), 1000):
-            some = words[a : a + 1000]
+        for a in range(0, len(words), 250):
+            some = words[a : a + 250]
             (coded,) = self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)
             ids = np.array(coded.ids, np.uint32)
             tokens = np.cumsum([len(self.token.findall(w)) for w in some])
@@ -81,15 +81,16 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if "<|" in t or self.odd.search(t) else t.lower().split() for t in texts]
         words = list(chain.from_iterable(s for s in split if s))
-        found = list(map(self.slot.get, words))
-        new = {w for w, k in zip(words, found) if k is None} if None in found else set()
+        slots = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(slots < 0)
+        strange = [words[k] for k in unknown.tolist()]
+        new = set(strange)
         if new:
             if len(self.slot) + len(new) > CACHE:
                 self._reset()
-                new = set(words)
+                unknown, strange, new = np.arange(len(words)), words, set(words)
             self._learn(sorted(new))
-            found = list(map(self.slot.__getitem__, words))
-        slots = np.array(found, np.int64)
+            slots[unknown] = np.fromiter(map(self.slot.__getitem__, strange), np.int64, len(strange))
         length = self.length[slots]
         total = np.cumsum(np.append(0, length))
         flat = self.ids[np.repeat(self.start[slots] - total[:-1], length) + np.arange(total[-1])]
