@@ -57,3 +57,44 @@ def parse_case_path(path: Column | str) -> list[Column]:
 
 def case_folder(root: str, site: int, model: str = DEEP_MODEL, month: int = 7, experiment: str = "amip") -> str:
     return f"{root}/{month:02d}/{model}/{experiment}/Output.cfsite{site}_{model}_{experiment}_2004-2008.{month:02d}.4x"
+
+
+def valid_cases(cases: DataFrame) -> DataFrame:
+    """The rows (cfSite_number, forcing_model, month, experiment and others) with a column `problem`: null, or the first part that the library does not know."""
+    known = case_library(cases.sparkSession).select("forcing_model", "month", "cfSite_number", "experiment").distinct()
+    parts = ["forcing_model", "month", "cfSite_number", "experiment"]
+    out = cases
+    for n, part in enumerate(parts):
+        have = known.select(*parts[: n + 1]).distinct().withColumn(f"_has_{part}", F.lit(True))
+        out = out.join(F.broadcast(have), parts[: n + 1], "left")  # the library's cases at most
+    problem = F.coalesce(*(F.when(F.col(f"_has_{p}").isNull(), F.concat(F.lit(f"{p} "), F.coalesce(F.col(p).cast("string"), F.lit("?")), F.lit(" is not known"))) for p in parts))
+    return out.select(*cases.columns, problem.alias("problem"))
+
+
+def fields_folder(case: str, time: int = 432000) -> str:
+    """The folder of a case's raw fields at a time."""
+    return f"{case.rstrip('/')}/fields/{time}"
+
+
+def combined_file(root: str, site: int, model: str = DEEP_MODEL, month: int = 7, experiment: str = "amip", time: int = 432000) -> str:
+    """The file that holds a case's fields of all ranks at a time."""
+    return f"{root}/{month:02d}/{model}/{experiment}/fields_combined/Fields.cfsite{site}_{model}_{experiment}_2004-2008.{month:02d}.{time}.nc"
+
+
+def stats_file(spark: SparkSession, case: str) -> str:
+    """The one statistics file below case/stats, or in the folder itself where there is no such folder; .nc files count first. None or several are an error."""
+    for folder in (f"{case.rstrip('/')}/stats", case.rstrip("/")):
+        for pattern in ("*.nc", "*"):
+            try:
+                found = [r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path").limit(2).collect()]
+            except Exception as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                break
+            if len(found) == 1:
+                return found[0]
+            if found:
+                raise ValueError(f"several statistics files in {folder}")
+        else:
+            break  # the folder is there, and empty
+    raise FileNotFoundError(f"no statistics file of {case}")

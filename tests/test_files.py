@@ -131,3 +131,29 @@ def test_truth_analysis_writes_its_tables(spark, tmp_path):
     assert read["resolution_grid"].where("target = 'cov_qt_w'").agg(F.sum("n")).first()[0] == 720
     views = T.conditional_views(df.select(F.col("tke").alias("qt"), F.col("var_w").alias("theta_li"), *(F.col("cov_qt_w").alias(c) for c in ("q_liq", "q_ice", "pred_q_liq")), F.lit(None).cast("double").alias("pred_q_ice")))
     assert {(r["x"], r["target"]) for r in views.select("x", "target").distinct().collect()} == {(x, t) for x in ("qt", "theta_li") for t in ("q_liq", "pred_q_liq", "q_ice")}
+
+
+def test_paths_of_cases(spark, tmp_path):
+    from gridmoments.sources import library
+
+    folder = library.case_folder("/data", 10, month=1)
+    assert library.fields_folder(folder) == "/data/01/HadGEM2-A/amip/Output.cfsite10_HadGEM2-A_amip_2004-2008.01.4x/fields/432000"
+    combined = library.combined_file("/data", 10, month=1, time=86400)
+    assert combined == "/data/01/HadGEM2-A/amip/fields_combined/Fields.cfsite10_HadGEM2-A_amip_2004-2008.01.86400.nc"
+    paths = [folder, combined, library.case_folder("/data", 15, month=1), library.case_folder("/data", 10, "Other"), library.case_folder("/data", 10, month=3), library.case_folder("/data", 10, experiment="x")]
+    cases = spark.createDataFrame([(p,) for p in paths], "path string").select("path", *library.parse_case_path("path"))
+    told = {r["path"]: r["problem"] for r in library.valid_cases(cases).collect()}
+    assert [told[p] for p in paths] == [None, None, "cfSite_number 15 is not known", "forcing_model Other is not known", "month 3 is not known", "experiment x is not known"]
+    case = tmp_path / "case"
+    case.mkdir()
+    with pytest.raises(FileNotFoundError):
+        library.stats_file(spark, str(case))
+    (case / "a.txt").write_bytes(b"x")
+    assert library.stats_file(spark, str(case)).endswith("/case/a.txt")
+    (case / "stats").mkdir()
+    (case / "stats" / "Stats.nc").write_bytes(b"x")
+    (case / "stats" / "note.txt").write_bytes(b"x")
+    assert library.stats_file(spark, str(case)).endswith("/case/stats/Stats.nc")
+    (case / "stats" / "More.nc").write_bytes(b"x")
+    with pytest.raises(ValueError, match="several"):
+        library.stats_file(spark, str(case))
