@@ -13,6 +13,8 @@ from gridmoments.llm.queries import table, tokenizer
 from gridmoments.llm.suffix import remove_repeats
 from gridmoments.llm.toxicity import score, train
 
+#: Words whose ids a worker keeps (some 80 MB): executors have other stages' data to hold as well, and their workers stay.
+WORDS = 400_000
 #: Scores at which a document is toxic, and below which it is of poor quality.
 TOXIC, POOR = 0.7, 0.5
 
@@ -83,7 +85,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A null text is an empty one, which has its end token alone; rows with a null id and repeated rows are packed like others.
     """
-    pieces = pack(docs, whole_texts(tokenizer("word_bpe_49k.json"), last=1), Limits(), with_ids=True)
+    pieces = pack(docs, whole_texts(tokenizer("word_bpe_49k.json"), last=1, most=WORDS), Limits(), with_ids=True)
     return pieces.withColumnRenamed("id", "doc_id")
 
 

@@ -70,7 +70,7 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batch with at most so many bytes in a text column; a larger row comes alone."""
+    """Slices of the batch with at most so many bytes in a text column; a larger row comes alone. Then Arrow gives back memory that is free, which idle workers would hold."""
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -82,6 +82,7 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         held += n
     if start < len(sizes):
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

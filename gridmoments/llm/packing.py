@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Words that a worker keeps, the longest that it keeps, and examples that are packed together.
+#: Words that a worker keeps at most if nothing else is said (some 250 MB), the longest that it keeps, and examples that are packed together.
 CACHE, LONGEST, GROUP = 1_500_000, 64, 1024
 
 
@@ -34,12 +34,15 @@ class WordEncoder:
     """A BPE tokenizer with word ends whose ids for space-separated words are kept; ids are the library's.
 
     Texts of plain letters only are split at white space, which the tokenizer drops; others go through the library whole,
-    as do those that may hold one of its special tokens.
+    as do those that may hold one of its special tokens. Workers outlive their tasks and so do the words, so their number
+    is bounded; when `most` would be exceeded, those that were met again stay.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE):
         from tokenizers import Tokenizer
 
+        self.most = most
+
         self.library = Tokenizer.from_file(path)
         names = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(names.values()) + 1, bool)
@@ -52,14 +55,30 @@ class WordEncoder:
 
     def _reset(self) -> None:
         self.slot: dict[str, int] = {}
-        self.start, self.length = np.zeros(CACHE + 1, np.int64), np.zeros(CACHE + 1, np.int64)
+        self.start, self.length, self.met = (np.zeros(self.most + 1, np.int64) for _ in range(3))
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
 
+    def _thin(self) -> None:
+        """Keeps the words that were met again, the most frequent of them, half of self.most at most."""
+        n = len(self.slot)
+        met, start, length, ids = self.met[:n], self.start[:n], self.length[:n], self.ids
+        keep = np.flatnonzero(met > 1)
+        if len(keep) > self.most // 2:
+            keep = np.sort(keep[np.argsort(-met[keep], kind="stable")[: self.most // 2]])
+        words, start, length = list(self.slot), start[keep], length[keep]  # slots are numbered in the order of the dict
+        total = np.cumsum(np.append(0, length))
+        ids = ids[np.repeat(start - total[:-1], length) + np.arange(total[-1])]
+        self._reset()
+        self.slot.update(zip(map(words.__getitem__, keep.tolist()), range(len(keep))))
+        self.start[: len(keep)], self.length[: len(keep)] = total[:-1], length
+        self.used = len(ids)
+        self.ids = np.append(ids, np.zeros(max(len(self.ids) - len(ids), 0), np.uint32))
+
     def _learn(self, words: list[str]) -> None:
-        if len(self.slot) + len(words) > CACHE:
+        if len(self.slot) + len(words) > self.most:
             self._reset()
-        if len(words) > CACHE:
-            self.start, self.length = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64)
+        if len(words) > self.most:
+            self.start, self.length, self.met = (np.zeros(len(words) + 1, np.int64) for _ in range(3))
         for a in range(0, len(words), 250):
             some = words[a : a + 250]
             (coded,) = self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)
@@ -81,16 +100,24 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if "<|" in t or self.odd.search(t) else t.lower().split() for t in texts]
         words = list(chain.from_iterable(s for s in split if s))
-        slots = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
-        unknown = np.flatnonzero(slots < 0)
-        strange = [words[k] for k in unknown.tolist()]
-        new = set(strange)
+
+        def find() -> tuple[np.ndarray, np.ndarray, list[str], set[str]]:
+            slots = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
+            unknown = np.flatnonzero(slots < 0)
+            strange = [words[k] for k in unknown.tolist()]
+            return slots, unknown, strange, set(strange)
+
+        slots, unknown, strange, new = find()
+        if len(self.slot) + len(new) > self.most:
+            self._thin()
+            slots, unknown, strange, new = find()
         if new:
-            if len(self.slot) + len(new) > CACHE:
+            if len(self.slot) + len(new) > self.most:
                 self._reset()
                 unknown, strange, new = np.arange(len(words)), words, set(words)
             self._learn(sorted(new))
             slots[unknown] = np.fromiter(map(self.slot.__getitem__, strange), np.int64, len(strange))
+        np.add.at(self.met, slots, 1)
         length = self.length[slots]
         total = np.cumsum(np.append(0, length))
         flat = self.ids[np.repeat(self.start[slots] - total[:-1], length) + np.arange(total[-1])]
@@ -108,8 +135,8 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str, most: int = CACHE) -> WordEncoder:
+    return WordEncoder(path, most)
 
 
 def place(tokens: list[int], losses: list[np.ndarray | None], limits: Limits, cut: bool) -> Iterator[tuple[int, int, int, int, int]]:
@@ -192,9 +219,9 @@ def place(tokens: list[int], losses: list[np.ndarray | None], limits: Limits, cu
 Tokens = Callable[[list[str]], list[tuple[np.ndarray, np.ndarray | None]]]
 
 
-def whole_texts(path: str, last: int = 1) -> Tokens:
-    """Ids of texts with a last id; every token bears loss."""
-    return lambda texts: [(np.append(x, np.uint32(last)).astype("<u4"), None) for x in encoder(path).encode(texts)]
+def whole_texts(path: str, last: int = 1, most: int = CACHE) -> Tokens:
+    """Ids of texts with a last id; every token bears loss. A worker keeps the ids of `most` words."""
+    return lambda texts: [(np.append(x, np.uint32(last)).astype("<u4"), None) for x in encoder(path, most).encode(texts)]
 
 
 def turns_of(conversations: DataFrame, most: int = 64, id_col: str = "conv_id") -> DataFrame:

@@ -380,6 +380,18 @@ def test_packing_is_a_partition_without_padding(spark):
     assert packing.pack(documents(spark, texts).where("false"), packing.whole_texts(path)).count() == 0
 
 
+def test_kept_words_are_bounded_and_those_met_again_stay():
+    common = [f"often{k}" for k in range(100)]
+    e = packing.WordEncoder(P.path("word_bpe_49k.json"), 1000)
+    for k in range(40):
+        texts = [" ".join(common + common + [f"once{k}x{i}" for i in range(n)]) for n in (90, 3, 0)] + (["<|endoftext|> It's"] if k % 2 else [])
+        texts += [" ".join(f"many{i}" for i in range(3000))] * (k == 20)  # more than are kept
+        got = e.encode(texts)
+        assert [x.tolist() for x in got] == [e.library.encode(t, add_special_tokens=False).ids for t in texts]
+        if k != 20:
+            assert len(e.slot) <= 1000 == len(e.start) - 1 and all(w in e.slot for w in common)
+
+
 def test_turns_of_conversations_fill_all_three_limits(spark):
     path = P.path("word_bpe_49k.json")
     rnd = random.Random(9)
