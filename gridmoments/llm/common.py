@@ -40,7 +40,7 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, **options: str | int) -> DataFrame:
         """Writes df, which cuts its lineage, and reads it back."""
         df.write.options(**options).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))

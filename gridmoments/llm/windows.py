@@ -13,14 +13,31 @@ from . import common as C
 
 #: Bytes of text of a chunk, and of the text whose windows make up one shard of the sketch.
 CHUNK, SHARD = 4 << 20, 16 << 20
+#: Chunks in a file: Spark's reader decodes a file's rows at once, so that a task's memory would follow the row groups of the input.
+FILE_CHUNKS = 8
 #: Lines of the sketch; each has for every shard the power of two of counters that is next to its bytes of text.
 LINES = 2
+#: Windows that are grouped at once.
+PART = 1 << 19
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, *range(9, 14)]] = True
 #: Odd factors of a window's words, one row for each of two independent hashes.
 _FACTORS = C.mixed(np.arange(1, 2049, dtype=np.uint64)).reshape(2, 1024) | np.uint64(1)
 _SALTS = C.mixed(np.arange(77, 77 + 16, dtype=np.uint64))
 _EXACT = np.dtype([("a", "<u8"), ("b", "<u4")])
+_PACKED = pa.ipc.IpcWriteOptions(compression="zstd")
+
+
+def packed_rows(rows: pa.RecordBatch) -> bytes:
+    """The rows as one compressed value, so that Spark stores, shuffles and sorts fewer bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=_PACKED) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked_rows(data: pa.Buffer) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
 
 
 def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +167,11 @@ def runs(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
     yield from zip(keys[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(keys)])
 
 
+def parts(low: int, high: int, number: int) -> np.ndarray:
+    """The bounds between so many equal parts of the hashes from low to high."""
+    return np.array([low + (high - low + 1) * k // number for k in range(1, number)], np.uint64)
+
+
 def unbits(replies: dict[tuple[int, int], bytes], line: int, shard: np.ndarray) -> np.ndarray:
     """The answers of a line for ascending shards, one for each element."""
     got = [np.unpackbits(np.frombuffer(replies[line, k], np.uint8), count=b - a) for k, a, b in runs(shard)]
@@ -172,7 +194,8 @@ def earlier_windows(docs: DataFrame, words: int = 13, id_col: str = "doc_id", te
     chunk with one bit a cell. The second pass sends the windows that every line of the sketch counts twice to their shards
     with 96 bits of hash and the chunk's smallest id, and these group them exactly: one bit back tells that another chunk
     has the window under a smaller id. A window that is left out was met under one id only. Texts travel in chunks; no task
-    holds more than a shard, and a window of very many documents is one entry for each chunk.
+    holds more than a shard, and a window of very many documents is one entry for each chunk. A chunk is one compressed
+    value, files have a few of them whatever the input's files are, and a shard's windows are grouped in parts.
     """
     if not 0 < words <= _FACTORS.shape[1]:
         raise ValueError(f"a window has 1 to {_FACTORS.shape[1]} words")
@@ -182,13 +205,12 @@ def earlier_windows(docs: DataFrame, words: int = 13, id_col: str = "doc_id", te
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in C.pieces(batch, "text", CHUNK):
-                ends = pa.array([0, len(piece)], pa.int32())
                 size = pa.array([len(C.flat(piece.column("text"))[0])], pa.int64())
-                yield pa.RecordBatch.from_arrays([size, *(pa.ListArray.from_arrays(ends, piece.column(c)) for c in ("id", "text"))], ["size", "ids", "texts"])
+                yield pa.RecordBatch.from_arrays([size, pa.array([packed_rows(piece)], pa.binary())], ["size", "rows"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    packed = rows.mapInArrow(pack, "size long, ids array<long>, texts array<binary>").withColumn("chunk", F.monotonically_increasing_id())
-    chunks = scratch.write(packed, "chunks", compression="zstd")
+    packed = rows.mapInArrow(pack, "size long, rows binary").withColumn("chunk", F.monotonically_increasing_id())
+    chunks = scratch.write(packed, "chunks", compression="uncompressed", maxRecordsPerFile=FILE_CHUNKS)
     size = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     number = size // SHARD + 1
     counters = 1 << max(12, (size // number).bit_length())
@@ -199,11 +221,11 @@ def earlier_windows(docs: DataFrame, words: int = 13, id_col: str = "doc_id", te
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in range(len(batch)):
-                    ids, texts = batch.column("ids").slice(k, 1).flatten(), batch.column("texts").slice(k, 1).flatten()
-                    replies = {}
+                    rows = unpacked_rows(batch.column("rows")[k].as_buffer())
+                    ids, replies = rows.column("id"), {}
                     if "replies" in batch.schema.names:
                         replies = {(r["line"], r["shard"]): r["bits"] for r in batch.column("replies")[k].as_py() or []}
-                    yield from kernel(batch.column("chunk")[k].as_py(), Chunk(ids, texts, words), ids, replies)
+                    yield from kernel(batch.column("chunk")[k].as_py(), Chunk(ids, rows.column("text"), words), ids, replies)
 
         return run
 
@@ -225,13 +247,13 @@ def earlier_windows(docs: DataFrame, words: int = 13, id_col: str = "doc_id", te
         return pa.table({"chunk": lists.column("chunk"), "shard": lists.column("shard"), "line": lists.column("line"), "bits": bits})
 
     reply = "chunk long, shard long, line int, bits binary"
-    lists = chunks.select("chunk", "ids", "texts").mapInArrow(together(each(count)), "shard long, line int, chunk long, cells binary")
+    lists = chunks.select("chunk", "rows").mapInArrow(together(each(count)), "shard long, line int, chunk long, cells binary")
     estimated = scratch.write(lists.groupBy("shard", "line").applyInArrow(add_up, reply), "estimated")
     scratch.release()
 
     def with_replies(answers: DataFrame) -> DataFrame:
         by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "line", "bits")).alias("replies"))
-        return chunks.select("chunk", "ids", "texts").join(by_chunk, "chunk", "left")
+        return chunks.select("chunk", "rows").join(by_chunk, "chunk", "left")
 
     def send(chunk: int, c: Chunk, ids: pa.Array, replies: dict) -> Iterator[pa.RecordBatch]:
         some = np.flatnonzero(c.estimates(replies, number, counters))
@@ -247,14 +269,27 @@ def earlier_windows(docs: DataFrame, words: int = 13, id_col: str = "doc_id", te
         windows = [np.frombuffer(w.as_buffer(), _EXACT) for w in sent.column("windows")]
         bounds = np.append(0, np.cumsum([len(w) for w in windows]))
         base = np.array(sent.column("base").to_pylist(), np.int64).view(np.uint64)
-        low = np.concatenate([from_varints(x.as_buffer()) + b for x, b in zip(sent.column("low"), base)]).view(np.int64)
-        exact = np.concatenate(windows)
-        order = np.lexsort((exact["b"], exact["a"]))
-        a, b = exact["a"][order], exact["b"][order]
-        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-        least = np.minimum.reduceat(low[order], np.flatnonzero(new))
-        smaller = np.empty(len(order), bool)
-        smaller[order] = least[np.cumsum(new) - 1] < low[order]
+        low, smaller = np.empty(bounds[-1], np.int64), np.empty(bounds[-1], bool)
+        for x, y, data, b in zip(bounds[:-1], bounds[1:], sent.column("low"), base):
+            low[x:y] = (from_varints(data.as_buffer()) + b).view(np.int64)
+        edges = parts(min(int(w["a"][0]) for w in windows), max(int(w["a"][-1]) for w in windows), -(-int(bounds[-1]) // PART))
+        cuts = np.array([[0, *np.searchsorted(w["a"], edges).tolist(), len(w)] for w in windows])  # the hashes of a list ascend
+        for k in range(len(edges) + 1):
+            held = [(w[x:y], slice(at + x, at + y)) for w, at, x, y in zip(windows, bounds[:-1].tolist(), cuts[:, k].tolist(), cuts[:, k + 1].tolist()) if y > x]
+            if not held:
+                continue
+            a, b = (np.concatenate([w[f] for w, _ in held]) for f in ("a", "b"))
+            own = np.concatenate([low[at] for _, at in held])
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+            least = np.minimum.reduceat(own[order], np.flatnonzero(new))
+            found = np.empty(len(order), bool)
+            found[order] = least[np.cumsum(new) - 1] < own[order]
+            x = 0
+            for w, at in held:
+                smaller[at] = found[x : x + len(w)]
+                x += len(w)
         bits = pa.array([np.packbits(smaller[x:y]).tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())
         return pa.table({"chunk": sent.column("chunk"), "shard": sent.column("shard"), "line": pa.array(np.full(len(sent), LINES), pa.int32()), "bits": bits})
 
@@ -280,7 +315,7 @@ def earlier_windows(docs: DataFrame, words: int = 13, id_col: str = "doc_id", te
         held = np.cumsum(mark[:-1], dtype=np.int8).astype(bool)
         out = c.raw[held]
         out[_SEPARATOR[out]] = 32
-        ends = np.append(0, np.cumsum(held))[c.at]
+        ends = np.append(0, np.cumsum(np.where(gone, 0, c.ends - c.starts + 1)))[np.append(c.first, len(gone))]
         data = out.tobytes()
         texts = [data[a : b - 1] if b > a else b"" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         inner = np.ones(len(gone), bool)

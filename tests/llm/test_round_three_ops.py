@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from gridmoments.llm import mining, whitening, windows
@@ -69,6 +71,19 @@ def test_windows_of_one_long_text_and_of_copies(spark):
     assert windows.digest_rows(df.where("false")).count() == 0
 
 
+def test_files_of_chunks_are_small_and_shards_are_grouped_in_parts(spark, monkeypatch):
+    docs = corpus(5) + [(1000 + k, "a b c d " * 30) for k in range(60)]
+    docs += [(-1 - i, t) for i, t in docs]
+    monkeypatch.setattr(windows, "CHUNK", 2000)
+    monkeypatch.setattr(windows, "PART", 50, raising=False)
+    paths, write = [], windows.C.Scratch.write
+    monkeypatch.setattr(windows.C.Scratch, "write", lambda self, df, name, **options: paths.append(self.path(name)) or write(self, df, name, **options))
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    assert plain_rows(windows.earlier_windows(df)) == removed_by_brute_force(docs, 13)
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in Path(next(p for p in paths if p.endswith("/chunks")).removeprefix("file:")).glob("*.parquet")]
+    assert sum(sizes) > 24 and max(sizes) <= 8
+
+
 def test_sketch_never_counts_less():
     rng = np.random.default_rng(1)
     truth, sketch = np.zeros(4096, int), windows.Sketch(4096)
